@@ -197,3 +197,36 @@ def sketch(cells: DataFrame, bits: int, least: int) -> tuple[np.ndarray, np.ndar
 def in_map(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     cells = hashes >> np.uint64(64 - bits)
     return (bitmap[(cells >> np.uint64(3)).astype(np.int64)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def range_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each range of word hashes, by what two prefix sums differ in; equal word sequences hash alike
+    wherever they stand."""
+    ratio = 0x9FB21C651E98DF25 + (seed << 33)
+    inverse = pow(ratio, -1, 1 << 64)
+    with np.errstate(over="ignore"):
+        power = np.full(len(words) + 1, ratio, np.uint64)
+        back = np.full(len(words) + 1, inverse, np.uint64)
+        power[0] = back[0] = 1
+        power, back = np.cumprod(power), np.cumprod(back)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(words + np.uint64(seed)) * power[:-1])])
+        return mix64((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+
+
+def pair_keys(one: np.ndarray, two: np.ndarray) -> pa.Array:
+    """Two arrays of 64 bits as an array of 16-byte keys."""
+    both = np.column_stack([one, two]).astype("<u8").tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(np.arange(0, 16 * len(one) + 1, 16, dtype=np.int32)), pa.py_buffer(both)])
+
+
+def spaced(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes with one space after each, and where each word begins (and the last one's end)."""
+    if not len(words):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = words.buffers()
+    wide = pa.types.is_large_string(words.type)
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    raw, at = np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+    out = np.full(len(raw) + len(words), 32, np.uint8)
+    out[np.arange(len(raw)) + np.repeat(np.arange(len(words)), np.diff(at))] = raw
+    return out, at + np.arange(len(words) + 1)
