@@ -137,8 +137,8 @@ def gram_hashes(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
 BLOCK_BITS = 16
 
 
-def cell_rows(hashes: np.ndarray, bits: int) -> pa.RecordBatch:
-    cells = np.sort(hashes >> np.uint64(64 - bits)).astype(np.uint32)
+def cell_rows(cells: np.ndarray, bits: int) -> pa.RecordBatch:
+    cells = np.sort(cells)
     blocks = cells >> np.uint32(BLOCK_BITS)
     starts = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]) if len(cells) else np.zeros(0, np.int64)
     low = (cells & np.uint32((1 << BLOCK_BITS) - 1)).astype("<u2").tobytes()
@@ -230,3 +230,16 @@ def spaced(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     out = np.full(len(raw) + len(words), 32, np.uint8)
     out[np.arange(len(raw)) + np.repeat(np.arange(len(words)), np.diff(at))] = raw
     return out, at + np.arange(len(words) + 1)
+
+
+def cell_batches(hashes, bits: int, most: int = 6_000_000):
+    """cell_rows() of many arrays of hashes, put together until there are `most` of them: fewer and longer rows."""
+    held, n = [], 0
+    for h in hashes:
+        held.append((h >> np.uint64(64 - bits)).astype(np.uint32))
+        n += len(h)
+        if n >= most:
+            yield cell_rows(np.concatenate(held), bits)
+            held, n = [], 0
+    if n:
+        yield cell_rows(np.concatenate(held), bits)

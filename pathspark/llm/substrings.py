@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ._common import cell_rows, gram_hashes, in_map, pair_keys, pieces, range_hashes, sketch, spaced, stored, table, word_hashes, words_of
+from ._common import cell_batches, gram_hashes, in_map, pair_keys, pieces, range_hashes, sketch, spaced, stored, table, word_hashes, words_of
 
 #: Cells of the counting sketch as a power of 2. Its bitmap, 2**bits / 8 bytes, goes to every executor.
 BITS = 27
@@ -70,10 +70,13 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = 35, gram
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def count(batches):
-        for batch in batches:
-            for part in pieces(batch, "text", 32 << 20):
-                words, n = words_of(part.column("text"))
-                yield cell_rows(minimisers(word_hashes(words), n, window, gram)[3], bits)
+        def found():
+            for batch in batches:
+                for part in pieces(batch, "text"):
+                    words, n = words_of(part.column("text"))
+                    yield minimisers(word_hashes(words), n, window, gram)[3]
+
+        yield from cell_batches(found(), bits)
 
     twice = spark.sparkContext.broadcast(sketch(rows.mapInArrow(count, "block int, cells binary"), bits, 1 << 30)[0])
 
