@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: What separates words, as a Java or RE2 character class body.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Bytes of text that the vectorised code looks at together; it bounds a Python worker's memory.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,11 +7,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import _remove, pieces, shared_dir, table, words_of
+from ._common import _remove, pieces, shared_dir, table, word_hashes, words_of
 
 FILE_SCHEMA = "part int, doc_id long, local_start long, n_tokens int, ids array<int>"
 #: ids: dictionary pages (a vocabulary fits one); the counters, which rise or are small: delta pages, which need the v2 writer.
@@ -24,36 +25,65 @@ LAYOUT = {
 
 class Encoder:
     """Encodes texts word by word, with a bounded cache. A word is what lies between ASCII white space; so this is for tokenizers
-    that drop white space and join nothing across it, as word_bpe_49k.json does: the ids are those of the whole text."""
+    that drop white space and join nothing across it, as word_bpe_49k.json does, which also splits letters from marks and
+    lower-cases: a word of letters and then ASCII marks is looked up as its lower-cased letters and its marks. The ids are
+    those of the whole text. The cache knows words by 64-bit hashes."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.cache: dict[str, np.ndarray] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.starts, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _look_up(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where in self.ids the ids of each string begin, and how many they are."""
+        hashes = word_hashes(parts)
+        found = np.searchsorted(self.hashes, hashes)
+        new = np.flatnonzero(self.hashes[np.minimum(found, len(self.hashes) - 1)] != hashes) if len(self.hashes) else np.arange(len(hashes))
+        if len(new):
+            _, first = np.unique(hashes[new], return_index=True)
+            new = new[first]
+            coded = []
+            for at in range(0, len(new), 5_000):
+                coded += [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(parts.take(pa.array(new[at : at + 5_000])).to_pylist(), add_special_tokens=False)]
+            sizes = np.fromiter(map(len, coded), np.int32, len(coded))
+            begin = len(self.ids) + np.cumsum(sizes, dtype=np.int64) - sizes
+            all_hashes = np.concatenate([self.hashes, hashes[new]])
+            order = np.argsort(all_hashes, kind="stable")
+            self.hashes = all_hashes[order]
+            self.starts, self.sizes = np.concatenate([self.starts, begin])[order], np.concatenate([self.sizes, sizes])[order]
+            self.ids = np.concatenate([self.ids, *coded])
+            found = np.searchsorted(self.hashes, hashes)
+        return self.starts[found], self.sizes[found].astype(np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and how many each text has."""
         words, per_text = words_of(texts)
         if not len(words):
             return np.zeros(0, np.int32), np.zeros(len(per_text), np.int64)
-        coded = words.dictionary_encode()
-        unique = coded.dictionary.to_pylist()
-        if len(self.cache) > self.most:
-            self.cache.clear()
-        new = [w for w in unique if w not in self.cache]
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, np.int32)
-        ids = [self.cache[w] for w in unique]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        starts, flat = np.cumsum(lengths) - lengths, np.concatenate(ids)
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        n = lengths[index]
+        if len(self.hashes) > self.most:
+            self.clear()
+        _, first, index = np.unique(word_hashes(words), return_index=True, return_inverse=True)
+        unique = words.take(pa.array(first))
+        split = pc.extract_regex(unique, r"^(?P<letters>\p{L}+)(?P<marks>[!-;=?-@\[-`{-~]+)$")
+        marked = split.is_valid().to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(unique, r"^\p{L}+$")
+        heads = pc.if_else(split.is_valid(), pc.struct_field(split, 0), unique)
+        heads = pc.if_else(pc.or_(plain, split.is_valid()), pc.ascii_lower(heads), heads)
+        tails = pc.struct_field(split, 1).filter(split.is_valid())
+        starts, sizes = self._look_up(pa.concat_arrays([heads, tails]))
+        m, sizes_of_tails = len(unique), np.zeros(len(unique), np.int64)
+        starts_of_tails = np.zeros(m, np.int64)
+        starts_of_tails[marked], sizes_of_tails[marked] = starts[m:], sizes[m:]
+        # each word's ids are its head's and then its tail's
+        n = np.column_stack([sizes[:m], sizes_of_tails])[index].ravel()
+        begin = np.column_stack([starts[:m], starts_of_tails])[index].ravel()
         ends = np.cumsum(n)
-        out = flat[np.repeat(starts[index] - (ends - n), n) + np.arange(ends[-1])]
-        upto = np.concatenate([[0], ends])[np.cumsum(per_text)]
+        out = self.ids[np.repeat(begin - (ends - n), n) + np.arange(ends[-1])]
+        upto = np.concatenate([[0], ends[1::2]])[np.cumsum(per_text)]
         return out, np.diff(np.concatenate([[0], upto]))
 
 
