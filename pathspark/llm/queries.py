@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op4_chat
+from .decontaminate import op3_decontaminate
+from .jaccard import op1_jaccard
 from .language import op10_language
 from .mixing import op2_mixing
 from .quality import op7_quality
 from .secrets import op8_secrets
+from .substrings import op9_substrings
 from .tiff import op5_tiff
 from .tokens import op6_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_mixing": op2_mixing, "op4_chat": op4_chat, "op5_tiff": op5_tiff, "op6_tokens": op6_tokens, "op7_quality": op7_quality, "op8_secrets": op8_secrets, "op10_language": op10_language,
+    "op1_jaccard": op1_jaccard, "op2_mixing": op2_mixing, "op3_decontaminate": op3_decontaminate, "op4_chat": op4_chat, "op5_tiff": op5_tiff,
+    "op6_tokens": op6_tokens, "op7_quality": op7_quality, "op8_secrets": op8_secrets, "op9_substrings": op9_substrings, "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {}
