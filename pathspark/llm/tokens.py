@@ -29,7 +29,7 @@ class Encoder:
     lower-cases: a word of letters and then ASCII marks is looked up as its lower-cased letters and its marks. The ids are
     those of the whole text. The cache knows words by 64-bit hashes."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -87,16 +87,24 @@ class Encoder:
         return out, np.diff(np.concatenate([[0], upto]))
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process: its cache serves all tasks that the process runs."""
+    return _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, key: str = "doc_id", text: str = "text", **layout: str) -> None:
     """Encodes each whole text (null: empty), appends end_id and writes FILE_SCHEMA in ascending order of key (nulls first;
     ties by text) over all files: a range shuffle of the texts, which are smaller than their ids. `part` numbers the files;
     local_start counts the ids before a row in its file."""
 
     def encode(batches):
-        encoder, at, part = Encoder(tokenizer), 0, TaskContext.get().partitionId()
+        coder, at, part = encoder(tokenizer), 0, TaskContext.get().partitionId()
         for whole in batches:
-            for batch in pieces(whole, "text"):
-                ids, n = encoder.encode(batch.column("text"))
+            for batch in pieces(whole, "text", 1 << 20):
+                ids, n = coder.encode(batch.column("text"))
                 ends = np.cumsum(n)
                 ids, n = np.insert(ids, ends, end_id), n + 1
                 offsets = np.concatenate([[0], np.cumsum(n)])
