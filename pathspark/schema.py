@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import ArrayType, StructType
+import re
+
+from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, LongType, MapType, StringType, StructType
 
 _CODING = "struct<system:string,code:string,display:string>"
 _CONCEPT = f"struct<coding:array<{_CODING}>,text:string>"
@@ -22,7 +24,44 @@ _DDL = {
     "Specimen": f"id string, type {_CONCEPT}",
     "Location": "id string, name string",
 }
-RESOURCES: dict[str, StructType] = {k: StructType.fromDDL(v) for k, v in _DDL.items()}
+
+
+def from_ddl(ddl: str) -> StructType:
+    """The few types that are used here, read without a session."""
+    tokens = re.findall(r"\w+|[<>:,]", ddl)
+    plain = {"string": StringType(), "double": DoubleType(), "long": LongType(), "int": IntegerType()}
+
+    def kind() -> DataType:
+        name = tokens.pop(0)
+        if name in plain:
+            return plain[name]
+        tokens.pop(0)  # <
+        if name == "struct":
+            made: DataType = fields(">")
+        elif name == "array":
+            made = ArrayType(kind())
+        else:
+            key = kind()
+            tokens.pop(0)
+            made = MapType(key, kind())
+        tokens.pop(0)  # >
+        return made
+
+    def fields(end: str | None) -> StructType:
+        out = StructType()
+        while tokens and tokens[0] != end:
+            if tokens[0] == ",":
+                tokens.pop(0)
+            name = tokens.pop(0)
+            if tokens[0] == ":":
+                tokens.pop(0)
+            out = out.add(name, kind())
+        return out
+
+    return fields(None)
+
+
+RESOURCES: dict[str, StructType] = {k: from_ddl(v) for k, v in _DDL.items()}
 #: What a reference element points to.
 TARGETS = {"medicationReference": "Medication", "encounter": "Encounter", "context": "Encounter", "partOf": "Encounter", "specimen": "Specimen", "location": "Location", "derivedFrom": "Observation", "hasMember": "Observation"}
 #: Choice elements: the bare name stands for its variants.
@@ -38,7 +77,7 @@ ORGANISM = "http://mimic.mit.edu/fhir/mimic/CodeSystem/mimic-microbiology-organi
 MICRO_TEST = "http://fhir.mimic.mit.edu/CodeSystem/microbiology-test"
 WEIGHTS = ("Daily Weight", "Admission Weight (lbs.)", "Admission Weight (Kg)")
 
-QA_RECORD = StructType.fromDDL(
+QA_RECORD = from_ddl(
     "patient_id string, patient_id_hash string, question string, query string, now string, perspective string, question_template_id string, question_template string, split string, answer string, "
     "s_placeholders map<string,string>, op_placeholders map<string,string>, t_placeholders map<string,string>, id string, index long, holdout int"
 )
