@@ -135,7 +135,10 @@ def evaluate(node, s: Scope) -> Coll:
                 if a.single and b.single or isinstance(a.type, TimestampType) or isinstance(b.type, TimestampType):
                     x, y = _comparable(a, b)
                     same = x == y
-                else:  # collections are equal when they have the same items in the same order; an empty one has no answer
+                else:
+                    if a.type != b.type:
+                        a, b = _texts(a), _texts(b)
+                    # collections are equal when they have the same items in the same order; an empty one has no answer
                     same = F.when((a.size() > 0) & (b.size() > 0), a.array() == b.array())
                 return boolean(same if op == "=" else ~same)
             x, y = _comparable(a, b)
