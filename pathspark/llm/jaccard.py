@@ -5,7 +5,7 @@ global order puts rare shingles first. Sets that link share at least as many shi
 some of them lie in the prefixes of both. Where a prefix holds rare shingles only, each of them is a signature. Where it
 reaches the frequent ones, they are dealt into G sub-classes, the prefix is extended by G, and pairs of frequent
 shingles of one sub-class are the signatures: of G + 1 common ones two are in the same sub-class. Candidates that share a
-signature are verified on their whole sets.
+signature, at places in their orders that leave room for enough common shingles, are verified on their whole sets.
 """
 
 from __future__ import annotations
@@ -60,8 +60,9 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def signatures(s: np.ndarray, twice: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray | None:
-    """The signatures of a set whose members are certainly in one set (not `twice`), rare, or frequent (`often`); None where it can't link."""
+def signatures(s: np.ndarray, twice: np.ndarray, often: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The signatures of a set whose members are certainly in one set (not `twice`), rare, or frequent (`often`), and with each a
+    cap: how many members the set can share with another if this is the first signature that they share. None where it can't link."""
     n = len(s)
     o = least_overlap(n, percent)
     alone = n - int(twice.sum())
@@ -70,8 +71,8 @@ def signatures(s: np.ndarray, twice: np.ndarray, often: np.ndarray, percent: int
     rare, common = s[twice & ~often], s[twice & often]
     room = n - o + 1 - alone  # the shingles that no other set has are the first of the order
     if room <= len(rare):
-        return rare[:room]
-    out = [rare]
+        return rare[:room], n - alone - np.arange(room)
+    out, caps = [rare], [n - alone - np.arange(len(rare))]
     octave = n.bit_length() - 1
     # a set also joins the next lower octave's scheme where sets of that size can link with it
     for q in {octave, o.bit_length() - 1}:
@@ -81,13 +82,15 @@ def signatures(s: np.ndarray, twice: np.ndarray, often: np.ndarray, percent: int
         order = np.argsort(sub, kind="stable")
         sub, prefix = sub[order], prefix[order]
         for gap in range(1, len(prefix)):
-            same = sub[gap:] == sub[:-gap]
-            if not same.any():
+            same = np.flatnonzero(sub[gap:] == sub[:-gap])
+            if not len(same):
                 break
+            # inside a sub-class the order is kept: the pair's second member, before which at most g are shared
+            low, high, place = prefix[same], prefix[same + gap], alone + len(rare) + order[same + gap]
             with np.errstate(over="ignore"):
-                low, high = np.minimum(prefix[:-gap][same], prefix[gap:][same]), np.maximum(prefix[:-gap][same], prefix[gap:][same])
                 out.append(mix64(low * np.uint64(0x9E3779B97F4A7C15) + mix64(high + np.uint64(q))))
-    return np.concatenate(out)
+            caps.append(n - np.maximum(alone, place - g))
+    return np.concatenate(out), np.concatenate(caps)
 
 
 def _sets_of(batch: pa.RecordBatch, shingle: int):
@@ -187,37 +190,39 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
             for part, sets, keys in _sets_of(batch, shingle):
                 n = np.array([len(s) for s in sets], np.int32)
                 m = len(n)
-                yield pa.RecordBatch.from_arrays([keys, part.column("doc"), pa.array(n), none(m, pa.int64()), none(m, pa.binary()), pa.array(np.zeros(m, np.int8))], names)
+                yield pa.RecordBatch.from_arrays([keys, part.column("doc"), pa.array(n), none(m, pa.int64()), none(m, pa.int32()), none(m, pa.binary()), pa.array(np.zeros(m, np.int8))], names)
                 flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
                 two, many = in_map(twice, flat, bits), in_map(often, flat, bits)
                 at = np.cumsum([0, *n])
                 key_list = keys.to_pylist()
-                owners, found, kept = [], [], []
+                owners, found, caps, kept = [], [], [], []
                 for i in np.flatnonzero(n >= 2).tolist():
                     if key_list[i] in seen:
                         continue
                     seen.add(key_list[i])
                     got = signatures(sets[i], two[at[i] : at[i + 1]], many[at[i] : at[i + 1]], percent)
-                    if got is not None and len(got):
-                        owners.append(np.full(len(got), i))
-                        found.append(got)
+                    if got is not None and len(got[0]):
+                        owners.append(np.full(len(got[0]), i))
+                        found.append(got[0])
+                        caps.append(got[1])
                         kept.append(i)
                 if kept:
                     owner = np.concatenate(owners)
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(owner)), none(len(owner), part.column("doc").type), pa.array(n[owner]), pa.array(np.concatenate(found).view(np.int64)), none(len(owner), pa.binary()), pa.array(np.full(len(owner), 1, np.int8))], names)
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(kept)), none(len(kept), part.column("doc").type), pa.array(n[kept]), none(len(kept), pa.int64()), pa.array([sets[i].tobytes() for i in kept], pa.binary()), pa.array(np.full(len(kept), 2, np.int8))], names)
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(owner)), none(len(owner), part.column("doc").type), pa.array(n[owner]), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(caps).astype(np.int32)), none(len(owner), pa.binary()), pa.array(np.full(len(owner), 1, np.int8))], names)
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(kept)), none(len(kept), part.column("doc").type), pa.array(n[kept]), none(len(kept), pa.int64()), none(len(kept), pa.int32()), pa.array([sets[i].tobytes() for i in kept], pa.binary()), pa.array(np.full(len(kept), 2, np.int8))], names)
 
-    names = ["key", "doc", "n", "sig", "members", "kind"]
-    made = stored(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(sign, f"key binary, doc {doc_type}, n int, sig long, members binary, kind tinyint"), "signatures")
+    names = ["key", "doc", "n", "sig", "cap", "members", "kind"]
+    made = stored(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(sign, f"key binary, doc {doc_type}, n int, sig long, cap int, members binary, kind tinyint"), "signatures")
     members = made.filter(F.col("kind") == 0).select("key", "doc", "n")
     # a task sends a set and its signatures once, but several tasks may hold copies
-    signed = made.filter(F.col("kind") == 1).groupBy("sig", "key").agg(F.first("n").alias("n"))
+    signed = made.filter(F.col("kind") == 1).groupBy("sig", "key").agg(F.first("n").alias("n"), F.max("cap").alias("cap"))
     shared = signed.groupBy("sig").count().filter(F.col("count") > 1).select("sig")
     buckets = stored(signed.join(shared, "sig"), "buckets")
     needed = buckets.select("key").distinct()
     sets = stored(made.filter(F.col("kind") == 2).join(needed, "key", "left_semi").groupBy("key").agg(F.min("members").alias("members")), "sets")
 
-    in_reach = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
+    # sets that link share percent / (100 + percent) of both sizes; the caps of the first signature they share must allow it
+    in_reach = lambda a, b, x, y: (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * F.least(x, y) >= percent * (a + b))
     links = tried = labels = None
     for r in range(rounds + 1):
         if r:
@@ -232,11 +237,11 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
         else:
             buckets, last = buckets.withColumn("component", F.col("key")), False
         if last:
-            one, two = (buckets.select(F.col("sig"), F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("component").alias(f"c{k}")) for k in "ab")
-            pairs = one.join(two, "sig").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & in_reach(F.col("na"), F.col("nb")))
+            one, two = (buckets.select(F.col("sig"), F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("cap").alias(f"p{k}"), F.col("component").alias(f"c{k}")) for k in "ab")
+            pairs = one.join(two, "sig").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & in_reach(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb")))
         else:
-            hub = buckets.groupBy("sig").agg(F.min_by(F.struct("key", "n", "component"), F.struct(F.xxhash64("key", F.lit(r)), F.col("key"))).alias("hub"))
-            pairs = buckets.join(hub, "sig").filter((F.col("key") != F.col("hub.key")) & (F.col("component") != F.col("hub.component")) & in_reach(F.col("n"), F.col("hub.n")))
+            hub = buckets.groupBy("sig").agg(F.min_by(F.struct("key", "n", "cap", "component"), F.struct(F.xxhash64("key", F.lit(r)), F.col("key"))).alias("hub"))
+            pairs = buckets.join(hub, "sig").filter((F.col("key") != F.col("hub.key")) & (F.col("component") != F.col("hub.component")) & in_reach(F.col("n"), F.col("hub.n"), F.col("cap"), F.col("hub.cap")))
             pairs = pairs.select(F.col("hub.key").alias("x"), F.col("key").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         pairs = pairs.select("a", "b").distinct()
         if tried is not None:
