@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ._common import cell_batches, gram_hashes, in_map, pair_keys, pieces, range_hashes, sketch, spaced, stored, table, word_hashes, words_of
+from ._common import cell_batches, gram_hashes, in_map, pair_keys, pieces, range_hashes, release, sketch, spaced, stored, table, word_hashes, words_of
 
 #: Cells of the counting sketch as a power of 2. Its bitmap, 2**bits / 8 bytes, goes to every executor.
 BITS = 27
@@ -80,37 +80,35 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = 35, gram
 
     twice = spark.sparkContext.broadcast(sketch(rows.mapInArrow(count, "block int, cells binary"), bits, 1 << 30)[0])
 
-    def cut(batches):
-        seen: set[bytes] = set()
+    def chosen(batches):
         for batch in batches:
             for part in pieces(batch, "text"):
                 words, n = words_of(part.column("text"))
                 hashes = word_hashes(words)
                 first, last, owner, low = minimisers(hashes, n, window, gram)
-                chosen = in_map(twice.value, low, bits)
-                first, last, owner, low = first[chosen], last[chosen], owner[chosen], low[chosen]
-                if not len(first):
-                    continue
-                raw, at = spaced(words)
-                one, two = (range_hashes(hashes, first, last + window, seed) for seed in (1, 2))
-                keys = pair_keys(one, two)
-                kept, times = _unique(one, two)
-                buffer = raw.tobytes()
-                packed = [buffer[a:b] for a, b in zip(at[first[kept]].tolist(), (at[last[kept] + window] - 1).tolist())]
-                empty = pa.nulls(len(kept), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(low[kept].view(np.int64)), keys.take(pa.array(kept)), pa.array(packed, pa.binary()), pa.array(times.astype(np.int64)), empty, pa.nulls(len(kept), pa.int32())], schema=arrow)
-                texts = part.column("text")
-                ids = {int(i): hashlib.md5(texts[int(i)].as_buffer()).digest() for i in np.unique(owner)}
-                own = {i for i, k in ids.items() if k not in seen and not seen.add(k)}
-                at_home = np.flatnonzero(np.isin(owner, list(own)))
-                begins = np.cumsum(n) - n
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(at_home), pa.int64()), keys.take(pa.array(at_home)), pa.nulls(len(at_home), pa.binary()), pa.nulls(len(at_home), pa.int64()), pa.array([ids[i] for i in owner[at_home].tolist()], pa.binary()), pa.array((first - begins[owner])[at_home].astype(np.int32))],
-                    schema=arrow,
-                )
-
-    arrow = pa.schema([("low", pa.int64()), ("part_key", pa.binary()), ("packed", pa.binary()), ("times", pa.int64()), ("text_key", pa.binary()), ("place", pa.int32())])
-    parts = stored(rows.mapInArrow(cut, "low long, part_key binary, packed binary, times long, text_key binary, place int"), "super-k-mers")
+                repeated = in_map(twice.value, low, bits)
+                if repeated.any():
+                    first, last, owner, low = first[repeated], last[repeated], owner[repeated], low[repeated]
+                    yield part.column("text"), words, n, first, last, owner, low, [range_hashes(hashes, first, last + window, seed) for seed in (1, 2)]
+
+    def strings(batches):
+        """Super-k-mers to their buckets, equal ones of a slice once."""
+        for _, words, _, first, last, _, low, keys in chosen(batches):
+            raw, at = spaced(words)
+            buffer = raw.tobytes()
+            kept, times = _unique(*keys)
+            packed = [buffer[a:b] for a, b in zip(at[first[kept]].tolist(), (at[last[kept] + window] - 1).tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(low[kept].view(np.int64)), pair_keys(*keys).take(pa.array(kept)), pa.array(packed, pa.binary()), pa.array(times.astype(np.int64))], ["low", "part_key", "packed", "times"])
+
+    def places(batches):
+        """Where super-k-mers stand, each text of a task once."""
+        seen: set[bytes] = set()
+        for texts, _, n, first, _, owner, _, keys in chosen(batches):
+            ids = {int(i): hashlib.md5(texts[int(i)].as_buffer()).digest() for i in np.unique(owner)}
+            own = [i for i, k in ids.items() if k not in seen and not seen.add(k)]
+            here = np.flatnonzero(np.isin(owner, own))
+            begins = np.cumsum(n) - n
+            yield pa.RecordBatch.from_arrays([pair_keys(*keys).take(pa.array(here)), pa.array([ids[i] for i in owner[here].tolist()], pa.binary()), pa.array((first - begins[owner])[here].astype(np.int32))], ["part_key", "text_key", "place"])
 
     def judge(batches):
         """Buckets come one after another, sorted by minimiser; whole buckets are put together until they hold enough."""
@@ -132,10 +130,11 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = 35, gram
         if held:
             yield from _judge(held, window)
 
-    strings = parts.filter(F.col("packed").isNotNull()).select("low", "part_key", "packed", "times")
-    repeated = strings.repartition("low").sortWithinPartitions("low", "part_key").mapInArrow(judge, "part_key binary, runs array<int>")
-    places = parts.filter(F.col("text_key").isNotNull()).select("part_key", "text_key", "place")
-    found = places.join(repeated, "part_key").select("text_key", F.transform("runs", lambda r: r + F.col("place")).alias("runs"))
+    dealt = rows.mapInArrow(strings, "low long, part_key binary, packed binary, times long").repartition("low").sortWithinPartitions("low", "part_key")
+    repeated = stored(dealt.mapInArrow(judge, "part_key binary, runs array<int>"), "repeated")
+    del dealt
+    release(spark)  # the strings have been judged; their shuffle files can go
+    found = rows.mapInArrow(places, "part_key binary, text_key binary, place int").join(repeated, "part_key").select("text_key", F.transform("runs", lambda r: r + F.col("place")).alias("runs"))
     return found.groupBy("text_key").agg(F.flatten(F.collect_list("runs")).alias("spans"))
 
 
