@@ -46,17 +46,13 @@ def term_counts(docs: DataFrame, vocabulary: DataFrame, text: str = "text") -> D
     return vocabulary.join(seen, "term", "left").select("term", F.coalesce("count", F.lit(0)).alias("count"))
 
 
-def build_index(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text", context: int = 10) -> DataFrame:
-    """The positional inverted index of the given terms, written to the shared folder: one row per term and document with `places`, an
-    array of struct<pos, first, around>: the word's place (from 1) and the up to context - 1 words on each side, of which
-    `first` is the first one's place. A document is known by its key and its text's hash, so rows with the same key stay
-    apart, and equal rows are one document. Terms are spread by their hash with the documents', so that a frequent term
-    is no hot key."""
-    at = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("text_hash"), words(F.col(text)).alias("w"))
-    at = at.select("doc", "text_hash", "w", F.posexplode("w").alias("pos", "term")).join(small(terms.select(F.col("term").alias("t")), "t"), F.col("term") == F.col("t"))
-    first = F.greatest(F.col("pos") + 2 - context, F.lit(1))
-    at = at.select("term", "doc", "text_hash", F.struct((F.col("pos") + 1).alias("pos"), first.alias("first"), F.slice("w", first, F.col("pos") + 1 - first + context).alias("around")).alias("place"))
-    return stored(at.groupBy("term", "doc", "text_hash").agg(F.array_sort(F.collect_set("place")).alias("places")), "postings")
+def build_index(docs: DataFrame, terms: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The positional inverted index of the given terms, written to the shared folder: one row per term and document with `places`, the
+    sorted places (from 1) of the term. A document is known by its key and its text's hash, so rows with the same key stay apart,
+    and equal rows are one document. Postings are grouped by term and document together: a frequent term is no hot key."""
+    at = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("text_hash"), F.posexplode(words(F.col(text))).alias("pos", "term"))
+    at = at.join(small(terms.select(F.col("term").alias("t")), "t"), F.col("term") == F.col("t")).select("term", "doc", "text_hash", (F.col("pos") + 1).alias("pos"))
+    return stored(at.groupBy("term", "doc", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("places")), "postings")
 
 
 def rarest_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -67,51 +63,56 @@ def rarest_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def search(index: DataFrame, windows: DataFrame, slop: int | None = None) -> DataFrame:
-    """(phrase, n, doc, text_hash, start) of every place where a window occurs in an indexed document. The postings of its rarest
-    term give the possible starts (place less offset); the list of its next rarest term, adjusted by its offset, must hold
-    them too; what is left is compared word by word with the words around the posting.
+    """(phrase, doc, text_hash, start) of the places where a window may occur: the postings of its rarest term give the starts (place less
+    offset), and the list of its next rarest term, adjusted by its offset, has to hold them too. What is left is for the
+    caller to compare with the document; contamination() does.
 
-    With `slop`, proximity instead: the places of the rarest term with the second rarest within slop words, in any order."""
-    first = windows.select("phrase", "words", "n", F.get("rare", 0)["term"].alias("term"), F.get("rare", 0)["offset"].alias("o1"), F.get("rare", 1)["term"].alias("term2"), F.get("rare", 1)["offset"].alias("o2"))
+    With `slop`, proximity instead: the places of the rarest term that have the second rarest within slop words, in any order."""
+    first = windows.select("phrase", F.get("rare", 0)["term"].alias("term"), F.get("rare", 0)["offset"].alias("o1"), F.get("rare", 1)["term"].alias("term2"), F.get("rare", 1)["offset"].alias("o2"))
     found = first.join(index, "term").withColumnRenamed("places", "p1").drop("term")
-    second = index.select(F.col("term").alias("t2"), F.col("doc").alias("doc2"), F.col("text_hash").alias("hash2"), F.col("places.pos").alias("p2"))
-    # a phrase of one distinct term has no second list to intersect
+    second = index.select(F.col("term").alias("t2"), F.col("doc").alias("doc2"), F.col("text_hash").alias("hash2"), F.col("places").alias("p2"))
     pairs = found.filter(F.col("term2").isNotNull()).join(second, (F.col("term2") == F.col("t2")) & F.col("doc").eqNullSafe(F.col("doc2")) & (F.col("text_hash") == F.col("hash2")))
+    # a phrase of one distinct term has no second list
     alone = found.filter(F.col("term2").isNull()).withColumn("p2", F.expr("cast(null as array<int>)"))
-    found = pairs.select("phrase", "words", "n", "o1", "o2", "doc", "text_hash", "p1", "p2").unionByName(alone.select("phrase", "words", "n", "o1", "o2", "doc", "text_hash", "p1", "p2"))
+    columns = ["phrase", "o1", "o2", "doc", "text_hash", "p1", "p2"]
+    found = pairs.select(*columns).unionByName(alone.select(*columns))
     if slop is not None:
-        near = F.filter("p1", lambda p: F.col("p2").isNull() | F.exists("p2", lambda q: F.abs(q - p["pos"]) <= slop))
-        return found.select("phrase", "n", "doc", "text_hash", F.explode(near["pos"]).alias("start")).distinct()
-    start = lambda p: p["pos"] - F.col("o1")
-    held = lambda p: F.col("p2").isNull() | F.array_contains("p2", start(p) + F.col("o2"))
-    exact = lambda p: (start(p) >= p["first"]) & (F.slice(p["around"], F.greatest(start(p) - p["first"] + 1, F.lit(1)), F.col("n")) == F.col("words"))
-    starts = F.transform(F.filter("p1", lambda p: held(p) & exact(p)), start)
-    return found.select("phrase", "n", "doc", "text_hash", F.explode(starts).alias("start"))
+        near = F.filter("p1", lambda p: F.col("p2").isNull() | F.exists("p2", lambda q: F.abs(q - p) <= slop))
+        return found.select("phrase", "doc", "text_hash", F.explode(near).alias("start")).distinct()
+    starts = F.filter(F.transform("p1", lambda p: p - F.col("o1")), lambda s: (s >= 1) & (F.col("p2").isNull() | F.array_contains("p2", s + F.col("o2"))))
+    return found.select("phrase", "doc", "text_hash", F.explode(starts).alias("start"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, window: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs' columns `keep` (all by default) with n_words, n_hit (words inside any occurrence of an item's window), n_items, items
     (sorted ids as strings), contaminated. Each row of docs is one row of the result; equal rows get equal values. A null
     text has no words; items without words have no windows; a null item id counts as ''. Without docs or items there are no
-    rows or no hits. The matches of one document meet in one task: at most its words times the window lengths."""
+    rows or no hits. The candidates of one document meet in its row; each is then compared with its words."""
     keep = docs.columns if keep is None else keep
     windows, owners = phrases(items, item, item_text, window)
     windows, owners = stored(windows, "windows"), stored(owners, "owners")
     counts = stored(term_counts(docs, windows.select(F.explode("words").alias("term")).distinct(), text), "term-counts")
     windows = rarest_terms(windows, counts)
     anchors = windows.select(F.explode(F.slice("rare", 1, 2)["term"]).alias("term")).distinct()
-    index = build_index(docs, anchors, key, text, window)
-    hits = search(index, windows).join(owners, "phrase").groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("found"), F.array_sort(F.collect_set("item")).alias("items"))
+    index = build_index(docs, anchors, key, text)
+    owned = windows.join(owners, "phrase").groupBy("phrase", "words").agg(F.collect_set("item").alias("items"))
+    maybe = search(index, windows).join(owned, "phrase").groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "words", "items"))).alias("_maybe"))
+    maybe = stored(maybe, "candidates")
+    made = {"n_words", "n_hit", "n_items", "items", "contaminated"}
+    keep = [c for c in keep if c not in made]
+    rows = docs.select(*(F.col(c) for c in keep), F.col(key).alias("_doc"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
+    rows = rows.join(maybe, F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_hash") == F.col("text_hash")), "left").withColumn("_w", words(F.col("_text")))
+    # the windows that are there, word by word
+    held = F.filter("_maybe", lambda x: F.slice("_w", x["start"], F.size(x["words"])) == x["words"])
+    rows = rows.withColumn("n_words", F.size("_w").cast("long")).withColumn("_held", F.when(F.col("_maybe").isNotNull(), held)).select(*keep, "n_words", "_held")
     covered = F.aggregate(
-        "found", F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n")),
-        lambda acc, x: F.struct(F.greatest(acc["upto"], x["start"] + x["n"] - 1).alias("upto"), (acc["n"] + F.greatest(x["start"] + x["n"] - 1 - F.greatest(acc["upto"], x["start"] - 1), F.lit(0))).alias("n")),
+        "_held", F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n")),
+        lambda acc, x: F.struct(F.greatest(acc["upto"], x["start"] + F.size(x["words"]) - 1).alias("upto"), (acc["n"] + F.greatest(x["start"] + F.size(x["words"]) - 1 - F.greatest(acc["upto"], x["start"] - 1), F.lit(0))).alias("n")),
         lambda acc: acc["n"],
     )
-    hits = stored(hits.select("doc", "text_hash", covered.alias("n_hit"), "items"), "hits")
-    made = {"n_words", "n_hit", "n_items", "items", "contaminated"}
-    rows = docs.select(*(F.col(c) for c in keep if c not in made), F.col(key).alias("_doc"), F.xxhash64(text).alias("_hash"), F.size(words(F.col(text))).cast("long").alias("n_words"))
-    rows = rows.join(hits, F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_hash") == F.col("text_hash")), "left")
-    return rows.select(*(c for c in keep if c not in made), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")).withColumn("contaminated", F.col("n_hit") > 0)
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform("_held", lambda x: x["items"]))))
+    rows = rows.select(*keep, "n_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"), F.coalesce(items, F.expr("cast(array() as array<string>)")).alias("items"))
+    return rows.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
