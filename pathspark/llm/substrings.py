@@ -18,16 +18,12 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ._common import cell_batches, gram_hashes, in_map, pair_keys, pieces, range_hashes, release, sketch, spaced, stored, table, word_hashes, words_of
 
-#: Cells of the counting sketch as a power of 2. Its bitmap, 2**bits / 8 bytes, goes to every executor.
-BITS = 27
+#: Bounds of the counting sketch: cells as a power of 2. Its bitmap, at most 2**31 / 8 bytes, goes to every executor.
+LEAST_BITS, MOST_BITS = 20, 31
 
 
-def minimisers(hashes: np.ndarray, per_text: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The super-k-mers of all texts: first window, last window (places of their first words), text, minimiser hash. A new one
-    begins where the place of the minimiser changes, so two windows that are equal are never in the same one."""
-    none = np.zeros(0, np.int64)
-    if len(hashes) < window:
-        return none, none, none, np.zeros(0, np.uint64)
+def least_places(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window (by its first word) the place of its minimiser, and all grams' hashes."""
     g = gram_hashes(hashes, gram)
     reach = window - gram + 1
     # the 32 highest bits order the grams, the place breaks ties towards the left: the same choice wherever a window stands
@@ -38,43 +34,58 @@ def minimisers(hashes: np.ndarray, per_text: np.ndarray, window: int, gram: int)
         step *= 2
     if reach > step:
         least = np.minimum(least[: len(least) - (reach - step)], least[reach - step :])
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64), g
+
+
+def windows_of(per_text: np.ndarray, words: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first words of all windows, and their texts."""
     owner = np.repeat(np.arange(len(per_text)), per_text)
-    starts = np.flatnonzero(owner[: len(least)] == owner[window - 1 :])
-    if not len(starts):
-        return none, none, none, np.zeros(0, np.uint64)
-    place = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (owner[starts[1:]] != owner[starts[:-1]])])
-    last = np.r_[new[1:] - 1, len(starts) - 1]
-    return starts[new], starts[last], owner[starts[new]], g[place[new]]
+    starts = np.flatnonzero(owner[: max(0, words - window + 1)] == owner[window - 1 :]) if words >= window else np.zeros(0, np.int64)
+    return starts, owner[starts]
 
 
-def _runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.diff(np.r_[False, mask, False].astype(np.int8))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
+def long_minimisers(hashes: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """For each window the hash of its minimiser of four fifths of its words, and where it stands. A window that repeats has one that
+    repeats; few others do."""
+    place, g = least_places(hashes, window, max(1, window * 4 // 5))
+    return place[starts], g
 
 
-def _flatten(lists: list[np.ndarray]) -> pa.Array:
-    sizes = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([*lists, np.zeros(0, np.int32)]).astype(np.int32)))
+def super_kmers(hashes: np.ndarray, starts: np.ndarray, owner: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive windows (among starts) that share a minimiser: first and last window, text, minimiser hash. A new one begins
+    where the place of the minimiser changes, so two windows that are equal are never in the same one."""
+    place, g = least_places(hashes, window, gram)
+    place = place[starts]
+    new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1) | (owner[1:] != owner[:-1])])
+    last = np.r_[new[1:] - 1, len(starts) - 1]
+    return starts[new], starts[last], owner[new], g[place[new]]
 
 
-def repeated_windows(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 6, bits: int = BITS) -> DataFrame:
+def repeated_windows(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 6, bits: int | None = None) -> DataFrame:
     """(text_key, spans): for each distinct text (md5 of its UTF-8 bytes) with windows that start more than once in all texts, the runs of
     such windows as flat pairs: places (from 0, in words) of a run's first and last window.
 
-    A first pass counts minimisers in a sketch of fixed size; windows whose minimiser stands at one place alone can't repeat,
-    and stay at home. (Where the corpus is so large that the sketch is crowded, more windows travel; the result is the same.)
+    A first pass counts long minimisers (of four fifths of a window) in a sketch of 8 cells for each, up to 2**31 cells. Windows
+    whose long minimiser stands at one place alone can't repeat, and stay at home. (Where the corpus is so large that the
+    sketch is crowded, more windows travel; the result is the same.)
     Equal super-k-mers of a slice travel once, with their number, and so do the places of equal texts: a text that a
     third of all rows repeat is no hot bucket."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
 
+    if bits is None:  # a word is some 6 characters, a long minimiser serves some 4 windows
+        chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+        bits = min(MOST_BITS, max(LEAST_BITS, (8 * chars // 24).bit_length()))
+
     def count(batches):
         def found():
             for batch in batches:
                 for part in pieces(batch, "text"):
                     words, n = words_of(part.column("text"))
-                    yield minimisers(word_hashes(words), n, window, gram)[3]
+                    starts, owner = windows_of(n, len(words), window)
+                    if len(starts):
+                        place, g = long_minimisers(word_hashes(words), starts, window)
+                        yield g[place[np.r_[True, (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])]]]
 
         yield from cell_batches(found(), bits)
 
@@ -84,11 +95,14 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = 35, gram
         for batch in batches:
             for part in pieces(batch, "text"):
                 words, n = words_of(part.column("text"))
+                starts, owner = windows_of(n, len(words), window)
+                if not len(starts):
+                    continue
                 hashes = word_hashes(words)
-                first, last, owner, low = minimisers(hashes, n, window, gram)
-                repeated = in_map(twice.value, low, bits)
+                place, g = long_minimisers(hashes, starts, window)
+                repeated = in_map(twice.value, g[place], bits)
                 if repeated.any():
-                    first, last, owner, low = first[repeated], last[repeated], owner[repeated], low[repeated]
+                    first, last, owner, low = super_kmers(hashes, starts[repeated], owner[repeated], window, gram)
                     yield part.column("text"), words, n, first, last, owner, low, [range_hashes(hashes, first, last + window, seed) for seed in (1, 2)]
 
     def strings(batches):
@@ -176,7 +190,7 @@ def _judge(held: list[pa.RecordBatch], window: int):
         yield pa.RecordBatch.from_arrays([keys.take(pa.array(new[who])), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(rel.ravel().astype(np.int32)))], ["part_key", "runs"])
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 6, bits: int = BITS) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, gram: int = 6, bits: int | None = None) -> DataFrame:
     """docs with the words removed that a window covers whose word sequence starts at another place too, in the same or another
     document; windows are judged on the input. `text` becomes the words that are left, joined by one space; n_words and n_removed
     are added (a column of docs with one of these names is replaced).

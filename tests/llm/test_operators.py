@@ -93,15 +93,15 @@ def test_linking_sets_share_a_signature(percent):
 
 def test_mixing(spark):
     r = random.Random(2)
-    docs = [(i, " ".join(["w"] * r.randrange(0, 40)), r.choice(["a"] * 6 + ["b", "c", "d", None])) for i in range(600)] + [(7, None, "a"), (7, "x y", "a"), (None, "x", "e"), (1000, "y " * 5000, "a")]
+    docs = [(i, " ".join(["w"] * r.randrange(0, 40)), r.choice(["a"] * 6 + ["b", "c", "d", None])) for i in range(600)] + [(2007, None, "a"), (2007, "x y", "a"), (None, "x", "e"), (1000, "y " * 5000, "a")]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumn("m_size", F.lit(1)).drop("m_size")
     got = mixing.mix_report(df, bucket_rows=50).collect()
     assert len(got) == len(docs)
     sizes, taken, target = defaultdict(int), defaultdict(int), {}
-    source = {d: s for d, _, s in docs if d not in (7, None)}
+    source = {d: s for d, _, s in docs if d not in (2007, None)}
     for x in got:
         assert 0 <= x["taken"] <= 2 * x["size"]
-        s = source.get(x["doc_id"], "a" if x["doc_id"] == 7 else "e")
+        s = source.get(x["doc_id"], "a" if x["doc_id"] == 2007 else "e")
         sizes[s] += x["size"]
         taken[s] += x["taken"]
         target[s] = x["target"]
