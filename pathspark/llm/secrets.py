@@ -80,7 +80,7 @@ def battery(token: Column) -> dict[str, Column]:
     }
 
 
-def scan(docs: DataFrame, keep: list[str], text: str = "text", fdr: float = 0.05, bins: int = 400) -> DataFrame:
+def scan(docs: DataFrame, keep: list[str], text: str = "text", fdr: float = 0.001, bins: int = 400) -> DataFrame:
     """docs' columns `keep` and found: array<struct<start, end, kind>> of all secrets of the whole text, sorted by start and then
     by kind in the order assign, access, hex, random. Null texts count as empty. Each row of docs is one row of the result.
 
