@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import cell_batches, gram_hashes, in_map, mix64, pair_keys, pieces, range_hashes, sketch, stored, table, word_hashes, words_of
+from ._common import cell_batches, gram_hashes, in_map, mix64, pair_keys, pieces, range_hashes, release, sketch, stored, table, word_hashes, words_of
 
 #: Cells of the sketch of shingle counts as a power of 2; its two bitmaps, 2**bits / 8 bytes each, go to every executor.
 BITS = 28
@@ -109,20 +109,31 @@ class Join:
     components: DataFrame
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(key, component) of all keys in links (a, b): each takes the least label around it, then its label's label, until nothing
-    changes; the rounds grow with the logarithm of the longest chain. Every round is a table in the shared folder."""
+def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """(key, component) of all keys in links (a, b), and in labels, the components so far, which the links join. Each key takes the least
+    label around it, then its label's label, until nothing changes; the rounds grow with the logarithm of the longest chain.
+    Every round is a table in the shared folder."""
+    if labels is not None:  # the components are the nodes now
+        of = lambda k: labels.select(F.col("key").alias(f"{k}_key"), F.col("component").alias(f"{k}_of"))
+        links = links.join(of("a"), F.col("a") == F.col("a_key"), "left").join(of("b"), F.col("b") == F.col("b_key"), "left")
+        links = links.select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b")).filter("a <> b")
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = stored(both.distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("near")).select("key", F.least("key", "near").alias("component")), "labels")
+    fresh = stored(both.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("near")).select("key", F.least("key", "near").alias("component")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("component").alias("near"))
-        closer = labels.join(near, "key").select("key", F.least("component", "near").alias("component"), F.col("component").alias("was"))
+        near = both.join(fresh.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("component").alias("near"))
+        closer = fresh.join(near, "key").select("key", F.least("component", "near").alias("component"), F.col("component").alias("was"))
         jumped = closer.join(closer.select(F.col("key").alias("k"), F.col("component").alias("c")), F.col("component") == F.col("k"))
-        fresh = stored(jumped.select("key", F.least("component", "c").alias("component"), "was"), "labels")
-        labels = fresh.select("key", "component")
-        if fresh.filter(F.col("component") != F.col("was")).isEmpty():
-            return labels
+        now = stored(jumped.select("key", F.least("component", "c").alias("component"), "was"), "labels")
+        fresh = now.select("key", "component")
+        if now.filter(F.col("component") != F.col("was")).isEmpty():
+            break
+    if labels is None:
+        return fresh
+    moved = fresh.select(F.col("key").alias("k"), F.col("component").alias("c"))
+    # what was labelled follows its component; keys that are new bring their own label
+    old = labels.join(moved, F.col("component") == F.col("k"), "left").select("key", F.coalesce("c", "component").alias("component"))
+    return stored(old.unionByName(fresh.join(labels.select("key"), "key", "left_anti")), "labels")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -130,7 +141,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     key with very many partners is dealt into salted shares."""
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)))
     many = pairs.groupBy("a").count().filter(F.col("count") > 256).select(F.col("a").alias("m"))
-    pairs = stored(pairs.join(many, F.col("a") == F.col("m"), "left").select("a", "b", F.when(F.col("m").isNotNull(), F.col("salt")).otherwise(F.lit(0)).alias("salt")), "pairs")
+    pairs = pairs.join(many, F.col("a") == F.col("m"), "left").select("a", "b", F.when(F.col("m").isNotNull(), F.col("salt")).otherwise(F.lit(0)).alias("salt"))
     first = pairs.select("a", "salt").distinct().join(sets.select(F.col("key").alias("a"), "members"), "a").select("a", "salt", F.lit(None).cast("binary").alias("b"), "members")
     rest = pairs.join(sets.select(F.col("key").alias("b"), "members"), "b").select("a", "salt", "b", "members")
 
@@ -216,12 +227,14 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     members = made.filter(F.col("kind") == 0).select("key", "doc", "n")
     # a task sends a set and its signatures once, but several tasks may hold copies
     signed = made.filter(F.col("kind") == 1).groupBy("sig", "key").agg(F.first("n").alias("n"), F.max("cap").alias("cap"))
-    shared = signed.groupBy("sig").count().filter(F.col("count") > 1).select("sig")
-    buckets = stored(signed.join(shared, "sig"), "buckets")
+    # sets that link share percent / (100 + percent) of both sizes, and the caps of the first signature that they share must allow
+    # it; so the shorter of the two has a cap of twice that part of its own size
+    short = (100 + percent) * F.col("cap") >= 2 * percent * F.col("n")
+    shared = signed.groupBy("sig").agg(F.count(F.lit(1)).alias("rows"), F.count_if(short).alias("short")).filter((F.col("rows") > 1) & (F.col("short") > 0)).select("sig")
+    buckets = stored(signed.join(shared, "sig").withColumn("component", F.col("key")), "buckets")
     needed = buckets.select("key").distinct()
     sets = stored(made.filter(F.col("kind") == 2).join(needed, "key", "left_semi").groupBy("key").agg(F.min("members").alias("members")), "sets")
 
-    # sets that link share percent / (100 + percent) of both sizes; the caps of the first signature they share must allow it
     in_reach = lambda a, b, x, y: (100 * F.least(a, b) >= percent * F.greatest(a, b)) & ((100 + percent) * F.least(x, y) >= percent * (a + b))
     links = tried = labels = None
     for r in range(rounds + 1):
@@ -229,28 +242,31 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
             buckets = buckets.drop("component").join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
             open_ = buckets.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter(F.col("x") != F.col("y")).select("sig")
             buckets = stored(buckets.join(open_, "sig", "left_semi"), "buckets")
-            size = buckets.groupBy("sig", "component").count().groupBy("sig").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("own"))
-            size = size.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.lit(0.0)), F.coalesce(F.sum("all"), F.lit(0))).first()
-            if not size[1]:
-                break
-            last = r == rounds or size[0] <= 4 * size[1]
-        else:
-            buckets, last = buckets.withColumn("component", F.col("key")), False
+        # how many pairs of a shorter set with another component's there can be
+        size = buckets.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("rows"), F.count_if(short).alias("short"))
+        size = size.groupBy("sig").agg(F.sum("rows").alias("rows"), (F.sum("rows") * F.sum("short") - F.sum(F.col("rows") * F.col("short"))).alias("pairs"))
+        size = size.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+        if r and not size[0]:
+            break
+        last = r == rounds or size[0] <= 4 * size[1]
         if last:
-            one, two = (buckets.select(F.col("sig"), F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("cap").alias(f"p{k}"), F.col("component").alias(f"c{k}")) for k in "ab")
-            pairs = one.join(two, "sig").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & in_reach(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb")))
+            one, two = (buckets.filter(short if k == "a" else F.lit(True)).select(F.col("sig"), F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("cap").alias(f"p{k}"), F.col("component").alias(f"c{k}")) for k in "ab")
+            shorter = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") != F.col("b")))
+            pairs = one.join(two, "sig").filter(shorter & (F.col("ca") != F.col("cb")) & in_reach(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb")))
+            pairs = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
         else:
-            hub = buckets.groupBy("sig").agg(F.min_by(F.struct("key", "n", "cap", "component"), F.struct(F.xxhash64("key", F.lit(r)), F.col("key"))).alias("hub"))
+            hub = buckets.groupBy("sig").agg(F.min_by(F.struct("key", "n", "cap", "component"), F.struct(~short, F.xxhash64("key", F.lit(r)), F.col("key"))).alias("hub"))
             pairs = buckets.join(hub, "sig").filter((F.col("key") != F.col("hub.key")) & (F.col("component") != F.col("hub.component")) & in_reach(F.col("n"), F.col("hub.n"), F.col("cap"), F.col("hub.cap")))
-            pairs = pairs.select(F.col("hub.key").alias("x"), F.col("key").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        pairs = pairs.select("a", "b").distinct()
+            pairs = pairs.select(F.col("hub.key").alias("x"), F.col("key").alias("y"))
+        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs, "candidates")
         tried = pairs if tried is None else tried.union(pairs)
         good = stored(verify(pairs, sets, percent), "links")
         links = good if links is None else links.union(good)
-        labels = components(links)
+        labels = components(good, labels)
+        release(spark)
         if last:
             break
     return Join(members, links, labels)
