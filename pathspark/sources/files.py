@@ -62,7 +62,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def to_sorted_object(df: DataFrame, key: str, values: str) -> DataFrame:
     """One row with one JSON object of sorted keys: value sets, paraphrase maps. All of it is one string, as such a file is."""
-    entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), F.col(values).alias("value"))))
+    rows = F.collect_list(F.struct(F.col(key).alias("key"), F.col(values).alias("value")))  # maps have no order, keys do
+    entries = F.array_sort(rows, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
     return df.agg(F.to_json(F.map_from_entries(entries)).alias("json"))
 
 
