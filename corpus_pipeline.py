@@ -3,10 +3,12 @@ mixing of sources, token output. Each stage takes (spark, docs, sf_dir) and work
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pathspark.llm._common import stored, table
+from pathspark.llm._common import release, stored, table, tables_of
 from pathspark.llm.decontaminate import contamination
 from pathspark.llm.jaccard import component_ids, jaccard_join
 from pathspark.llm.mixing import mix_sources
@@ -23,6 +25,19 @@ def _columns(docs: DataFrame) -> list[str]:
     return docs.columns
 
 
+def _stage(f):
+    """What a stage stores on its way is removed when the next one begins."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        with tables_of(spark, "pipeline"):
+            return f(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that score below QUALITY. The model learns from the labelled documents among those given, but not from the
     fifth that is held out. A rejected id goes with all its rows; rows without an id stay."""
@@ -31,6 +46,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(rejected, "doc_id", "left_anti").select(_columns(docs))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: the one with the smallest id, once. Empty texts are in no group, so
     each stays; rows without an id stay."""
@@ -40,16 +56,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.select(_columns(docs)).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents in which a window of ten words of a benchmark item occurs."""
     return contamination(docs, table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")).select(_columns(docs))
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources with weights 5, 2, 1 of 150 % of all words: a row for each time that the mix takes a document."""
     return mix_sources(docs).select(_columns(docs))
 
 
+@_stage
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token files and returns what is read back: doc_id, start, n_tokens, ids_crc32, a row for each row given."""
     return token_output(docs)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import os
 import tempfile
@@ -41,12 +42,37 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_owner: list[str | None] = [None]
+_owned: dict[str, list[str]] = {}
+
+
+@contextlib.contextmanager
+def tables_of(spark: SparkSession, owner: str):
+    """Tables that are stored inside belong to owner. Those that it had before are removed first: a stage of a pipeline begins when
+    all that the stages before it have returned is written."""
+    for path in _owned.pop(owner, []):
+        _remove(spark, path)
+    _owner[0] = owner
+    try:
+        yield
+    finally:
+        _owner[0] = None
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, removed when the process ends, or by tables_of()."""
+    path = f"{shared_dir(spark)}/pathspark-llm/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    if _owner[0]:
+        _owned.setdefault(_owner[0], []).append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back. This cuts the lineage; a lost executor
     loses nothing, as the files are not its own. The table is removed when the session's process ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pathspark-llm/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    path = new_path(spark, name)
     writer = df.write.option("compression", "zstd")
     for k, v in options.items():
         writer = writer.option(k, v)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import _remove, pieces, shared_dir, table, word_hashes, words_of
+from ._common import new_path, pieces, table, word_hashes, words_of
 
 FILE_SCHEMA = "part int, doc_id long, local_start long, n_tokens int, ids array<int>"
 #: ids: dictionary pages (a vocabulary fits one); the counters, which rise or are small: delta pages, which need the v2 writer.
@@ -166,11 +165,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def token_output(docs: DataFrame, name: str = "tokens") -> DataFrame:
     """Writes docs' tokens into the shared folder and returns token_checksums() of the files."""
-    import atexit
-
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/pathspark-llm/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    path = new_path(spark, name)
     write_tokens(docs, path, tokenizer_path())
     return token_checksums(spark, path)
 
