@@ -101,7 +101,8 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = No
     made = {"n_words", "n_hit", "n_items", "items", "contaminated"}
     keep = [c for c in keep if c not in made]
     rows = docs.select(*(F.col(c) for c in keep), F.col(key).alias("_doc"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
-    rows = rows.join(maybe, F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_hash") == F.col("text_hash")), "left").withColumn("_w", words(F.col("_text")))
+    # the candidates grow with the corpus, so this join is a sort-merge join at every size; AQE splits a document that many rows repeat
+    rows = rows.join(maybe.hint("merge"), F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_hash") == F.col("text_hash")), "left").withColumn("_w", words(F.col("_text")))
     # the windows that are there, word by word
     held = F.filter("_maybe", lambda x: F.slice("_w", x["start"], F.size(x["words"])) == x["words"])
     rows = rows.withColumn("n_words", F.size("_w").cast("long")).withColumn("_held", F.when(F.col("_maybe").isNotNull(), held)).select(*keep, "n_words", "_held")
