@@ -161,3 +161,34 @@ VALUE_PATHS: dict[str, tuple[str, ...]] = {
     "lab_value": (f"Bundle.entry.resource.where(resourceType = 'Observation' and {_LAB}).valueQuantity.value",),
     "blank": (), "patient_id": (),
 }
+#: The criterion that a placeholder puts on a resource; %value stands for its value. Empty: none, as the document is the patient's own.
+PLACEHOLDERS: dict[str, dict[str, str]] = {
+    "blank": {}, "patient_id": {}, "gender": {},
+    "drug_name": {"Medication": "identifier.where(value = %value).exists()", "MedicationRequest": _DRUG.format("value")},
+    "procedure_name": {"Procedure": _DISPLAY.format("value")},
+    "admission_route": {"Encounter": "hospitalization.admitSource.coding.code = %value"},
+    "careunit": {"Encounter": "location.where(location.resolve().name = %value).exists()"},
+    "diagnosis_name": {"Condition": _DISPLAY.format("value")},
+    "drug_route": {"MedicationRequest": "dosageInstruction.route.coding.code = %value"},
+    "input_name": {"MedicationAdministration": f"{_ICU_INPUT} and medicationCodeableConcept.coding.display = %value"},
+    "lab_name": {"Observation": f"{_LAB} and {_DISPLAY.format('value')}"},
+    "output_name": {"Observation": _DISPLAY.format("value")},
+    "spec_name": {"Observation": _SPEC.replace("%spec_name", "%value"), "Specimen": "type.coding.where(code = %value or display = %value).exists()"},
+    "vital_name": {"Observation": _DISPLAY.format("value")},
+    "vital_value": {"Observation": "valueQuantity.value = %value"}, "lab_value": {"Observation": "valueQuantity.value = %value"},
+}
+#: Comparison operations of the operation slot.
+OPERATIONS = {"greater": ">", "less": "<"}
+
+
+def register_placeholder(name: str, criteria: dict[str, str], value_paths: tuple[str, ...] = ()) -> None:
+    """Adds a placeholder: its criterion by resource type, and the paths that find a patient's values for it."""
+    if name in PLACEHOLDERS:
+        raise ValueError(f"placeholder {name} is registered already")
+    PLACEHOLDERS[name], VALUE_PATHS[name] = dict(criteria), tuple(value_paths)
+
+
+def placeholder_path(name: str, resource: str) -> str:
+    """The path of the resources that a placeholder's value selects; the question's column is `value`."""
+    criterion = PLACEHOLDERS[name].get(resource)
+    return f"Bundle.entry.resource.where(resourceType = '{resource}'{' and ' + criterion if criterion else ''} and during())"

@@ -117,3 +117,22 @@ def test_generation_is_deterministic_and_answers_are_not_null(spark, res):
     some = ["count-hospital-visits", "has-vital-comparison", "lab-name", "patient-gender"]
     first, second = ([tuple(r) for r in generate(res, ctx, some, n=3).drop("s_placeholders", "t_placeholders").orderBy("question_id").collect()] for _ in range(2))
     assert first == second and first and all("{" not in r[2] and "[" not in r[2] and r[-2] not in ("[]", "[0]") for r in first)
+
+
+def test_placeholders(spark, res):
+    from pathspark.plans.templates import PLACEHOLDERS, VALUE_PATHS, placeholder_path, register_placeholder
+
+    assert len(PLACEHOLDERS) == 16
+    values = {"drug_name": "Aspirin", "careunit": "Ward", "spec_name": "Blood", "input_name": "Saline"}
+    for name, value in values.items():
+        for resource in PLACEHOLDERS[name]:
+            q = spark.createDataFrame([("q", "pA", value)], "question_id string, patient_id string, value string")
+            path = placeholder_path(name, resource) + ".count()"
+            if resource in ("Medication", "Specimen"):  # they have no event time, which an open window doesn't ask for
+                assert evaluate_path(res, path, q).first()["count"] == 1
+            else:
+                assert evaluate_path(res, path, q).first()["count"] >= 1
+    register_placeholder("weight_unit", {"Observation": "valueQuantity.unit = %value"}, ("Bundle.entry.resource.where(resourceType = 'Observation').valueQuantity.unit",))
+    with pytest.raises(ValueError):
+        register_placeholder("weight_unit", {})
+    del PLACEHOLDERS["weight_unit"], VALUE_PATHS["weight_unit"]
