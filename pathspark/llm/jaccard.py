@@ -257,7 +257,8 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
         else:
             hub = buckets.groupBy("sig").agg(F.min_by(F.struct("key", "n", "cap", "component"), F.struct(~short, F.xxhash64("key", F.lit(r)), F.col("key"))).alias("hub"))
             pairs = buckets.join(hub, "sig").filter((F.col("key") != F.col("hub.key")) & (F.col("component") != F.col("hub.component")) & in_reach(F.col("n"), F.col("hub.n"), F.col("cap"), F.col("hub.cap")))
-            pairs = pairs.select(F.col("hub.key").alias("x"), F.col("key").alias("y"))
+            # one hub a key: these rounds only bring components together, the last one leaves nothing out
+            pairs = pairs.groupBy(F.col("key").alias("y")).agg(F.min_by("hub.key", F.struct(F.xxhash64("hub.key", F.lit(r)), F.col("hub.key"))).alias("x"))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
