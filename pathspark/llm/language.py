@@ -113,8 +113,12 @@ def train(docs: DataFrame, text: str, lang: str, order_by: str, sample: int = 40
     languages = sorted(r[0] for r in known.select(lang).distinct().collect())
     share = max(1, sample // len(languages))
     rows = []
-    for one in languages:  # an ordered take keeps `share` rows per task at most
-        rows += known.filter(F.col(lang) == one).orderBy(F.xxhash64(order_by, F.lit(5)), text).select(text, lang).limit(share).collect()
+    place = F.xxhash64(order_by, F.lit(5))
+    for one in languages:
+        # the hashes alone say how far the sample goes; only its own texts then reach the driver
+        own = known.filter(F.col(lang) == one).withColumn("_place", place)
+        last = own.select("_place").orderBy("_place").limit(share).agg(F.max("_place")).first()[0]
+        rows += own.filter(F.col("_place") <= last).orderBy("_place", text).select(text, lang).limit(share).collect()
     order = np.random.default_rng(3).permutation(len(rows))
     rows = [rows[i] for i in order]
     model = LanguageModel(languages, idf, np.zeros((1 << BITS, len(languages)), np.float32), np.zeros(len(languages), np.float32), 1.0)
