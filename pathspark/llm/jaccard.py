@@ -24,6 +24,8 @@ from ._common import cell_batches, gram_hashes, in_map, mix64, pair_keys, pieces
 BITS = 28
 #: From so many documents on (or more, where the sketch is crowded) a shingle is frequent.
 FREQUENT = 64
+#: Shingles of one share of a component: two shares meet in one task when all links are asked for.
+SHARE = 1 << 20
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -101,12 +103,15 @@ def _sets_of(batch: pa.RecordBatch, shingle: int):
 
 @dataclass
 class Join:
-    """members: key (of a distinct set), doc, n. links: a, b, verified pairs of keys that span every component. components:
-    key, component (the least key of it) of the keys in links."""
+    """members: key (of a distinct set), doc, n. links: a, b, verified pairs of keys that span every component; all_links() has the
+    others too. components: key, component (the least key of it) of the keys in links. sets: key, members of the sets that had a
+    candidate."""
 
     members: DataFrame
     links: DataFrame
     components: DataFrame
+    sets: DataFrame
+    percent: int
 
 
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -175,7 +180,9 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     dropped: the components are exact.
 
     Null and empty texts have empty sets, which link with nothing. Null keys are members like others. An empty table gives empty
-    results."""
+    results.
+
+    Not every link is needed for that; all_links() and link_counts() compare the sets of each component with each other."""
     spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text"))
 
@@ -270,20 +277,119 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
         release(spark)
         if last:
             break
-    return Join(members, links, labels)
+    return Join(members, links, labels, sets, percent)
 
 
-def component_ids(join: Join) -> DataFrame:
-    """(doc, n_shingles, component_id) per row of the joined table: the smallest doc reachable by links, itself included. Documents
+def component_ids(join: Join, *more: str) -> DataFrame:
+    """(doc, n_shingles, component_id), and members' columns `more`, per row of the joined table: the smallest doc reachable by links, itself included. Documents
     with empty sets are alone; a component of null docs only has a null id."""
     least = join.members.filter(F.col("n") > 0).groupBy("key").agg(F.min("doc").alias("least"))
     least = least.join(join.components, "key", "left").withColumn("component", F.coalesce("component", "key"))
     of = least.groupBy("component").agg(F.min("least").alias("component_id"))
     of = least.join(of, "component").select(F.col("key").alias("k"), "component_id")
     rows = join.members.join(of, (F.col("key") == F.col("k")) & (F.col("n") > 0), "left")
-    return rows.select("doc", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
+    return rows.select(*more, "doc", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"))
+
+
+def _meetings(join: Join, share: int) -> DataFrame:
+    """The sets of each component, for the tasks that compare them: linked sets are in one component, so no link is elsewhere. A large
+    component is dealt into shares of about `share` shingles, and each two of them (one, two) meet, as each with itself."""
+    copies = join.members.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    held = join.components.join(join.sets, "key").join(copies, "key").select("component", "key", "copies", "members")
+    shares = held.groupBy("component").agg(F.ceil(F.sum(F.octet_length("members") / 8) / share).cast("int").alias("shares"))
+    held = held.join(shares, "component").withColumn("share", F.pmod(F.xxhash64("key"), F.col("shares")).cast("int"))
+    held = held.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+    return held.select("component", F.least("share", "with").alias("one"), F.greatest("share", "with").alias("two"), "share", "key", "copies", "members")
+
+
+def linked_in(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int):
+    """For each of the sets numbered in left: its number, and the numbers of those in right that reach the threshold with it. Where left
+    and right are the same, each pair comes once. All are compared that the sizes allow."""
+    size = np.array([len(s) for s in sets], np.int64)
+    same = left is right
+    right = right[np.argsort(size[right], kind="stable")]
+    left = right if same else left
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ids = np.split(ids.astype(np.int32), np.cumsum(size)[:-1])
+    flat = np.concatenate([ids[i] for i in right])
+    sizes = size[right]
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    mine = np.zeros(int(flat.max()) + 1 if same else max(int(i.max()) for i in ids) + 1, bool)
+    for place, i in enumerate(left.tolist()):
+        n = int(size[i])
+        low = max(int(np.searchsorted(sizes, least_overlap(n, percent))), place + 1 if same else 0)
+        high = int(np.searchsorted(sizes, 100 * n // percent, "right"))
+        if low >= high:
+            continue
+        mine[ids[i]] = True
+        common = np.add.reduceat(mine[flat[at[low] : at[high]]], at[low:high] - at[low], dtype=np.int64)
+        mine[ids[i]] = False
+        found = right[low:high][100 * common >= percent * (n + sizes[low:high] - common)]
+        if len(found):
+            yield i, found
+
+
+def _compare(join: Join, share: int, report, schema: str) -> DataFrame:
+    """report(keys, copies, linked pairs by number) of every meeting, as rows of schema."""
+    percent = join.percent
+
+    def run(batches):
+        def meetings():
+            now, rows = None, []
+            for batch in batches:
+                for c, one, two, s, key, copies, members in zip(*(batch.column(k).to_pylist() for k in ("component", "one", "two", "share", "key", "copies", "members"))):
+                    if (c, one, two) != now:
+                        if len(rows) > 1:
+                            yield now, rows
+                        now, rows = (c, one, two), []
+                    rows.append((s, key, copies, np.frombuffer(members, np.uint64)))
+            if len(rows) > 1:
+                yield now, rows
+
+        for (_, one, two), rows in meetings():
+            of = np.array([r[0] for r in rows])
+            left = np.flatnonzero(of == one)
+            right = left if one == two else np.flatnonzero(of == two)
+            if len(left) and len(right):
+                yield from report([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), linked_in([r[3] for r in rows], left, right, percent))
+
+    met = _meetings(join, share)
+    return met.repartition("component", "one", "two").sortWithinPartitions("component", "one", "two").mapInArrow(run, schema)
+
+
+def all_links(join: Join, share: int = SHARE) -> DataFrame:
+    """(a, b), a < b: every pair of different sets that reaches the threshold, once. Copies of a set are one key in members."""
+
+    def report(keys, _, linked):
+        for i, found in linked:
+            yield pa.RecordBatch.from_arrays([pa.array([min(keys[i], keys[j]) for j in found], pa.binary()), pa.array([max(keys[i], keys[j]) for j in found], pa.binary())], ["a", "b"])
+
+    return _compare(join, share, report, "a binary, b binary")
+
+
+def link_counts(join: Join, share: int = SHARE) -> DataFrame:
+    """(key, linked): how many rows of the joined table have another set that links with the key's; keys without any aren't listed. The
+    links are counted where they are found, and never written."""
+
+    def report(keys, copies, linked):
+        n = np.zeros(len(keys), np.int64)
+        for i, found in linked:
+            n[i] += copies[found].sum()
+            n[found] += copies[i]
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in some], pa.binary()), pa.array(n[some])], ["key", "linked"])
+
+    return _compare(join, share, report, "key binary, linked long").groupBy("key").agg(F.sum("linked").alias("linked"))
+
+
+def with_links(join: Join, share: int = SHARE) -> DataFrame:
+    """component_ids() with n_links: how many other rows each row links with, copies of its own text included."""
+    copies = join.members.filter(F.col("n") > 0).groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
+    n = copies.join(link_counts(join, share), "key", "left").select(F.col("key").alias("k"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    rows = component_ids(join, "key")
+    return rows.join(n, F.col("key") == F.col("k"), "left").select("doc", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, for shingles of 4 words and a similarity of 0.85."""
-    return component_ids(jaccard_join(table(spark, sf_dir, "documents"))).withColumnRenamed("doc", "doc_id")
+    """Per document: doc_id, n_shingles, component_id, n_links, for shingles of 4 words and a similarity of 0.85."""
+    return with_links(jaccard_join(table(spark, sf_dir, "documents"))).withColumnRenamed("doc", "doc_id")

@@ -62,6 +62,23 @@ def test_jaccard_finds_chains_among_many_near_copies(spark):
     assert rows(got, "doc", "n_shingles", "component_id") == brute.components(docs)
 
 
+@pytest.mark.parametrize("share", [1, 500, 1 << 20])
+def test_jaccard_has_all_links(spark, share):
+    r = random.Random(6)
+    base = [f"v{i}" for i in range(120)]
+    near = [(1000 + i, " ".join(w if r.random() > 0.01 else f"n{i}" for w in base)) for i in range(40)]
+    docs = corpus(3) + near
+    join = jaccard.jaccard_join(spark.createDataFrame(docs, DOC).repartition(3), bits=20, frequent=4, rounds=1)
+    sets = [brute.sets(t, 4) for _, t in docs]
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 85 * len(a | b)
+    want = sorted(((d, sum(linked(s, t) for j, t in enumerate(sets) if j != i)) for i, ((d, _), s) in enumerate(zip(docs, sets))), key=str)
+    assert rows(jaccard.with_links(join, share), "doc", "n_links") == want
+    got = [tuple(map(bytes, p)) for p in jaccard.all_links(join, share).collect()]
+    different = list(set(sets))
+    assert len(got) == len(set(got)) == sum(linked(a, b) for i, a in enumerate(different) for b in different[:i]) > join.links.count()
+    assert all(a < b for a, b in got)
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.component_ids(jaccard.jaccard_join(spark.createDataFrame([], DOC), bits=20)).count() == 0
 
