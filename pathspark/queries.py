@@ -316,7 +316,7 @@ def datetime_range(spark, d):
 def regex_datetime_extract(spark, d):
     from .plans.context import instants
 
-    e = _t(spark, d, "events").filter("event_id < 500").select(F.concat(F.lit('{"a":["x '), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(' y"],"b":"2024-13-99"}')).alias("json"))
+    e = _t(spark, d, "events").select(F.concat(F.lit('{"a":["x '), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(' y"],"b":"2024-13-99"}')).alias("json"))
     return instants(e, "json").select(F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at")).distinct()
 
 

@@ -107,3 +107,27 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "x.ndjson").write_text('{"resourceType":"Patient","id":"p","gender":"male"}\n{"resourceType":"Encounter","id":"e","subject":{"reference":"Patient/p"}}\n')
     stream_ndjson(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out" / "Encounter")).first()["patient_id"] == "p"
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def table(name):
+    return duckdb.connect().sql(f"SELECT * FROM '{SF}/{name}.parquet'").fetchall()
+
+
+needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+
+
+@needs_data
+def test_instants_of_all_events(spark):
+    con = duckdb.connect()
+    want = {r[0] for r in con.sql(f"SELECT strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') FROM '{SF}/events.parquet'").fetchall()}
+    got = [r["at"] for r in QUERIES["regex_datetime_extract"](spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
