@@ -340,7 +340,7 @@ def near_dup_vs_original(spark, d):
 
 @query()
 def greedy_near_dup(spark, d):
-    rows = _t(spark, d, "conversations").filter("role = 'user' and length(text) < 200").withColumn("g", F.col("conv_id") % 50)
+    rows = _t(spark, d, "conversations").filter("role = 'user'").withColumn("g", F.col("conv_id") % 50)
     return C.greedy_distinct(rows.withColumn("o", F.col("conv_id") * 100 + F.col("turn")), "g", "o", "text").select("g", "o")
 
 

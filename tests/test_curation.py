@@ -131,3 +131,19 @@ def test_instants_of_all_events(spark):
     want = {r[0] for r in con.sql(f"SELECT strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') FROM '{SF}/events.parquet'").fetchall()}
     got = [r["at"] for r in QUERIES["regex_datetime_extract"](spark, SF).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_greedy_near_dup_judges_long_texts(spark, tmp_path):
+    long_ = ["".join(chr(97 + (i * k + i * i) % 26) for i in range(400)) for k in (3, 5)]
+    turns = [(1, 0, "user", long_[0]), (51, 0, "user", long_[0][:-5] + "?????"), (51, 1, "user", long_[1]), (101, 0, "user", "short"), (2, 0, "user", long_[0]), (1, 1, "system", long_[1])]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    kept = {}
+    for c, t, role, text in sorted(turns):
+        if role == "user":
+            have = kept.setdefault(c % 50, [])
+            far = lambda a, b: levenshtein(a, b) >= 10 and levenshtein(a, b) / max(len(a), len(b)) >= 0.15
+            if all(far(text, k) for _, k in have):
+                have.append((c * 100 + t, text))
+    want = sorted((g, o) for g, have in kept.items() for o, _ in have)
+    assert want == [(1, 100), (1, 5101), (1, 10100), (2, 200)]
+    assert sorted((r["g"], r["o"]) for r in QUERIES["greedy_near_dup"](spark, str(tmp_path)).collect()) == want
