@@ -333,7 +333,7 @@ def exact_dedup_keep_first(spark, d):
 
 @query("SELECT a.item_id AS a, b.item_id AS b, CAST(levenshtein(a.text, b.text) AS BIGINT) AS distance, levenshtein(a.text, b.text) >= 10 AND levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text)) >= 0.15 AS far FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1 WHERE strlen(a.text) = length(a.text) AND strlen(b.text) = length(b.text)")
 def near_dup_vs_original(spark, d):
-    b = _t(spark, d, "benchmark").filter(F.octet_length("text") == F.length("text"))
+    b = _t(spark, d, "benchmark")
     x, y = b.select(F.col("item_id").alias("a"), F.col("text").alias("ta")), b.select(F.col("item_id").alias("b"), F.col("text").alias("tb"))
     return x.join(y, F.col("b") == F.col("a") + 1).select("a", "b", F.levenshtein("ta", "tb").cast("long").alias("distance"), C.different(F.col("ta"), F.col("tb")).alias("far"))
 
@@ -481,7 +481,7 @@ def review_acceptance(spark, d):
 
 @query("WITH a AS (SELECT conv_id, string_agg(DISTINCT text, '#' ORDER BY text) AS t FROM conversations WHERE role = 'user' AND strlen(text) = length(text) GROUP BY 1), b AS (SELECT conv_id, string_agg(DISTINCT text, '#' ORDER BY text) AS t FROM conversations WHERE role = 'system' AND strlen(text) = length(text) GROUP BY 1) SELECT coalesce(a.conv_id, b.conv_id) AS template_id, a.t AS clinical, b.t AS patient FROM a FULL JOIN b ON a.conv_id = b.conv_id")
 def union_full_outer_merge(spark, d):
-    c = _t(spark, d, "conversations").filter(F.octet_length("text") == F.length("text")).withColumnRenamed("conv_id", "template_id")
+    c = _t(spark, d, "conversations").withColumnRenamed("conv_id", "template_id")
     got = C.merge_perspectives(c.filter("role = 'user'"), c.filter("role = 'system'"))
     return got.select("template_id", F.array_join("clinical", "#").alias("clinical"), F.array_join("patient", "#").alias("patient"))
 

@@ -147,3 +147,24 @@ def test_greedy_near_dup_judges_long_texts(spark, tmp_path):
     want = sorted((g, o) for g, have in kept.items() for o, _ in have)
     assert want == [(1, 100), (1, 5101), (1, 10100), (2, 200)]
     assert sorted((r["g"], r["o"]) for r in QUERIES["greedy_near_dup"](spark, str(tmp_path)).collect()) == want
+
+
+def test_near_dup_vs_original_has_texts_beyond_ascii(spark, tmp_path):
+    items = [(1, "Größe und Gewicht"), (2, "Grösse und Gewicht"), (3, "naïve café"), (4, "日本語のテキストと長い文"), (6, "alone"), (7, "alone too")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    text = dict(items)
+    d = {i: levenshtein(text[i], text[i + 1]) for i in text if i + 1 in text}
+    want = sorted((i, i + 1, n, n >= 10 and n / max(len(text[i]), len(text[i + 1])) >= 0.15) for i, n in d.items())
+    got = QUERIES["near_dup_vs_original"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.select("a", "b", "distance", "far").collect()) == want
+
+
+@needs_data
+def test_union_full_outer_merge_has_texts_beyond_ascii(spark):
+    merged = {}
+    for conv, role, text in duckdb.connect().sql(f"SELECT conv_id, role, text FROM '{SF}/conversations.parquet' WHERE role IN ('user', 'system')").fetchall():
+        merged.setdefault(conv, {"user": set(), "system": set()})[role].add(text)
+    one = lambda texts: "#".join(sorted(texts)) if texts else None
+    got = QUERIES["union_full_outer_merge"](spark, SF).collect()
+    assert {r["template_id"]: (r["clinical"], r["patient"]) for r in got} == {c: (one(m["user"]), one(m["system"])) for c, m in merged.items()}
+    assert len(got) == len(merged)
