@@ -168,3 +168,11 @@ def test_union_full_outer_merge_has_texts_beyond_ascii(spark):
     got = QUERIES["union_full_outer_merge"](spark, SF).collect()
     assert {r["template_id"]: (r["clinical"], r["patient"]) for r in got} == {c: (one(m["user"]), one(m["system"])) for c, m in merged.items()}
     assert len(got) == len(merged)
+
+
+@needs_data
+def test_cross_has_all_templates(spark):
+    patients, templates = sorted(r[0] for r in table("customer")), sorted(r[1] for r in table("nation"))
+    want = [(p, t, i, k) for k, (p, t, i) in enumerate((p, t, i) for p in patients for t in templates for i in (1, 2))]
+    got = QUERIES["cross_patients_templates"](spark, SF).select("patient", "template", "i", "index").collect()
+    assert len(templates) == 25 and sorted(tuple(r) for r in got) == want
