@@ -48,11 +48,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: the one with the smallest id, once. Empty texts are in no group, so
-    each stays; rows without an id stay."""
-    ids = component_ids(jaccard_join(docs, shingle=SHINGLE, percent=SIMILARITY))
-    kept = ids.filter(F.col("doc") == F.col("component_id")).select(F.col("doc").alias("doc_id")).distinct()
-    rows = docs.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang"))).filter("_n = 1")
+    """Keeps one document of each group of near duplicates: the one with the smallest id, once. A document is known by its id and its
+    text's hash, so texts that share an id are judged each by itself. Empty texts are in no group, so each stays; rows without an id stay."""
+    known = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
+    ids = component_ids(jaccard_join(docs.select(known.alias("row"), "text"), key="row", shingle=SHINGLE, percent=SIMILARITY))
+    kept = ids.filter(F.col("doc") == F.col("component_id")).select("doc.doc_id", F.col("doc.text_hash").alias("_hash")).distinct()
+    rows = docs.withColumn("_hash", F.xxhash64("text")).join(kept, ["doc_id", "_hash"], "left_semi")
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("source", "lang"))).filter("_n = 1")
     return rows.select(_columns(docs)).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 

@@ -47,6 +47,15 @@ def test_each_stage_on_what_its_predecessor_kept(spark, tmp_path):
     assert sorted(r["doc_id"] for r in out) == sorted(r["doc_id"] for r in seen["token_ids"][0].select("doc_id").collect())
 
 
+def test_near_duplicates_with_clashing_ids(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    # id 5 has a near copy of id 1 and a text of its own; id 6 has two texts of their own; id 7 twice the same
+    docs = [(1, text("b")), (5, text("b") + " more"), (5, text("c")), (6, text("d")), (6, text("e")), (7, text("f")), (7, text("f")), (None, text("b")), (8, text("c"))]
+    df = spark.createDataFrame([(d, t, "en", "s") for d, t in docs], "doc_id long, text string, lang string, source string")
+    got = sorted(((r["doc_id"], r["text"]) for r in cp.near_duplicates(spark, df, SF).collect()), key=str)
+    assert got == sorted([(1, text("b")), (5, text("c")), (6, text("d")), (6, text("e")), (7, text("f")), (None, text("b"))], key=str)
+
+
 def test_stages_of_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
