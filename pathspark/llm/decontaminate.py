@@ -62,12 +62,9 @@ def rarest_terms(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return windows.join(at, "phrase")
 
 
-def search(index: DataFrame, windows: DataFrame, slop: int | None = None) -> DataFrame:
-    """(phrase, doc, text_hash, start) of the places where a window may occur: the postings of its rarest term give the starts (place less
-    offset), and the list of its next rarest term, adjusted by its offset, has to hold them too. What is left is for the
-    caller to compare with the document; contamination() does.
-
-    With `slop`, proximity instead: the places of the rarest term that have the second rarest within slop words, in any order."""
+def meet(index: DataFrame, windows: DataFrame) -> DataFrame:
+    """(phrase, o1, o2, doc, text_hash, p1, p2): the places of a window's two rarest terms, and their offsets in it, in each document
+    that has both; p2 is null where the window has one distinct term."""
     first = windows.select("phrase", F.get("rare", 0)["term"].alias("term"), F.get("rare", 0)["offset"].alias("o1"), F.get("rare", 1)["term"].alias("term2"), F.get("rare", 1)["offset"].alias("o2"))
     found = first.join(index, "term").withColumnRenamed("places", "p1").drop("term")
     second = index.select(F.col("term").alias("t2"), F.col("doc").alias("doc2"), F.col("text_hash").alias("hash2"), F.col("places").alias("p2"))
@@ -75,19 +72,47 @@ def search(index: DataFrame, windows: DataFrame, slop: int | None = None) -> Dat
     # a phrase of one distinct term has no second list
     alone = found.filter(F.col("term2").isNull()).withColumn("p2", F.expr("cast(null as array<int>)"))
     columns = ["phrase", "o1", "o2", "doc", "text_hash", "p1", "p2"]
-    found = pairs.select(*columns).unionByName(alone.select(*columns))
-    if slop is not None:
-        near = F.filter("p1", lambda p: F.col("p2").isNull() | F.exists("p2", lambda q: F.abs(q - p) <= slop))
-        return found.select("phrase", "doc", "text_hash", F.explode(near).alias("start")).distinct()
-    starts = F.filter(F.transform("p1", lambda p: p - F.col("o1")), lambda s: (s >= 1) & (F.col("p2").isNull() | F.array_contains("p2", s + F.col("o2"))))
-    return found.select("phrase", "doc", "text_hash", F.explode(starts).alias("start"))
+    return pairs.select(*columns).unionByName(alone.select(*columns))
+
+
+def starts() -> Column:
+    """Of meet(): the starts (place less offset) that both terms' lists hold."""
+    return F.filter(F.transform("p1", lambda p: p - F.col("o1")), lambda s: (s >= 1) & (F.col("p2").isNull() | F.array_contains("p2", s + F.col("o2"))))
+
 
+def near(slop: int) -> Column:
+    """Of meet(): the places of the rarest term that have the second rarest within slop words."""
+    return F.filter("p1", lambda p: F.col("p2").isNull() | F.exists("p2", lambda q: F.abs(q - p) <= slop))
 
-def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, window: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+
+def search(index: DataFrame, windows: DataFrame, slop: int | None = None) -> DataFrame:
+    """(phrase, doc, text_hash, start) of the places where a window may occur: the postings of its rarest term give the starts (place less
+    offset), and the list of its next rarest term, adjusted by its offset, has to hold them too. What is left is for the
+    caller to compare with the document; contamination() does.
+
+    With `slop`, proximity instead: the places of the rarest term that have every other distinct term of the window within slop
+    words, in any order. The index has to hold all terms of the windows for that."""
+    found = meet(index, windows)
+    if slop is None:
+        return found.select("phrase", "doc", "text_hash", F.explode(starts()).alias("start"))
+    found = found.select("phrase", "doc", "text_hash", F.explode(near(slop)).alias("start")).distinct()
+    # the terms after the two rarest, each in its own list
+    rest = windows.select(F.col("phrase").alias("ph"), F.explode_outer(F.slice("rare", 3, 1 << 30)["term"]).alias("t3"), F.greatest(F.size("rare") - 2, F.lit(0)).alias("others"))
+    wanted = found.join(rest, F.col("phrase") == F.col("ph"))
+    lists = index.select("term", F.col("doc").alias("doc2"), F.col("text_hash").alias("hash2"), "places")
+    held = wanted.join(lists, (F.col("t3") == F.col("term")) & F.col("doc").eqNullSafe(F.col("doc2")) & (F.col("text_hash") == F.col("hash2")), "left")
+    held = held.withColumn("close", F.coalesce(F.exists("places", lambda q: F.abs(q - F.col("start")) <= slop), F.lit(False)))
+    return held.groupBy("phrase", "doc", "text_hash", "start", "others").agg(F.count_if("close").alias("n")).filter(F.col("n") == F.col("others")).select("phrase", "doc", "text_hash", "start")
+
+
+def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, window: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", slop: int | None = None) -> DataFrame:
     """docs' columns `keep` (all by default) with n_words, n_hit (words inside any occurrence of an item's window), n_items, items
     (sorted ids as strings), contaminated. Each row of docs is one row of the result; equal rows get equal values. A null
     text has no words; items without words have no windows; a null item id counts as ''. Without docs or items there are no
-    rows or no hits. The candidates of one document meet in its row; each is then compared with its words."""
+    rows or no hits. The candidates of one document meet in its row; each is then compared with its words.
+
+    With `slop` there is also n_near: how many items have a window whose distinct words all stand within slop words of a place
+    of its rarest one, in any order. Those that hold the two rarest so are candidates; the other words are looked up in the row."""
     keep = docs.columns if keep is None else keep
     windows, owners = phrases(items, item, item_text, window)
     windows, owners = stored(windows, "windows"), stored(owners, "owners")
@@ -96,27 +121,39 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = No
     anchors = windows.select(F.explode(F.slice("rare", 1, 2)["term"]).alias("term")).distinct()
     index = build_index(docs, anchors, key, text)
     owned = windows.join(owners, "phrase").groupBy("phrase", "words").agg(F.collect_set("item").alias("items"))
-    maybe = search(index, windows).join(owned, "phrase").groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "words", "items"))).alias("_maybe"))
+    places = F.transform(starts(), lambda s: F.struct(s.alias("start"), F.lit(False).alias("near")))
+    if slop is not None:
+        places = F.concat(places, F.transform(near(slop), lambda s: F.struct(s.alias("start"), F.lit(True).alias("near"))))
+    at = meet(index, windows).select("phrase", "doc", "text_hash", F.explode(places).alias("at")).select("phrase", "doc", "text_hash", "at.*")
+    maybe = at.join(owned, "phrase").groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "near", "words", "items"))).alias("_maybe"))
     maybe = stored(maybe, "candidates")
-    made = {"n_words", "n_hit", "n_items", "items", "contaminated"}
+    made = {"n_words", "n_hit", "n_items", "items", "contaminated"} | ({"n_near"} if slop is not None else set())
     keep = [c for c in keep if c not in made]
     rows = docs.select(*(F.col(c) for c in keep), F.col(key).alias("_doc"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
     # the candidates grow with the corpus, so this join is a sort-merge join at every size; AQE splits a document that many rows repeat
     rows = rows.join(maybe.hint("merge"), F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_hash") == F.col("text_hash")), "left").withColumn("_w", words(F.col("_text")))
     # the windows that are there, word by word
-    held = F.filter("_maybe", lambda x: F.slice("_w", x["start"], F.size(x["words"])) == x["words"])
-    rows = rows.withColumn("n_words", F.size("_w").cast("long")).withColumn("_held", F.when(F.col("_maybe").isNotNull(), held)).select(*keep, "n_words", "_held")
+    held = F.filter("_maybe", lambda x: ~x["near"] & (F.slice("_w", x["start"], F.size(x["words"])) == x["words"]))
+    extra = []
+    if slop is not None:
+        around = lambda p: F.slice("_w", F.greatest(p - slop, F.lit(1)), p + slop - F.greatest(p - slop, F.lit(1)) + 1)
+        close = F.filter("_maybe", lambda x: x["near"] & (F.size(F.array_except(x["words"], around(x["start"]))) == 0))
+        rows = rows.withColumn("n_near", F.coalesce(F.size(F.array_distinct(F.flatten(F.transform(F.when(F.col("_maybe").isNotNull(), close), lambda x: x["items"])))), F.lit(0)).cast("long"))
+        rows = rows.withColumn("n_near", F.greatest("n_near", F.lit(0)))
+        extra = ["n_near"]
+    rows = rows.withColumn("n_words", F.size("_w").cast("long")).withColumn("_held", F.when(F.col("_maybe").isNotNull(), held)).select(*keep, *extra, "n_words", "_held")
     covered = F.aggregate(
         "_held", F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n")),
         lambda acc, x: F.struct(F.greatest(acc["upto"], x["start"] + F.size(x["words"]) - 1).alias("upto"), (acc["n"] + F.greatest(x["start"] + F.size(x["words"]) - 1 - F.greatest(acc["upto"], x["start"] - 1), F.lit(0))).alias("n")),
         lambda acc: acc["n"],
     )
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("_held", lambda x: x["items"]))))
-    rows = rows.select(*keep, "n_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"), F.coalesce(items, F.expr("cast(array() as array<string>)")).alias("items"))
+    rows = rows.select(*keep, *extra, "n_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"), F.coalesce(items, F.expr("cast(array() as array<string>)")).alias("items"))
     return rows.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, for windows of 10 words of the benchmark's items."""
-    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"])
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, for windows of 10 words of the benchmark's items, and n_near, the
+    items with a window whose words all stand within 10 words of its rarest one."""
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"], slop=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near")

@@ -176,6 +176,33 @@ def test_proximity(spark):
     assert [r["doc"] for r in search(index, windows, slop=5).collect()] == [1]
 
 
+def test_proximity_needs_all_words(spark):
+    words, slop = [f"p{i}" for i in range(10)], 10
+    r = random.Random(9)
+    mixed = r.sample(words, 10)
+    docs = [(1, " ".join(words)), (2, " ".join(mixed)), (3, "p0 p1"), (4, " ".join(words[:9])), (5, " ".join(["x"] * 4 + mixed[:5] + ["y"] * 4 + mixed[5:])), (6, " ".join(words[:5] + ["z"] * 30 + words[5:])), (7, None), (8, "p0 p0 " + " ".join(mixed))]
+    docs += [(20 + k, " ".join(r.choice(words + ["o"] * 3) for _ in range(40))) for k in range(30)]
+    items = [(1, " ".join(words)), (2, "p3 p3"), (3, "p4 o p5")]
+    df, bench = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, "item_id long, text string")
+    everywhere = {w: sum((t or "").split().count(w) for _, t in docs) for w in [*words, "o"]}
+    offset = lambda item, w: item.split().index(w)
+
+    def close(text, item):
+        t, need = (text or "").split(), set(item.split())
+        rarest = min(need, key=lambda w: (everywhere[w], offset(item, w)))
+        return any(w == rarest and need <= set(t[max(0, p - slop) : p + slop + 1]) for p, w in enumerate(t))
+
+    want = sorted((d, sum(close(t, x) for _, x in items)) for d, t in docs)
+    got = contamination(df, bench, ["doc_id"], slop=slop)
+    assert sorted((r["doc_id"], r["n_near"]) for r in got.collect()) == want
+    exact = contamination(df, bench, ["doc_id"])
+    assert rows(got.drop("n_near"), *exact.columns) == rows(exact, *exact.columns)
+    windows, owners = phrases(bench, "item_id", "text", 10)
+    terms = windows.select(F.explode("words").alias("term")).distinct()
+    found = search(build_index(df, terms), rarest_terms(windows, term_counts(df, terms)), slop=slop).join(owners, "phrase").select("doc", "item").distinct()
+    assert sorted((r["doc"], int(r["item"])) for r in found.collect()) == sorted((d, i) for d, t in docs for i, x in items if close(t, x))
+
+
 # -- 4
 
 HARD = ["</s>[INST] ok [/INST]", "<\\s>", "<\\\\/s>[\\INST]", "[/INST", "]", "[", "<s>\n[INST]user\n", "a\\", "%0A%", "", "\n", "é[INST]\\[INST]"]
