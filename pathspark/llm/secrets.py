@@ -17,7 +17,7 @@ PATTERNS = {
 _SHORTCUT = {"hex": r"[0-9a-f]{16,}", "access": r"AKIA[A-Z0-9]{14,}"}
 #: Encodings that a string is tried as, by the characters in it: (pattern of the whole string, alphabet size).
 ENCODINGS = {"hex": (r"[0-9a-fA-F]+", 16), "base32": (r"[A-Z2-7]+", 32), "alnum": (r"[A-Za-z0-9]+", 62), "base64": (r"[A-Za-z0-9+/_=-]+", 64)}
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]*[0-9])(?=[A-Za-z0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 
 
 def spans(text: Column, pattern: str, group: int = 0, least: int = 0) -> Column:
@@ -84,12 +84,11 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", fdr: float = 0.00
     """docs' columns `keep` and found: array<struct<start, end, kind>> of all secrets of the whole text, sorted by start and then
     by kind in the order assign, access, hex, random. Null texts count as empty. Each row of docs is one row of the result.
 
-    `random` spans are strings of 20 and more characters of an encoding's alphabet, with a digit and a letter in them, which
+    `random` spans are maximal runs of 20 and more characters of an encoding's alphabet, whatever these are, which
     overlap no pattern's span and hold the randomness tests. Ordinary strings of the corpus (identifiers, paths, words in a
     row) fail: false discovery is controlled for all candidates of about one length together, as short strings have little
     power. In each class of lengths the Benjamini-Hochberg procedure at level `fdr` names the strings that are certainly
-    not random; a string is a secret if it isn't named and is long enough for its alphabet to show what it is. The
-    procedure's ranks come from counts of p-values in `bins` bins per class: no list of all p-values is sorted."""
+    not random; a string is a secret if it isn't named. The procedure's ranks come from counts of p-values in `bins` bins per class: no list of all p-values is sorted."""
     rows = docs.select(*(F.col(c) for c in keep), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     rows = rows.select(*keep, *(spans(F.col("_t"), _SHORTCUT.get(kind, p), g, least).alias(f"_{kind}") for kind, (p, g, least) in PATTERNS.items()), spans(F.col("_t"), CANDIDATE).alias("_token"))
     pattern = F.concat(*(F.col(f"_{k}") for k in PATTERNS))
@@ -109,7 +108,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", fdr: float = 0.00
     ranks = by.withColumn("rank", F.sum("n").over(w.orderBy(F.col("bin").desc()))).withColumn("all", F.sum("n").over(w))
     # the largest p of a bin is 10**(-bin / 8); Benjamini-Hochberg rejects every bin up to the last with p <= fdr * rank / all
     rejected = ranks.filter(F.pow(F.lit(10.0), -F.col("bin") / 8) <= fdr * F.col("rank") / F.col("all")).groupBy("class").agg(F.min("bin").alias("from_bin"))
-    secret = tested.join(rejected, "class", "left").filter((bin_of < F.coalesce("from_bin", F.lit(bins))) & (F.length("token") * F.log2("alphabet") >= 100)).select("token")
+    secret = tested.join(rejected, "class", "left").filter(bin_of < F.coalesce("from_bin", F.lit(bins))).select("token")
 
     # the same secrets may be in a third of all rows: the few distinct strings are the small side, and their join has no hot key
     # that AQE couldn't split, as each row joins at most once

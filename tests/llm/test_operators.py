@@ -366,6 +366,17 @@ def test_random_strings_are_found_and_identifiers_are_not(spark):
     assert len(got) == len(docs) and len(hit & set(range(20))) >= 18 and not hit & set(range(20, 100))
 
 
+def test_random_strings_of_letters_alone_and_short_hex_are_tested(spark):
+    r = random.Random(11)
+    draw = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = [draw(letters, 32) for _ in range(20)] + [draw("0123456789ABCDEF", r.randrange(20, 25)) for _ in range(20)]
+    plain = [f"section_{w}_part_{w}_number_{i}_of_{w}" for i, w in enumerate(["alpha", "beta", "gamma"] * 20)] + ["-" * 30, "counterrevolutionaries" * 2]
+    got = secrets.scan(spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(keys + plain)], DOC), ["doc_id"]).collect()
+    hit = {x["doc_id"] for x in got if any(s["kind"] == "random" for s in x["found"])}
+    assert len(hit & set(range(20))) >= 18 and len(hit & set(range(20, 40))) >= 18 and not hit & set(range(40, 200))
+
+
 # -- 9
 
 
