@@ -42,12 +42,11 @@ def rows(df, *cols):
 # -- 1
 
 
-@pytest.mark.parametrize(("frequent", "percent", "shingle"), [(64, 85, 4), (2, 85, 4), (2, 80, 5), (3, 60, 2)])
-def test_jaccard_equals_brute_force(spark, frequent, percent, shingle):
-    for seed in (1, 2):
-        docs = corpus(seed)
-        got = jaccard.component_ids(jaccard.jaccard_join(spark.createDataFrame(docs, DOC).repartition(3), shingle=shingle, percent=percent, bits=20, frequent=frequent, rounds=1))
-        assert rows(got, "doc", "n_shingles", "component_id") == brute.components(docs, shingle, percent)
+@pytest.mark.parametrize(("frequent", "percent", "shingle", "bucket", "share"), [(64, 85, 4, 1 << 15, 1 << 20), (2, 85, 4, 4, 100), (2, 80, 5, 1 << 15, 50), (3, 60, 2, 3, 1 << 20), (2, 50, 1, 5, 300), (2, 40, 2, 1 << 15, 1 << 20), (64, 40, 1, 7, 1)])
+def test_jaccard_equals_brute_force(spark, frequent, percent, shingle, bucket, share):
+    docs = [*corpus(1), *corpus(2), (800, "ab bc"), (801, "ab"), (802, "bc"), (803, "ab x y"), (804, "x")]
+    got = jaccard.component_ids(jaccard.jaccard_join(spark.createDataFrame(docs, DOC).repartition(3), shingle=shingle, percent=percent, bits=20, frequent=frequent, bucket=bucket, share=share))
+    assert rows(got, "doc", "n_shingles", "component_id") == brute.components(docs, shingle, percent)
 
 
 def test_jaccard_finds_chains_among_many_near_copies(spark):
@@ -68,32 +67,86 @@ def test_jaccard_has_all_links(spark, share):
     base = [f"v{i}" for i in range(120)]
     near = [(1000 + i, " ".join(w if r.random() > 0.01 else f"n{i}" for w in base)) for i in range(40)]
     docs = corpus(3) + near
-    join = jaccard.jaccard_join(spark.createDataFrame(docs, DOC).repartition(3), bits=20, frequent=4, rounds=1)
+    join = jaccard.jaccard_join(spark.createDataFrame(docs, DOC).repartition(3), bits=20, frequent=4, bucket=10, share=share)
     sets = [brute.sets(t, 4) for _, t in docs]
     linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 85 * len(a | b)
     want = sorted(((d, sum(linked(s, t) for j, t in enumerate(sets) if j != i)) for i, ((d, _), s) in enumerate(zip(docs, sets))), key=str)
-    assert rows(jaccard.with_links(join, share), "doc", "n_links") == want
+    assert rows(jaccard.with_links(join), "doc", "n_links") == want
     got = [tuple(map(bytes, p)) for p in jaccard.all_links(join, share).collect()]
     different = list(set(sets))
-    assert len(got) == len(set(got)) == sum(linked(a, b) for i, a in enumerate(different) for b in different[:i]) > join.links.count()
+    assert len(got) == len(set(got)) == sum(linked(a, b) for i, a in enumerate(different) for b in different[:i])
     assert all(a < b for a, b in got)
 
 
+def test_many_near_copies_that_dont_link(spark):
+    r = random.Random(12)
+    base = [f"v{i}" for i in range(60)]
+    docs = []
+    for i in range(3000):  # two words of 60 changed: 8 of 57 shingles, so two of them share some 41 of 73
+        w = list(base)
+        for k in r.sample(range(60), 2):
+            w[k] = f"n{i}_{k}"
+        docs.append((i, " ".join(w)))
+    docs += [(5000 + i, docs[7 * i][1] + " end") for i in range(100)]
+    join = jaccard.jaccard_join(spark.createDataFrame(docs, DOC).repartition(3), bits=20, frequent=4)
+    sets = np.zeros((len(docs), 1 << 16), bool)
+    numbers = {}
+    for row, (_, text) in zip(sets, docs):
+        row[[numbers.setdefault(g, len(numbers)) for g in brute.sets(text, 4)]] = True
+    sets = sets[:, : len(numbers)].astype(np.float32)
+    common, n = sets @ sets.T, sets.sum(1)
+    linked = 100 * common >= 85 * (n[:, None] + n[None, :] - common)
+    want = {d: int(k) - 1 for (d, _), k in zip(docs, linked.sum(1))}
+    got = jaccard.with_links(join).collect()
+    assert {x["doc"]: x["n_links"] for x in got} == want and sum(want.values()) < 3000 * 3000 / 4
+    least = np.arange(len(docs))
+    for _ in range(20):
+        least = np.where(linked, least[None, :], len(docs)).min(1)
+    assert {x["doc"]: x["component_id"] for x in got} == {d: docs[i][0] for (d, _), i in zip(docs, least)}
+
+
+def test_forests_connect_what_may_link():
+    r = np.random.default_rng(4)
+    for size in (2, 3, 30, 70, 300):
+        sets = []
+        for _ in range(size):
+            base = np.arange(100, dtype=np.uint64) + np.uint64(1000 * r.integers(0, max(1, size // 20)))
+            base[r.integers(0, 100, r.integers(0, 9))] = r.integers(10**6, 10**9, 1)
+            sets.append(np.unique(base[: int(r.integers(85, 101))]))
+        sets.sort(key=len)
+        n = np.array([len(s) for s in sets])
+        rows = jaccard.Rows(n, n, jaccard.parities(sets), 85)
+        may = rows.may_link(np.arange(size)[:, None], np.arange(size)[None, :])
+        for i in range(size):
+            for j in range(size):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                assert may[i, j] or 100 * both < 85 * (n[i] + n[j] - both)
+        for side in (np.zeros(size, int), r.integers(1, 3, size)):
+            meet = may & ((side[:, None] == 0) | (side[:, None] != side[None, :])) | np.eye(size, dtype=bool)
+            x, y = jaccard.possible(np.zeros(size, int), side, rows)
+            assert meet[x, y].all()
+            own = np.eye(size, dtype=bool)
+            own[x, y] = own[y, x] = True
+            for _ in range(10):
+                meet, own = (m.astype(np.float32) @ m.astype(np.float32) > 0 for m in (meet, own))
+            assert (meet == own).all()
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.component_ids(jaccard.jaccard_join(spark.createDataFrame([], DOC), bits=20)).count() == 0
 
 
-@pytest.mark.parametrize("percent", [60, 80, 85, 100])
+@pytest.mark.parametrize("percent", [20, 40, 50, 60, 80, 85, 100])
 def test_linking_sets_share_a_signature(percent):
     r = np.random.default_rng(percent)
     for _ in range(300):
-        n = int(r.integers(2, 200))
+        n = int(r.integers(2, r.choice([4, 10, 200])))
         pool = np.unique(r.integers(0, 2**63, n + 60).astype(np.uint64))
         a = np.sort(r.choice(pool, n, replace=False))
         b = np.sort(np.r_[r.choice(a, max(1, n - int(r.integers(0, max(1, n // 8)))), replace=False), r.choice(pool, int(r.integers(0, max(1, n // 10))), replace=False)])
         b = np.unique(b)
         both = len(np.intersect1d(a, b))
-        if 100 * both < percent * (len(a) + len(b) - both) or len(b) < 2:
+        if 100 * both < percent * (len(a) + len(b) - both):
             continue
         often = lambda s: (s % np.uint64(3)) < np.uint64(2)
         known = np.union1d(a, b)
