@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: What separates words, as a Java or RE2 character class body.
-WORD = "[^\\x20\\x09-\\x0D]+"
+#: Words: what ASCII white space separates. The characters are listed one by one: such a class is a bitmap for Java, faster than a range.
+WORD = "[^\\x20\\x09\\x0A\\x0B\\x0C\\x0D]+"
 #: Bytes of text that the vectorised code looks at together; it bounds a Python worker's memory.
 SLICE_BYTES = 2 << 20
 
@@ -80,6 +80,18 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, keep: list[str], **more) -> DataFrame:
+    """`row`, a struct of df's columns `keep`, and the expressions in more: so that no name of df's meets one of an operator's own.
+    unpacked() is the way back."""
+    return df.select(F.struct(*(F.col(c) for c in keep)).alias("row"), *(c.alias(k) for k, c in more.items()))
+
+
+def unpacked(df: DataFrame, *made) -> DataFrame:
+    """The columns in `row` and then those in made; a column of row with the name of one of those is replaced by it."""
+    names = set(df.select(*made).columns)
+    return df.select(*(F.col("row")[c].alias(c) for c in df.schema["row"].dataType.names if c not in names), *made)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that are done: it does so when the driver's garbage is collected."""
     gc.collect()

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import stored, table
+from ._common import packed, stored, table, unpacked
 
-#: Words of a lower-cased text: digits, small letters and everything outside ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words of a lower-cased text: digits, small letters and everything outside ASCII. What separates them is listed one by one: such a
+#: class is a bitmap for Java, some six times as fast as ranges.
+WORD = "[^" + "".join(f"\\x{c:02X}" for c in range(128) if not (0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A)) + "]+"
 #: A small side is broadcast only where its measured size is below this many bytes.
 BROADCAST_BYTES = 8 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -16,7 +17,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A to Z alone. lower() is the same thing, and faster, for texts without other characters that it changes."""
-    other = text.rlike(r"[^\x00-\x7F&&[\p{Lu}\p{Lt}\p{Nl}\p{So}]]")
+    other = text.rlike(r"[[^\x00-\x7F]&&[\p{Lu}\p{Lt}\p{Nl}\p{So}]]")
     return F.when(other, F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
 
 
@@ -107,7 +108,8 @@ def search(index: DataFrame, windows: DataFrame, slop: int | None = None) -> Dat
 
 def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, window: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", slop: int | None = None) -> DataFrame:
     """docs' columns `keep` (all by default) with n_words, n_hit (words inside any occurrence of an item's window), n_items, items
-    (sorted ids as strings), contaminated. Each row of docs is one row of the result; equal rows get equal values. A null
+    (sorted ids as strings), contaminated; a column of docs with one of these names is replaced, other names are free. Each row of docs
+    is one row of the result; equal rows get equal values. A null
     text has no words; items without words have no windows; a null item id counts as ''. Without docs or items there are no
     rows or no hits. The candidates of one document meet in its row; each is then compared with its words.
 
@@ -127,9 +129,7 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = No
     at = meet(index, windows).select("phrase", "doc", "text_hash", F.explode(places).alias("at")).select("phrase", "doc", "text_hash", "at.*")
     maybe = at.join(owned, "phrase").groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "near", "words", "items"))).alias("_maybe"))
     maybe = stored(maybe, "candidates")
-    made = {"n_words", "n_hit", "n_items", "items", "contaminated"} | ({"n_near"} if slop is not None else set())
-    keep = [c for c in keep if c not in made]
-    rows = docs.select(*(F.col(c) for c in keep), F.col(key).alias("_doc"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
+    rows = packed(docs, keep, _doc=F.col(key), _hash=F.xxhash64(text), _text=F.col(text))
     # the candidates grow with the corpus, so this join is a sort-merge join at every size; AQE splits a document that many rows repeat
     rows = rows.join(maybe.hint("merge"), F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_hash") == F.col("text_hash")), "left").withColumn("_w", words(F.col("_text")))
     # the windows that are there, word by word
@@ -141,15 +141,15 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str] | None = No
         rows = rows.withColumn("n_near", F.coalesce(F.size(F.array_distinct(F.flatten(F.transform(F.when(F.col("_maybe").isNotNull(), close), lambda x: x["items"])))), F.lit(0)).cast("long"))
         rows = rows.withColumn("n_near", F.greatest("n_near", F.lit(0)))
         extra = ["n_near"]
-    rows = rows.withColumn("n_words", F.size("_w").cast("long")).withColumn("_held", F.when(F.col("_maybe").isNotNull(), held)).select(*keep, *extra, "n_words", "_held")
+    rows = rows.withColumn("n_words", F.size("_w").cast("long")).withColumn("_held", F.when(F.col("_maybe").isNotNull(), held)).select("row", *extra, "n_words", "_held")
     covered = F.aggregate(
         "_held", F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n")),
         lambda acc, x: F.struct(F.greatest(acc["upto"], x["start"] + F.size(x["words"]) - 1).alias("upto"), (acc["n"] + F.greatest(x["start"] + F.size(x["words"]) - 1 - F.greatest(acc["upto"], x["start"] - 1), F.lit(0))).alias("n")),
         lambda acc: acc["n"],
     )
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("_held", lambda x: x["items"]))))
-    rows = rows.select(*keep, *extra, "n_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"), F.coalesce(items, F.expr("cast(array() as array<string>)")).alias("items"))
-    return rows.withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", F.col("n_hit") > 0)
+    rows = rows.select("row", *extra, "n_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"), F.coalesce(items, F.expr("cast(array() as array<string>)")).alias("items"))
+    return unpacked(rows, *extra, "n_words", "n_hit", "items", F.size("items").cast("long").alias("n_items"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
