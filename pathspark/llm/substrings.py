@@ -14,12 +14,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from ._common import cell_batches, gram_hashes, in_map, pair_keys, pieces, range_hashes, release, sketch, spaced, stored, table, word_hashes, words_of
+from ._common import cell_batches, gram_hashes, in_map, packed, pair_keys, pieces, range_hashes, release, sketch, spaced, stored, table, unpacked, word_hashes, words_of
 
 #: Bounds of the counting sketch: cells as a power of 2. Its bitmap, at most 2**31 / 8 bytes, goes to every executor.
 LEAST_BITS, MOST_BITS = 20, 31
+#: Super-k-mers whose keys a task remembers before it starts anew.
+MOST_SEEN = 1 << 19
 
 
 def least_places(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +70,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = 35, gram
     A first pass counts long minimisers (of four fifths of a window) in a sketch of 8 cells for each, up to 2**31 cells. Windows
     whose long minimiser stands at one place alone can't repeat, and stay at home. (Where the corpus is so large that the
     sketch is crowded, more windows travel; the result is the same.)
-    Equal super-k-mers of a slice travel once, with their number, and so do the places of equal texts: a text that a
+    Equal super-k-mers of a task travel once, with their number, and so do the places of equal texts: a text that a
     third of all rows repeat is no hot bucket."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -106,13 +108,37 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = 35, gram
                     yield part.column("text"), words, n, first, last, owner, low, [range_hashes(hashes, first, last + window, seed) for seed in (1, 2)]
 
     def strings(batches):
-        """Super-k-mers to their buckets, equal ones of a slice once."""
+        """Super-k-mers to their buckets, equal ones of a task once; rows without a string say how often it came again."""
+        seen: set[bytes] = set()
+        again: dict[bytes, list[int]] = {}
+        names = ["low", "part_key", "packed", "times"]
+
+        def rest():
+            k = list(again)
+            yield pa.RecordBatch.from_arrays([pa.array([again[i][0] for i in k], pa.int64()), pa.array(k, pa.binary()), pa.nulls(len(k), pa.binary()), pa.array([again[i][1] for i in k], pa.int64())], names)
+
         for _, words, _, first, last, _, low, keys in chosen(batches):
             raw, at = spaced(words)
             buffer = raw.tobytes()
             kept, times = _unique(*keys)
-            packed = [buffer[a:b] for a, b in zip(at[first[kept]].tolist(), (at[last[kept] + window] - 1).tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(low[kept].view(np.int64)), pair_keys(*keys).take(pa.array(kept)), pa.array(packed, pa.binary()), pa.array(times.astype(np.int64))], ["low", "part_key", "packed", "times"])
+            part_keys = pair_keys(*keys).take(pa.array(kept))
+            lows = low.view(np.int64)[kept]
+            fresh = []
+            for i, (k, n) in enumerate(zip(part_keys.to_pylist(), times.tolist())):
+                if k in seen:
+                    again.setdefault(k, [int(lows[i]), 0])[1] += n
+                else:
+                    seen.add(k)
+                    fresh.append(i)
+            if fresh:
+                own = kept[fresh]
+                string = [buffer[a:b] for a, b in zip(at[first[own]].tolist(), (at[last[own] + window] - 1).tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(lows[fresh]), part_keys.take(pa.array(fresh)), pa.array(string, pa.binary()), pa.array(times[fresh].astype(np.int64))], names)
+            if len(seen) > MOST_SEEN:
+                yield from rest()
+                seen.clear()
+                again.clear()
+        yield from rest()
 
     def places(batches):
         """Where super-k-mers stand, each text of a task once."""
@@ -144,7 +170,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", window: int = 35, gram
         if held:
             yield from _judge(held, window)
 
-    dealt = rows.mapInArrow(strings, "low long, part_key binary, packed binary, times long").repartition("low").sortWithinPartitions("low", "part_key")
+    dealt = rows.mapInArrow(strings, "low long, part_key binary, packed binary, times long").repartition("low").sortWithinPartitions("low", "part_key", F.col("packed").isNull())
     repeated = stored(dealt.mapInArrow(judge, "part_key binary, runs array<int>"), "repeated")
     del dealt
     release(spark)  # the strings have been judged; their shuffle files can go
@@ -162,7 +188,7 @@ def _judge(held: list[pa.RecordBatch], window: int):
     rows = pa.Table.from_batches(held).combine_chunks()
     keys = rows.column("part_key").combine_chunks()
     times = rows.column("times").to_numpy()
-    # equal strings of several tasks are next to each other
+    # equal strings of several tasks are next to each other, and the first row of them has the string
     raw = np.frombuffer(keys.buffers()[2], "<u8", count=2 * (keys.offset + len(keys))).reshape(-1, 2)[keys.offset :]
     new = np.flatnonzero(np.r_[True, (raw[1:] != raw[:-1]).any(1)])
     times = np.add.reduceat(times, new)
@@ -196,12 +222,28 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, gram:
     are added (a column of docs with one of these names is replaced).
 
     Words are runs without ASCII white space, unchanged. Null and empty texts have no words and become ''. Texts of fewer words than
-    a window lose nothing; equal rows of at least one window lose everything; an empty table gives no rows."""
-    spans = repeated_windows(docs, text, window, gram, bits)
-    keep = [c for c in docs.columns if c not in (text, "n_words", "n_removed", "_text", "_spans")]
-    rows = docs.select(*(F.col(c) for c in keep), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = rows.withColumn("_key", F.unhex(F.md5(F.col("_text").cast("binary"))))
-    rows = rows.join(spans, F.col("_key") == F.col("text_key"), "left").select(*keep, "_text", F.col("spans").alias("_spans"))
+    a window lose nothing; equal rows of at least one window lose everything; an empty table gives no rows. Other names of columns
+    are free.
+
+    A bitmap of fixed size knows the texts that have spans; only those (and the few that share a cell with one) are shuffled to
+    meet them, the others are read in place."""
+    spark = docs.sparkSession
+    spans = stored(repeated_windows(docs, text, window, gram, bits), "spans")
+    keep = [c for c in docs.columns if c not in (text, "n_words", "n_removed")]
+    rows = packed(docs, keep, _text=F.coalesce(F.col(text), F.lit("")))
+    rows = rows.withColumn("_key", F.md5(F.col("_text").cast("binary")))
+    size = min(28, max(16, (16 * spans.count()).bit_length()))
+    number = F.conv(F.substring(F.hex("text_key"), 1, 15), 16, 10).cast("long")
+
+    def cells(batches):  # twice each, as a sketch marks what comes twice
+        yield from cell_batches((np.repeat(b.column("number").to_numpy().astype(np.uint64) << np.uint64(4), 2) for b in batches), size)
+
+    known = spark.sparkContext.broadcast(sketch(spans.select(number.alias("number")).mapInArrow(cells, "block int, cells binary"), size, 1 << 30)[0])
+
+    def marked(batches):
+        for batch in batches:
+            hashes = np.array([int(k[:15], 16) << 4 for k in batch.column("_key").to_pylist()], np.uint64)
+            yield batch.append_column("_some", pa.array(in_map(known.value, hashes, size)))
 
     def run(batches):
         for whole in batches:
@@ -221,10 +263,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, gram:
                 lo, hi = at[count[begins]], at[count[ends]]
                 buffer = raw.tobytes()
                 texts = pa.array([buffer[a : max(a, b - 1)] for a, b in zip(lo.tolist(), hi.tolist())], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [texts, pa.array(n), pa.array(n - (count[ends] - count[begins]))], [*keep, text, "n_words", "n_removed"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), texts, pa.array(n), pa.array(n - (count[ends] - count[begins]))], ["row", "left", "n_words", "n_removed"])
 
-    schema = StructType([docs.schema[c] for c in keep] + [StructField(text, StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
-    return rows.mapInArrow(run, schema)
+    tested = rows.mapInArrow(marked, StructType([*rows.schema.fields, StructField("_some", BooleanType())]))
+    met = tested.filter("_some").withColumn("_key", F.unhex("_key")).join(spans, F.col("_key") == F.col("text_key"), "left").select("row", "_text", F.col("spans").alias("_spans"))
+    alone = tested.filter("not _some").select("row", "_text", F.lit(None).cast("array<int>").alias("_spans"))
+    schema = StructType([rows.schema["row"], StructField("left", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
+    return unpacked(met.mapInArrow(run, schema).unionByName(alone.mapInArrow(run, schema)), F.col("left").alias(text), "n_words", "n_removed")
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
