@@ -346,7 +346,7 @@ class Plan:
                     df, scope.contexts = self._contexts(df, criterion, asked, params)
                     if n and (needed := find_resolves(criterion)):
                         df, scope.resolved = self._attach_rows(df, needed, it)
-                    df = df.filter(F.coalesce(truth(criterion, scope), F.lit(False)))
+                    df = df.filter(truth(criterion, scope))  # drops null too; bare, so that what needs the table alone moves below the join and into the scan
                 case Call(_, "sort", args):
                     c = evaluate(args[0], scope) if args else it
                     key = c.one()
@@ -369,7 +369,7 @@ class Plan:
                     return "count", df.groupBy("question_id").agg(value.alias("count")), False
                 case Call(_, "exists" | "empty" as how, args):
                     if args:
-                        df = df.filter(F.coalesce(truth(args[0], scope), F.lit(False)))
+                        df = df.filter(truth(args[0], scope))
                     return "flag", df.groupBy("question_id").agg((F.count(F.lit(1)) > 0 if how == "exists" else F.count(F.lit(1)) == 0).alias("flag")), how == "empty"
                 case Call(_, "resolve", _):
                     df, it, kind = self._follow(df, kind, path[-1] if (path := self._last_names(steps[:n])) else "", keep)

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ISO_INSTANT
+from ..functions.text import instants_in
 from ..operators.curation import in_valueset, not_numeric_codes, or_fallback
 from .compiler import Resources, evaluate_path
-from .templates import VALUE_PATHS
+from .templates import VALUE_PATHS, placeholder_path
 
 
 def value_sets(res: Resources, patients: DataFrame, slots: Sequence[str] | None = None, keep_numbers: bool = False, valuesets: dict[str, DataFrame] | None = None, fallback: dict[str, Sequence[str]] | None = None) -> DataFrame:
@@ -37,6 +37,21 @@ def value_sets(res: Resources, patients: DataFrame, slots: Sequence[str] | None
     return out
 
 
+#: The value slots whose values belong to the name that another slot has drawn, and whose resources hold both.
+NAMED = {"vital_value": "vital_name", "lab_value": "lab_name"}
+
+
+def named_values(res: Resources, patients: DataFrame) -> DataFrame:
+    """(patient_id, slot, name, values): of the slots in NAMED, the patient's distinct values under each name, sorted."""
+    out = None
+    for slot, name in NAMED.items():
+        names = value_sets(res, patients, [name]).select("patient_id", F.explode("values").alias("value")).withColumn("question_id", F.concat_ws("/", "patient_id", "value"))
+        got = evaluate_path(res, placeholder_path(name, "Observation") + ".valueQuantity.value", names).select(F.col("question_id").alias("q"), F.array_sort(F.array_distinct("values")).alias("values"))
+        rows = names.join(got, F.col("question_id") == F.col("q")).filter(F.size("values") > 0).select("patient_id", F.lit(slot).alias("slot"), F.col("value").alias("name"), F.col("values").cast("array<string>").alias("values"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def datetime_ranges(res: Resources) -> DataFrame:
     """(patient_id, first, last) over the event times of all resources."""
     times = None
@@ -49,7 +64,7 @@ def datetime_ranges(res: Resources) -> DataFrame:
 def instants(documents: DataFrame, column: str, skip: str = "2025-") -> DataFrame:
     """All instants written anywhere in JSON text, without the columns' structure: other columns, and `at`; distinct."""
     keep = [c for c in documents.columns if c != column]
-    found = documents.select(*keep, F.explode(F.regexp_extract_all(column, F.lit(ISO_INSTANT), F.lit(1))).alias("text"))
+    found = documents.select(*keep, F.explode(instants_in(F.col(column))).alias("text"))
     return found.filter(~F.col("text").startswith(skip)).select(*keep, F.try_to_timestamp("text").alias("at")).filter(F.col("at").isNotNull()).distinct()
 
 
@@ -64,10 +79,13 @@ def patient_numbers(res: Resources) -> DataFrame:
 
 
 def contexts(res: Resources, patients: DataFrame, now: Column | None = None, **options) -> DataFrame:
-    """(patient_id, now, first, last, values map<slot, array>): what questions of a patient are drawn from."""
+    """(patient_id, now, first, last, values map<slot, array>, named map<slot/name, array>): what questions of a patient are drawn from."""
     sets = value_sets(res, patients, **options).groupBy(F.col("patient_id").alias("p")).agg(F.map_from_entries(F.collect_list(F.struct("slot", "values"))).alias("values"))
     ranges = datetime_ranges(res).withColumnRenamed("patient_id", "r")
-    out = patients.select("patient_id").join(sets, F.col("patient_id") == F.col("p"), "left").join(ranges, F.col("patient_id") == F.col("r"), "left").drop("p", "r")
+    named = named_values(res, patients).groupBy(F.col("patient_id").alias("m")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("/", "slot", "name"), "values"))).alias("named"))
+    out = patients.select("patient_id")
+    for more, k in ((sets, "p"), (ranges, "r"), (named, "m")):
+        out = out.join(more, F.col("patient_id") == F.col(k), "left").drop(k)
     given = F.lit("2100-06-06").cast("timestamp") if now is None else now
     first, last = F.lit("2050-01-01").cast("timestamp"), F.lit("2150-01-01").cast("timestamp")
-    return out.select("patient_id", F.coalesce("last", given).alias("now"), F.coalesce("first", first).alias("first"), F.coalesce("last", last).alias("last"), "values")
+    return out.select("patient_id", F.coalesce("last", given).alias("now"), F.coalesce("first", first).alias("first"), F.coalesce("last", last).alias("last"), "values", "named")

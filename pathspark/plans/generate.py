@@ -11,6 +11,7 @@ from ..functions.text import content_hash, fill_slots, tidy_punctuation
 from ..operators.curation import null_answer, pick
 from . import timewin as W
 from .compiler import Resources, evaluate_path
+from .context import NAMED
 from .templates import TEMPLATES, Template
 
 COMPARISONS = ("greater", "less")
@@ -25,7 +26,8 @@ def cross(patients: DataFrame, templates: DataFrame, n: int) -> DataFrame:
 
 def draw(contexts: DataFrame, template: Template, n: int = 1, seed: int = 42) -> DataFrame:
     """n questions per patient of one template, all slots filled: question_id, patient_id, slots, time_id, date, n, now, exact_id. A slot
-    for which the patient has no value stays null, and so the question says so and is answered by nothing."""
+    for which the patient has no value stays null; generate() drops such questions. A measured value is one of those under the name
+    that the question has drawn."""
     q = contexts.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(n))))
     key = lambda what: [F.lit(template.template_id), F.col("patient_id"), F.col("i"), F.lit(seed), F.lit(what)]
     q = q.withColumn("question_id", F.concat_ws("/", F.lit(template.template_id), "patient_id", "i"))
@@ -34,14 +36,17 @@ def draw(contexts: DataFrame, template: Template, n: int = 1, seed: int = 42) ->
             q = q.withColumn(slot, pick(F.array(*map(F.lit, COMPARISONS)), *key(slot)))
             continue
         base = slot.rstrip("0123456789")
-        drawn = pick(F.coalesce(F.try_element_at("values", F.lit(base)), F.array().cast("array<string>")), *key(slot))
-        q = q.withColumn(slot, F.coalesce(drawn.try_cast("double"), F.lit(50.0)) if base.endswith("_value") else drawn)
+        options = F.try_element_at("values", F.lit(base))
+        if base in NAMED and NAMED[base] in template.slots:
+            options = F.try_element_at("named", F.concat_ws("/", F.lit(base), F.col(NAMED[base])))
+        drawn = pick(F.coalesce(options, F.array().cast("array<string>")), *key(slot))
+        q = q.withColumn(slot, drawn.try_cast("double") if base.endswith("_value") else drawn)
     choices = W.GLOBAL if template.window else ("blank",)
     q = q.withColumn("time_id", pick(F.array(*map(F.lit, choices)), *key("time")))
     unit = F.when(F.col("time_id").contains("year"), "year").when(F.col("time_id").contains("month"), "month").otherwise("day")
     date, back = W.sample_anchor(F.col("question_id"), F.col("first"), F.col("last"), unit)
     exact = pick(F.array(F.lit("exact-first"), F.lit("exact-last")), *key("exact")) if template.exact else F.lit(None).cast("string")
-    return q.withColumn("date", date).withColumn("n", back).withColumn("exact_id", exact).drop("values", "i")
+    return q.withColumn("date", date).withColumn("n", back).withColumn("exact_id", exact).drop("values", "named", "i")
 
 
 def render(q: DataFrame, template: Template, text: str | None = None) -> DataFrame:
@@ -53,11 +58,13 @@ def render(q: DataFrame, template: Template, text: str | None = None) -> DataFra
 
 
 def generate(res: Resources, contexts: DataFrame, template_ids: Sequence[str] | None = None, n: int = 1, answers: bool = True, seed: int = 42, mode: str = "calendar", drop_null_answers: bool = True) -> DataFrame:
-    """QA records: one plan per template for all patients. Null answers ([] and [0]) are dropped."""
+    """QA records: one plan per template for all patients. Questions with a slot that the patient has no value for, and null answers
+    ([] and [0]), are dropped."""
     out = None
     for template_id in template_ids or TEMPLATES:
         t = TEMPLATES[template_id]
-        q = render(W.with_windows(draw(contexts, t, n, seed), mode), t)
+        drawn = draw(contexts, t, n, seed).dropna(subset=list(t.slots[1:])) if t.slots[1:] else draw(contexts, t, n, seed)
+        q = render(W.with_windows(drawn, mode), t)
         given = F.map_filter(F.create_map(*(x for s in t.slots for x in (F.lit(s), F.col(s).cast("string")))), lambda k, v: v.isNotNull())
         records = q.select(
             "question_id", "patient_id", "question", F.lit(t.path()).alias("query"), F.date_format("now", "yyyy-MM-dd'T'HH:mm:ss").alias("now"), F.lit(template_id).alias("question_template_id"), F.lit(t.text()).alias("question_template"),

@@ -19,6 +19,11 @@ from .plans.templates import TEMPLATES
 from .schema import ICU
 from .sources.bundles import from_tables
 
+_TIDY = r"""
+WITH a AS (SELECT conv_id, turn, '  patient ''s  note , ' || text || ' ) .' AS t FROM conversations),
+b AS (SELECT conv_id, turn, regexp_replace(regexp_replace(t, '\s+([,.;:!?])(\W|$)', '\1\2', 'g'), '\s+([,.;:!?])(\W|$)', '\1\2', 'g') AS t FROM a),
+c AS (SELECT conv_id, turn, regexp_replace(regexp_replace(t, '\s+([)\]}])', '\1', 'g'), '[ \t]{2,}', ' ', 'g') AS t FROM b)
+SELECT conv_id, turn, trim(regexp_replace(t, '\s+''s\b', '''s', 'g')) AS text FROM c"""  # RE2 has no look-ahead: twice, for marks that follow each other
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -312,7 +317,7 @@ def datetime_range(spark, d):
     return got.select(F.col("patient_id").cast("long").alias("patient"), F.col("first").cast("timestamp_ntz").alias("first_at"), F.col("last").cast("timestamp_ntz").alias("last_at"))
 
 
-@query("SELECT DISTINCT strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS at FROM events WHERE event_id < 500")
+@query("SELECT DISTINCT strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
 def regex_datetime_extract(spark, d):
     from .plans.context import instants
 
@@ -331,7 +336,7 @@ def exact_dedup_keep_first(spark, d):
     return C.keep_first(_t(spark, d, "documents").select("text", "doc_id", "source"), ["text"], "doc_id").select("doc_id", "source")
 
 
-@query("SELECT a.item_id AS a, b.item_id AS b, CAST(levenshtein(a.text, b.text) AS BIGINT) AS distance, levenshtein(a.text, b.text) >= 10 AND levenshtein(a.text, b.text) / greatest(length(a.text), length(b.text)) >= 0.15 AS far FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1 WHERE strlen(a.text) = length(a.text) AND strlen(b.text) = length(b.text)")
+@query()
 def near_dup_vs_original(spark, d):
     b = _t(spark, d, "benchmark")
     x, y = b.select(F.col("item_id").alias("a"), F.col("text").alias("ta")), b.select(F.col("item_id").alias("b"), F.col("text").alias("tb"))
@@ -382,7 +387,7 @@ def mask_unmask_roundtrip(spark, d):
     return _t(spark, d, "documents").select("doc_id", T.unmask(T.mask(t), t).alias("back"), T.mask(t).alias("masked"))
 
 
-@query()
+@query(_TIDY)
 def tidy_punctuation(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", T.tidy_punctuation(F.concat(F.lit("  patient 's  note , "), "text", F.lit(" ) ."))).alias("text"))
 
@@ -455,7 +460,7 @@ def resume_intersect(spark, d):
     return C.resume(_t(spark, d, "documents").select("doc_id"), _t(spark, d, "labels"), ["doc_id"])
 
 
-@query("SELECT c_custkey AS patient, n_name AS template, i, row_number() OVER (ORDER BY c_custkey, n_name, i) - 1 AS index FROM customer, nation, (SELECT unnest([1, 2]) AS i) WHERE n_nationkey < 5")
+@query("SELECT c_custkey AS patient, n_name AS template, i, row_number() OVER (ORDER BY c_custkey, n_name, i) - 1 AS index FROM customer, nation, (SELECT unnest([1, 2]) AS i)")
 def cross_patients_templates(spark, d):
     from .plans.generate import cross
 
@@ -479,7 +484,7 @@ def review_acceptance(spark, d):
     return C.review(rows)[1]
 
 
-@query("WITH a AS (SELECT conv_id, string_agg(DISTINCT text, '#' ORDER BY text) AS t FROM conversations WHERE role = 'user' AND strlen(text) = length(text) GROUP BY 1), b AS (SELECT conv_id, string_agg(DISTINCT text, '#' ORDER BY text) AS t FROM conversations WHERE role = 'system' AND strlen(text) = length(text) GROUP BY 1) SELECT coalesce(a.conv_id, b.conv_id) AS template_id, a.t AS clinical, b.t AS patient FROM a FULL JOIN b ON a.conv_id = b.conv_id")
+@query("WITH a AS (SELECT conv_id, string_agg(DISTINCT text, '#' ORDER BY text) AS t FROM conversations WHERE role = 'user' GROUP BY 1), b AS (SELECT conv_id, string_agg(DISTINCT text, '#' ORDER BY text) AS t FROM conversations WHERE role = 'system' GROUP BY 1) SELECT coalesce(a.conv_id, b.conv_id) AS template_id, a.t AS clinical, b.t AS patient FROM a FULL JOIN b ON a.conv_id = b.conv_id")
 def union_full_outer_merge(spark, d):
     c = _t(spark, d, "conversations").withColumnRenamed("conv_id", "template_id")
     got = C.merge_perspectives(c.filter("role = 'user'"), c.filter("role = 'system'"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -90,4 +90,5 @@ def load_checkpoint(spark: SparkSession, path: str) -> DataFrame | None:
         rows = spark.read.parquet(path)
     except AnalysisException:
         return None
-    return rows.withColumn("_last", F.max("cycle").over(Window.partitionBy())).filter("cycle = _last").drop("_last")
+    last = rows.agg(F.max("cycle")).first()[0]  # a partition column: Spark reads file names for it, and then that folder alone
+    return rows.filter(F.col("cycle") == F.lit(last))

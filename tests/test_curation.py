@@ -30,7 +30,13 @@ def values(spark, texts, f):
     return [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(f(F.col("t"))).collect()]
 
 
+def test_instants_of_many_forms(spark):
+    text = "at 2150-01-01T00:00:00Z. (2150-01-01T00:00:00.25-05:00) 2150-01-01T00:00:00 2150-01-01 2150-13-01T00:00:00Z x2150-01-01T00:00:00Z 2150-01-01T00:00:00Z,"
+    assert spark.createDataFrame([(text,)], "s string").select(T.instants_in(F.col("s"))).first()[0] == ["2150-01-01T00:00:00Z", "2150-01-01T00:00:00.25-05:00", "2150-01-01T00:00:00Z"]
+
+
 def test_tidy_punctuation(spark):
+    assert values(spark, [" \n a \n b ]  }", "x 's 'sun ! ?", "1 .5 ; 2", "\t", "a\tb  \t c"], T.tidy_punctuation) == ["a \n b]}", "x's 'sun!?", "1 .5; 2", "", "a\tb c"]
     assert values(spark, ["a , b .", "the patient 's  note ( x )  ?", " .5 "], T.tidy_punctuation) == ["a, b.", "the patient's note ( x)?", ".5"]
 
 

@@ -1,3 +1,4 @@
+import os
 import json
 
 import pytest
@@ -119,6 +120,37 @@ def test_generation_is_deterministic_and_answers_are_not_null(spark, res):
     assert first == second and first and all("{" not in r[2] and "[" not in r[2] and r[-2] not in ("[]", "[0]") for r in first)
 
 
+def test_questions_of_all_templates_have_no_open_slot(spark, res):
+    patients = spark.createDataFrame([("pA",), ("pB",)], "patient_id string")
+    got = generate(res, contexts(res, patients).cache(), n=2, answers=False).select("question_template_id", "patient_id", "question", "s_placeholders").collect()
+    assert got and not [r for r in got if set("{}[]") & set(r["question"])]
+    # pB has no observations, so no question asks for one of a name
+    assert not [r for r in got if r["patient_id"] == "pB" and "vital_name" in r["s_placeholders"]]
+    assert {r["question_template_id"] for r in got if r["patient_id"] == "pA"} >= {"has-vital-comparison", "count-hospital-visits", "lab-measurement"}
+
+
+def test_measured_values_belong_to_the_drawn_name(spark, res):
+    from pathspark.plans.context import named_values
+
+    patients = spark.createDataFrame([("pA",), ("pB",)], "patient_id string")
+    own = {(r["slot"], r["name"]): r["values"] for r in named_values(res, patients).collect()}
+    assert own and all(v for v in own.values())
+    got = generate(res, contexts(res, patients), ["has-vital-comparison"], n=20, answers=False).select("s_placeholders").collect()
+    drawn = {(r[0]["vital_name"], r[0]["vital_value"]) for r in got}
+    assert len({n for n, _ in drawn}) > 1 and all(v in own["vital_value", n] for n, v in drawn)
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    from pathspark.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test data")
+    plan = lambda name: QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert any("GreaterThan" in line and "o_orderdate" in line for line in plan("count_visits_by_patient").splitlines() if "PushedFilters" in line)
+    assert any("value" in line and "90.0" in line for line in plan("has_value_comparison").splitlines() if "PushedFilters" in line)
+
+
 def test_placeholders(spark, res):
     from pathspark.plans.templates import PLACEHOLDERS, VALUE_PATHS, placeholder_path, register_placeholder
 
