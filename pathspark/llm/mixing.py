@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, stored, table
+from ._common import WORD, packed, stored, table, unpacked
 
 
 def count_words(text: Column) -> Column:
@@ -36,13 +36,14 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, rep
     return rows.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def _queues(docs: DataFrame, weights: Sequence[float], share: float, repeats: int, seed: int, names: dict[str, str], bucket_rows: int) -> DataFrame:
-    """docs, with m_size, m_source_size, m_target, m_cycle (the finish time of the whole queue), m_finish and m_order.
+def _queues(docs: DataFrame, keep: list[str], weights: Sequence[float], share: float, repeats: int, seed: int, names: dict[str, str], bucket_rows: int) -> DataFrame:
+    """row (docs' columns keep), m_key, m_source, m_size, m_source_size, m_target, m_cycle (the finish time of the whole queue), m_finish and
+    m_order.
 
     A queue is its source's documents in the order of a seeded hash. It is cut into ranges of that hash of about
     `bucket_rows` rows; the ranges' sums are added up first, so a source with a third of all rows is no hot key."""
     key, text, source = (F.col(names[k]) for k in ("key", "text", "source"))
-    rows = docs.withColumn("m_size", count_words(text)).withColumn("m_source", source).withColumn("m_order", F.xxhash64(key, "m_size", F.lit(seed)))
+    rows = packed(docs, keep, m_key=key, m_source=source, m_size=count_words(text), m_order=F.xxhash64(key, text, F.lit(seed)))
     slim = stored(rows.select("m_source", "m_size", "m_order"), "mix-sizes")
     bits = max(0, slim.count() // bucket_rows).bit_length()
     bucket = (F.shiftright("m_order", 64 - bits) if bits else F.lit(0)).cast("long")
@@ -51,86 +52,50 @@ def _queues(docs: DataFrame, weights: Sequence[float], share: float, repeats: in
     sums = slim.groupBy(F.col("m_source").alias("b_source"), bucket.alias("b_bucket")).agg(F.sum("m_size").alias("held"))
     sums = sums.withColumn("sent", F.coalesce(F.sum("held").over(before), F.lit(0))).join(targets, F.col("b_source").eqNullSafe(F.col("source")))
     sums = stored(sums.select("b_source", "b_bucket", "sent", F.col("source_size").alias("m_source_size"), F.col("target").alias("m_target")), "mix-sums")
-    inside = Window.partitionBy("m_source", "m_bucket").orderBy("m_order", key.asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("m_source", "m_bucket").orderBy("m_order", F.col("m_key").asc_nulls_first(), "m_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = rows.withColumn("m_bucket", bucket).join(sums, F.col("m_source").eqNullSafe(F.col("b_source")) & (F.col("m_bucket") == F.col("b_bucket")))
     per_word = F.coalesce(1 / F.nullif(F.col("m_target"), F.lit(0.0)), F.lit(0.0))
     return (
         out.withColumn("m_finish", (F.col("sent") + F.sum("m_size").over(inside)) * per_word)
         .withColumn("m_cycle", F.col("m_source_size") * per_word)
-        .drop("m_source", "m_bucket", "b_source", "b_bucket", "sent")
+        .drop("m_bucket", "b_source", "b_bucket", "sent")
     )
 
 
-def _copies(queues: DataFrame, repeats: int) -> DataFrame:
-    """A row for each copy of a document, with its own finish time: the queue starts again when it is through."""
-    return queues.withColumn("m_copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("m_finish", F.col("m_finish") + F.col("m_copy") * F.col("m_cycle"))
-
-
-def _cut(copies: DataFrame, budget: float, slots: int = 1024, few: int = 20_000) -> tuple[float, int]:
-    """The (finish, order) of the last copy that the budget pays, in the order of finish times. Sums over `slots` ranges of
-    finish times show in which range the budget ends; that range is cut again until it holds few rows, or rows that
-    finish together. Only sums over ranges, and at the end those few rows' sizes, reach the driver."""
-    low, high, spent = 0.0, None, 0
-    while True:
-        part = copies if high is None else copies.filter((F.col("m_finish") >= low) & (F.col("m_finish") < high))
-        top = part.agg(F.max("m_finish"), F.count(F.lit(1))).first()
-        if not top[1]:
-            return (float("inf"), 0)
-        end = high if high is not None else top[0] * 1.000001 + 1e-300
-        width = (end - low) / slots
-        if top[1] <= few or low + width == low:
-            for row in part.orderBy("m_finish", "m_order").select("m_finish", "m_order", "m_size").toLocalIterator():
-                if spent + row["m_size"] > budget + 0.5:
-                    return last
-                spent += row["m_size"]
-                last = (row["m_finish"], row["m_order"])
-            return last
-        held = dict(part.groupBy(F.least(F.floor((F.col("m_finish") - low) / width), F.lit(slots - 1)).alias("slot")).agg(F.sum("m_size")).collect())
-        last = (low, -(1 << 63))
-        for slot in range(slots):
-            if spent + held.get(slot, 0) > budget + 0.5 or slot == slots - 1:
-                low, high = low + slot * width, low + (slot + 1) * width if slot < slots - 1 else end
-                break
-            spent += held.get(slot, 0)
+def _in_mix(copy: int | Column) -> Column:
+    """Whether the mix takes a copy (0, 1, ..) of a document. A queue is served at the rate of its target, so at the virtual time 1 all
+    targets together, the budget, are spent. A copy counts if half of its own service lies before that: so a source ends at most
+    half a document away from its target, and no long document of one source costs another its words."""
+    own = F.coalesce(F.col("m_size") / F.nullif(F.col("m_target"), F.lit(0.0)), F.lit(0.0))
+    return F.col("m_finish") + copy * F.col("m_cycle") - own / 2 <= 1 + 1e-9
 
 
 _NAMES = {"key": "doc_id", "text": "text", "source": "source"}
 
 
-def _mixed(docs: DataFrame, keep: list[str], weights, share, repeats, seed, names, bucket_rows) -> tuple[DataFrame, tuple[float, int]]:
-    queues = _queues(docs, weights, share, repeats, seed, _NAMES | names, bucket_rows)
-    slim = stored(queues.select(*dict.fromkeys([*keep, "m_size", "m_source_size", "m_target", "m_cycle", "m_finish", "m_order"])), "mix-queues")
-    budget = slim.groupBy("m_source_size", "m_target", "m_cycle", (F.col((_NAMES | names)["source"])).alias("s")).count().agg(F.coalesce(F.sum("m_target"), F.lit(0.0))).first()[0]
-    return slim, _cut(_copies(slim.select("m_size", "m_finish", "m_cycle", "m_order"), repeats), budget)
-
-
-def _in_mix(finish: Column, last: tuple[float, int]) -> Column:
-    return (finish < last[0]) | ((finish == last[0]) & (F.col("m_order") <= last[1]))
-
-
 def mix_report(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, repeats: int = 2, seed: int = 17, names: dict[str, str] = {}, bucket_rows: int = 20_000) -> DataFrame:
     """Per row of docs: key, size, source_size, target, taken (words that mix_sources() takes of it, over all copies)."""
     key = (_NAMES | names)["key"]
-    slim, last = _mixed(docs, [key, (_NAMES | names)["source"]], weights, share, repeats, seed, names, bucket_rows)
-    copies = sum((_in_mix(F.col("m_finish") + e * F.col("m_cycle"), last).cast("long") for e in range(repeats)), F.lit(0))
-    return slim.select(key, F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), (F.col("m_size") * copies).alias("taken"))
+    rows = _queues(docs, [key], weights, share, repeats, seed, _NAMES | names, bucket_rows)
+    copies = sum((_in_mix(e).cast("long") for e in range(repeats)), F.lit(0))
+    return rows.select(F.col("row")[key].alias(key), F.col("m_size").alias("size"), F.col("m_source_size").alias("source_size"), F.col("m_target").alias("target"), (F.col("m_size") * copies).alias("taken"))
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), share: float = 1.5, repeats: int = 2, seed: int = 17, names: dict[str, str] = {}, bucket_rows: int = 20_000) -> DataFrame:
     """The mix itself: one row of docs for each time that the mix takes it, with `mix_finish` and `mix_copy` (0, 1, ..)
-    added, range-sorted by finish time.
+    added, range-sorted by finish time. Columns of docs with these names are replaced; other names are free.
 
     Each source is a queue of its documents in a seeded shuffled order, which starts again up to `repeats` times. A
     copy's virtual finish time is the words that its queue has sent up to its end, divided by the queue's target
-    (source_targets()); all queues are merged by finish time, and the mix ends where the budget, the sum of the
-    targets, is spent. Null texts and texts without words have size 0; null is a source of its own, the last; equal rows count
-    each and keep the same place; an empty table gives no rows; reruns on the same rows give the same mix."""
+    (source_targets()); all queues are merged by finish time, and the mix ends where the budget, the sum of the targets, is spent
+    (_in_mix()). Null texts and texts without words have size 0; null is a source of its own, the last; equal rows count
+    each, and rows of one key and different texts keep their places by the texts' hashes; an empty table gives no rows; reruns on the same rows give the same mix."""
     names = _NAMES | names
-    slim, last = _mixed(docs, [names["source"]], weights, share, repeats, seed, names, bucket_rows)
-    rows = _queues(docs, weights, share, repeats, seed, names, bucket_rows)
-    rows = _copies(rows, repeats).filter(_in_mix(F.col("m_finish"), last))
-    rows = rows.withColumnsRenamed({"m_finish": "mix_finish", "m_copy": "mix_copy"}).select(*docs.columns, "mix_finish", "mix_copy")
-    return rows.repartitionByRange("mix_finish", names["key"]).sortWithinPartitions("mix_finish", names["key"])
+    rows = _queues(docs, docs.columns, weights, share, repeats, seed, names, bucket_rows)
+    rows = rows.withColumn("m_copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).filter(_in_mix(F.col("m_copy")))
+    rows = rows.withColumn("m_finish", F.col("m_finish") + F.col("m_copy") * F.col("m_cycle"))
+    rows = rows.repartitionByRange("m_finish", "m_order").sortWithinPartitions("m_finish", "m_order")
+    return unpacked(rows, F.col("m_finish").alias("mix_finish"), F.col("m_copy").alias("mix_copy"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
