@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import as_array, gram_hashes, pieces, stored, table, word_hashes, words_of
+from ._common import as_array, gram_hashes, packed, pieces, stored, table, unpacked, word_hashes, words_of
 
 STATISTICS = (
     "log words", "log mean word length", "spread of word lengths", "distinct words", "upper case", "digits", "stops", "exclamations", "other marks", "line breaks",
@@ -118,41 +118,41 @@ class Discriminant:
 def fit(stats: DataFrame, label: str, shrink: float = 0.1, ridge: float = 0.02, temperature: float = 4.0) -> Discriminant:
     """Fits on all rows with label 0 or 1. Counts, sums and products of the standardised statistics are added up per partition and
     then over all of them; the driver gets these alone, some 2 x 16 x 16 numbers. Each class covariance is drawn by `shrink`
-    to the pooled one and by `ridge` to its own mean variance. `temperature` divides the log-density difference, as the
+    to the pooled one and by `ridge` to its own mean variance, and a least variance is added: one row of a class is enough. `temperature` divides the log-density difference, as the
     statistics are no true Gaussians. Without rows of both classes every score is the share of label 1."""
     k = len(STATISTICS)
     rows = stats.filter(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("c"), "stats")
     one = rows.agg(F.count(F.lit(1)), *(f(F.col("stats")[i]) for f in (F.avg, F.stddev_pop) for i in range(k))).first()
     if not one[0]:
         return Discriminant(np.zeros((2, k)), np.stack([np.eye(k)] * 2), np.zeros(2), np.zeros(k), np.ones(k), 1.0)
-    centre, scale = np.array(one[1 : k + 1]), np.maximum(np.array(one[k + 1 :]), 1e-3)
+    centre, scale = np.round(one[1 : k + 1], 6), np.maximum(np.round(one[k + 1 :], 6), 1e-3)
 
     def moments(batches):
-        total = np.zeros((2, 1 + k + k * k))
+        total = np.zeros((2, 1 + k + k * k), np.int64)
         for batch in batches:
             c = batch.column("c").to_numpy()
-            z = np.clip((batch.column("stats").flatten().to_numpy().reshape(len(c), k).astype(float) - centre) / scale, -8, 8)
+            z = np.rint(1024 * np.clip((batch.column("stats").flatten().to_numpy().reshape(len(c), k).astype(float) - centre) / scale, -8, 8)).astype(np.int64)
             for label in (0, 1):
                 own = z[c == label]
                 total[label] += np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], total.shape[1]).astype(np.int32)), pa.array(np.tile(np.arange(total.shape[1]), 2).astype(np.int32)), pa.array(total.ravel())], ["c", "i", "v"])
 
-    sums = np.zeros((2, 1 + k + k * k))
-    # whole thousandths add up to the same sum in any order, so reruns give the same model
-    for row in rows.mapInArrow(moments, "c int, i int, v double").groupBy("c", "i").agg(F.sum(F.round(F.col("v") * 1e3).cast("decimal(38,0)")).alias("v")).collect():
-        sums[row["c"], row["i"]] = float(row["v"]) / 1e3
-    n = sums[:, 0]
+    sums = np.zeros((2, 1 + k + k * k), object)
+    # whole numbers of 1024ths add up to the same sums in any order, so reruns give the same model, and covariances are exact
+    for row in rows.mapInArrow(moments, "c int, i int, v long").groupBy("c", "i").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v")).collect():
+        sums[row["c"], row["i"]] = int(row["v"])
+    n = sums[:, 0].astype(float)
     if not n.all():
         flat = Discriminant(np.zeros((2, k)), np.stack([np.eye(k)] * 2), np.zeros(2), centre, scale, 1.0)
         flat.log_norms[1] = 40.0 if n[1] else -40.0
         return flat
-    means = sums[:, 1 : k + 1] / n[:, None]
-    own = np.stack([sums[c, k + 1 :].reshape(k, k) / n[c] - np.outer(means[c], means[c]) for c in (0, 1)])
+    means = (sums[:, 1 : k + 1] / sums[:, :1] / 1024).astype(float)
+    own = np.stack([((sums[c, 0] * sums[c, k + 1 :].reshape(k, k) - np.outer(sums[c, 1 : k + 1], sums[c, 1 : k + 1])) / sums[c, 0] ** 2 / 1024**2).astype(float) for c in (0, 1)])
     pooled = (own * n[:, None, None]).sum(0) / n.sum()
     factors, norms = [], []
     for c in (0, 1):
         cov = (1 - shrink) * own[c] + shrink * pooled
-        cov = (1 - ridge) * cov + ridge * np.trace(cov) / k * np.eye(k) + 1e-6 * np.eye(k)
+        cov = (1 - ridge) * cov + ridge * np.trace(cov) / k * np.eye(k) + 1e-4 * np.eye(k)
         factors.append(np.linalg.cholesky(cov))
         norms.append(np.log(n[c] / n.sum()) - np.log(np.diag(factors[-1])).sum())
     return Discriminant(means, np.stack(factors), np.array(norms), centre, scale, temperature)
@@ -166,14 +166,15 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep: list[str], key: str
     """docs' columns `keep` (with key), held_out and score, the probability that the label is 1. Learns from the labelled
     documents whose crc32(key as text) mod train_mod is not 0; a document with a null key teaches nothing, labels other than 0 and
     1 are ignored, several labels of a document each count. Scores are of whole texts alone. Null and empty texts are scored
-    by their statistics, all 0. Repeated rows are scored each; an empty table gives no rows."""
-    stats = stored(document_statistics(docs, list(dict.fromkeys([*keep, key])), text), "quality-stats")
+    by their statistics, all 0. Repeated rows are scored each; an empty table gives no rows. Columns of docs named held_out or score
+    are replaced; other names are free."""
+    stats = stored(document_statistics(packed(docs, keep, k=F.col(key), text=F.col(text)), ["row", "k"]), "quality-stats")
     marks = labels.select(F.col(key).alias("_key"), F.col(label).alias("_label")).filter(remainder("_key", train_mod) != 0)
-    model = fit(stats.select(F.col(key).alias("_k"), "stats").join(marks, F.col("_k") == F.col("_key")), "_label")
+    model = fit(stats.select("k", "stats").join(marks, F.col("k") == F.col("_key")), "_label")
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    rows = stats.withColumn("held_out", F.coalesce(remainder(key, train_mod) == 0, F.lit(False)))
+    rows = stats.withColumn("held_out", F.coalesce(remainder("k", train_mod) == 0, F.lit(False)))
     names = [c for c in rows.columns if c != "stats"]
 
     def run(batches):
@@ -182,7 +183,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep: list[str], key: str
                 x = batch.column("stats").flatten().to_numpy().reshape(batch.num_rows, -1).astype(float)
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(model.score(x))], [*names, "score"])
 
-    return rows.mapInArrow(run, StructType([rows.schema[c] for c in names] + [StructField("score", DoubleType())]))
+    return unpacked(rows.mapInArrow(run, StructType([rows.schema[c] for c in names] + [StructField("score", DoubleType())])), "held_out", "score")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
