@@ -7,11 +7,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ._common import pieces, table
+from ._common import packed, pieces, table, unpacked
 from .quality import remainder
 
 BITS = 13
@@ -92,9 +92,10 @@ def ftrl(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dims: int, class
 
 def train(docs: DataFrame, text: str, lang: str, order_by: str, sample: int = 4000, passes: int = 2, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.001) -> LanguageModel | None:
     """Document frequencies come from all rows of docs with a language. The weights are fitted on a bounded sample of whole texts: of
-    each language the sample / languages rows with the smallest hash of order_by (ties by text). A fifth of the sample sets the
-    temperature alone. No row with a language: None."""
-    known = docs.filter(F.col(lang).isNotNull())
+    each language the sample / languages rows with the smallest hash of order_by (ties by the text's hash). One pass over the hashes
+    finds how far each language's sample goes; of a sampled text the driver gets its n-gram counts, 2**BITS numbers at most
+    however long it is. A fifth of the sample sets the temperature alone. No row with a language: None."""
+    known = docs.filter(F.col(lang).isNotNull()).select(F.col(text).alias("_text"), F.col(lang).alias("lang"), F.xxhash64(order_by, F.lit(5)).alias("place"))
 
     def frequencies(batches):
         total, n = np.zeros(1 << BITS, np.int64), 0
@@ -105,28 +106,37 @@ def train(docs: DataFrame, text: str, lang: str, order_by: str, sample: int = 40
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total) + 1, dtype=np.int32)), pa.array(np.r_[total, n])], ["i", "n"])
 
     df = np.zeros((1 << BITS) + 1)
-    for row in known.select(F.col(text).alias("_text")).mapInArrow(frequencies, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+    for row in known.select("_text").mapInArrow(frequencies, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
         df[row["i"]] = row["n"]
     if not df[-1]:
         return None
     idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
-    languages = sorted(r[0] for r in known.select(lang).distinct().collect())
+    languages = sorted(r[0] for r in known.select("lang").distinct().collect())
     share = max(1, sample // len(languages))
-    rows = []
-    place = F.xxhash64(order_by, F.lit(5))
-    for one in languages:
-        # the hashes alone say how far the sample goes; only its own texts then reach the driver
-        own = known.filter(F.col(lang) == one).withColumn("_place", place)
-        last = own.select("_place").orderBy("_place").limit(share).agg(F.max("_place")).first()[0]
-        rows += own.filter(F.col("_place") <= last).orderBy("_place", text).select(text, lang).limit(share).collect()
+    by = Window.partitionBy("lang").orderBy("place")
+    # each task keeps the first places of a language before any is shuffled
+    last = known.select("lang", "place").withColumn("r", F.row_number().over(by)).filter(F.col("r") <= share).groupBy("lang").agg(F.max("place")).collect()
+    upto = F.coalesce(*(F.when(F.col("lang") == one, F.lit(place)) for one, place in last))
+
+    def sampled(batches):
+        for batch in batches:
+            for part in _small(batch, "_text"):
+                counts = gram_counts(part.column("_text"))
+                cells = [np.flatnonzero(c) for c in counts]
+                lists = lambda values, kind: pa.array([v.tolist() for v in values], pa.list_(kind))
+                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("place"), part.column("tie"), lists(cells, pa.int32()), lists([c[i] for c, i in zip(counts, cells)], pa.float32())], ["lang", "place", "tie", "cells", "counts"])
+
+    got = known.filter(F.col("place") <= upto).withColumn("tie", F.xxhash64("_text")).mapInArrow(sampled, "lang string, place long, tie long, cells array<int>, counts array<float>")
+    got = got.withColumn("r", F.row_number().over(by.orderBy("place", "tie"))).filter(F.col("r") <= share).drop("r")
+    rows = sorted(got.collect(), key=lambda r: (r["lang"], r["place"], r["tie"]))
     order = np.random.default_rng(3).permutation(len(rows))
     rows = [rows[i] for i in order]
     model = LanguageModel(languages, idf, np.zeros((1 << BITS, len(languages)), np.float32), np.zeros(len(languages), np.float32), 1.0)
-    x, y = [], np.array([languages.index(r[1]) for r in rows])
-    for at in range(0, len(rows), 64):
-        for v in model.vectors(pa.array([r[0] for r in rows[at : at + 64]], pa.string())):
-            i = np.flatnonzero(v)
-            x.append((i, v[i].astype(float)))
+    x, y = [], np.array([languages.index(r["lang"]) for r in rows])
+    for r in rows:
+        i = np.array(r["cells"], np.int64)
+        v = np.log1p(np.array(r["counts"], np.float32)) * idf[i]
+        x.append((i, (v / max(np.linalg.norm(v), 1e-12)).astype(float)))
     cut = max(1, len(x) * 4 // 5)
     w, b = ftrl(x[:cut], y[:cut], 1 << BITS, len(languages), passes, alpha, beta, l1, l2)
     model.weights, model.bias = w.astype(np.float32), b.astype(np.float32)
@@ -140,8 +150,8 @@ def train(docs: DataFrame, text: str, lang: str, order_by: str, sample: int = 40
 
 def identify(docs: DataFrame, keep: list[str], model: LanguageModel | None, text: str = "text") -> DataFrame:
     """docs' columns `keep`, lang_pred and score (its calibrated probability). `und` with score 0 where the text is null, has no
-    letter, or nothing was learned."""
-    slim = docs.select(*(F.col(c) for c in keep), F.col(text).alias("_text"))
+    letter, or nothing was learned. Columns of docs with these two names are replaced; other names are free."""
+    slim = packed(docs, keep, _text=F.col(text))
 
     def run(batches):
         for whole in batches:
@@ -152,9 +162,9 @@ def identify(docs: DataFrame, keep: list[str], model: LanguageModel | None, text
                 p = softmax(model.logits(model.vectors(texts))) if model else np.zeros((len(texts), 1))
                 best, score = p.argmax(1), p.max(1).astype(float)
                 pred = [model.languages[b] if ok and model else "und" for b, ok in zip(best, letters)]
-                yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + [pa.array(pred, pa.string()), pa.array(np.where(letters, score, 0.0))], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(pred, pa.string()), pa.array(np.where(letters, score, 0.0))], ["row", "lang_pred", "score"])
 
-    return slim.mapInArrow(run, StructType([docs.schema[c] for c in keep] + [StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return unpacked(slim.mapInArrow(run, StructType([slim.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])), "lang_pred", "score")
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
