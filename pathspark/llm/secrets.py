@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import stored, table
+from ._common import packed, stored, table, unpacked
 
 #: kind: (pattern, group whose length counts, least length), in the order in which equal starts are listed
 PATTERNS = {
@@ -82,15 +82,16 @@ def battery(token: Column) -> dict[str, Column]:
 
 def scan(docs: DataFrame, keep: list[str], text: str = "text", fdr: float = 0.001, bins: int = 400) -> DataFrame:
     """docs' columns `keep` and found: array<struct<start, end, kind>> of all secrets of the whole text, sorted by start and then
-    by kind in the order assign, access, hex, random. Null texts count as empty. Each row of docs is one row of the result.
+    by kind in the order assign, access, hex, random. Null texts count as empty. Each row of docs is one row of the result. A column
+    named found is replaced; other names are free.
 
     `random` spans are maximal runs of 20 and more characters of an encoding's alphabet, whatever these are, which
     overlap no pattern's span and hold the randomness tests. Ordinary strings of the corpus (identifiers, paths, words in a
     row) fail: false discovery is controlled for all candidates of about one length together, as short strings have little
     power. In each class of lengths the Benjamini-Hochberg procedure at level `fdr` names the strings that are certainly
     not random; a string is a secret if it isn't named. The procedure's ranks come from counts of p-values in `bins` bins per class: no list of all p-values is sorted."""
-    rows = docs.select(*(F.col(c) for c in keep), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    rows = rows.select(*keep, *(spans(F.col("_t"), _SHORTCUT.get(kind, p), g, least).alias(f"_{kind}") for kind, (p, g, least) in PATTERNS.items()), spans(F.col("_t"), CANDIDATE).alias("_token"))
+    rows = packed(docs, keep, _t=F.coalesce(F.col(text), F.lit("")))
+    rows = rows.select("row", *(spans(F.col("_t"), _SHORTCUT.get(kind, p), g, least).alias(f"_{kind}") for kind, (p, g, least) in PATTERNS.items()), spans(F.col("_t"), CANDIDATE).alias("_token"))
     pattern = F.concat(*(F.col(f"_{k}") for k in PATTERNS))
     free = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     rows = rows.withColumn("_base", pattern).withColumn("_token", F.filter("_token", free))
@@ -117,7 +118,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", fdr: float = 0.00
     rows = rows.join(hits, F.col("_row") == F.col("_r"), "left").withColumn("_random", F.coalesce("_random", F.expr("cast(array() as array<struct<start:int,end:int>>)")))
     named = lambda i, kind: F.transform(f"_{kind}", lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind")))
     listed = [named(i, kind) for i, kind in enumerate([*PATTERNS, "random"])]
-    return rows.select(*keep, F.transform(F.array_sort(F.concat(*listed)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("found"))
+    return unpacked(rows, F.transform(F.array_sort(F.concat(*listed)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("found"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
