@@ -37,14 +37,14 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, rep
 
 
 def _queues(docs: DataFrame, keep: list[str], weights: Sequence[float], share: float, repeats: int, seed: int, names: dict[str, str], bucket_rows: int) -> DataFrame:
-    """row (docs' columns keep), m_key, m_source, m_size, m_source_size, m_target, m_cycle (the finish time of the whole queue), m_finish and
-    m_order.
+    """row (docs' columns keep), m_source, m_size, m_order, m_source_size, m_target, m_own (the time that its service takes), m_cycle (the
+    finish time of the whole queue), m_finish, and m_over: whether its source's copy that crosses the time 1 is in the mix.
 
     A queue is its source's documents in the order of a seeded hash. It is cut into ranges of that hash of about
     `bucket_rows` rows; the ranges' sums are added up first, so a source with a third of all rows is no hot key."""
     key, text, source = (F.col(names[k]) for k in ("key", "text", "source"))
-    rows = packed(docs, keep, m_key=key, m_source=source, m_size=count_words(text), m_order=F.xxhash64(key, text, F.lit(seed)))
-    slim = stored(rows.select("m_source", "m_size", "m_order"), "mix-sizes")
+    rows = packed(docs, keep, m_source=source, m_size=count_words(text), m_order=F.xxhash64(key, text, F.lit(seed)))
+    slim = stored(rows.drop("row"), "mix-sizes")
     bits = max(0, slim.count() // bucket_rows).bit_length()
     bucket = (F.shiftright("m_order", 64 - bits) if bits else F.lit(0)).cast("long")
     targets = source_targets(slim.groupBy(F.col("m_source").alias("source")).agg(F.sum("m_size").alias("source_size")), weights, share, repeats)
@@ -52,24 +52,41 @@ def _queues(docs: DataFrame, keep: list[str], weights: Sequence[float], share: f
     sums = slim.groupBy(F.col("m_source").alias("b_source"), bucket.alias("b_bucket")).agg(F.sum("m_size").alias("held"))
     sums = sums.withColumn("sent", F.coalesce(F.sum("held").over(before), F.lit(0))).join(targets, F.col("b_source").eqNullSafe(F.col("source")))
     sums = stored(sums.select("b_source", "b_bucket", "sent", F.col("source_size").alias("m_source_size"), F.col("target").alias("m_target")), "mix-sums")
-    inside = Window.partitionBy("m_source", "m_bucket").orderBy("m_order", F.col("m_key").asc_nulls_first(), "m_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.withColumn("m_bucket", bucket).join(sums, F.col("m_source").eqNullSafe(F.col("b_source")) & (F.col("m_bucket") == F.col("b_bucket")))
+    # rows of one order have one key and one text, so one size
+    inside = Window.partitionBy("m_source", "m_bucket").orderBy("m_order", "m_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     per_word = F.coalesce(1 / F.nullif(F.col("m_target"), F.lit(0.0)), F.lit(0.0))
-    return (
-        out.withColumn("m_finish", (F.col("sent") + F.sum("m_size").over(inside)) * per_word)
-        .withColumn("m_cycle", F.col("m_source_size") * per_word)
-        .drop("m_bucket", "b_source", "b_bucket", "sent")
-    )
+
+    def timed(rows, sums):
+        rows = rows.withColumn("m_bucket", bucket).join(sums, F.col("m_source").eqNullSafe(F.col("b_source")) & (F.col("m_bucket") == F.col("b_bucket")))
+        rows = rows.withColumn("m_finish", (F.col("sent") + F.sum("m_size").over(inside)) * per_word).withColumn("m_own", F.col("m_size") * per_word)
+        return rows.withColumn("m_cycle", F.col("m_source_size") * per_word).drop("m_bucket", "b_source", "b_bucket", "sent")
+
+    return timed(rows, _crossing(timed(slim, sums), sums, repeats))
+
+
+def _crossing(queues: DataFrame, sums: DataFrame, repeats: int) -> DataFrame:
+    """sums with m_over. A queue is served at the rate of its target, so at the virtual time 1 all targets together, the budget, are spent.
+    Copies that finish by then are in the mix. One copy of each queue at most crosses that time; what it leaves unspent goes to
+    those that have had half of their service and more, in the order of their middles, as far as it pays for them whole. So the mix
+    doesn't exceed the budget, and a source ends less than a document away from its target, mostly half of one at most. One row per
+    source is all this sorts."""
+    copies = queues.withColumn("m_copy", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("m_finish", F.col("m_finish") + F.col("m_copy") * F.col("m_cycle"))
+    over = copies.filter((F.col("m_finish") > 1 + _SAME) & (F.col("m_finish") - F.col("m_own") < 1 - _SAME))
+    over = over.select(F.col("m_source").alias("o_source"), "m_size", (F.col("m_finish") - F.col("m_own") / 2).alias("middle"), ((1 - F.col("m_finish") + F.col("m_own")) * F.col("m_target")).alias("unspent"))
+    nearer = F.col("middle") <= 1 + _SAME
+    spent = F.sum(F.when(nearer, F.col("m_size")).otherwise(0)).over(Window.orderBy("middle", F.col("o_source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    over = over.withColumn("paid", nearer & (spent <= F.sum("unspent").over(Window.partitionBy()) + _SAME)).filter("paid").select("o_source", "paid")
+    return stored(sums.join(over, F.col("b_source").eqNullSafe(F.col("o_source")), "left").withColumn("m_over", F.coalesce("paid", F.lit(False))).drop("o_source", "paid"), "mix-over")
 
 
 def _in_mix(copy: int | Column) -> Column:
-    """Whether the mix takes a copy (0, 1, ..) of a document. A queue is served at the rate of its target, so at the virtual time 1 all
-    targets together, the budget, are spent. A copy counts if half of its own service lies before that: so a source ends at most
-    half a document away from its target, and no long document of one source costs another its words."""
-    own = F.coalesce(F.col("m_size") / F.nullif(F.col("m_target"), F.lit(0.0)), F.lit(0.0))
-    return F.col("m_finish") + copy * F.col("m_cycle") - own / 2 <= 1 + 1e-9
+    """Whether the mix takes a copy (0, 1, ..) of a document."""
+    finish = F.col("m_finish") + copy * F.col("m_cycle")
+    return (finish <= 1 + _SAME) | (F.col("m_over") & (finish - F.col("m_own") < 1 - _SAME))
 
 
+#: Times nearer to each other than this are the same.
+_SAME = 1e-9
 _NAMES = {"key": "doc_id", "text": "text", "source": "source"}
 
 

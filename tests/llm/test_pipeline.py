@@ -56,6 +56,15 @@ def test_near_duplicates_with_clashing_ids(spark):
     assert got == sorted([(1, text("b")), (5, text("c")), (6, text("d")), (6, text("e")), (7, text("f")), (None, text("b"))], key=str)
 
 
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    names = ("n_words", "items", "stats", "score", "row", "sent", "mix_copy", "_n", "hash", "contaminated", "key", "k")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 60").withColumns({c: F.lit(5) for c in names})
+    for name, stage in cp.STAGES[:-1]:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        got = spark.read.parquet(str(tmp_path / name))
+        assert got.columns == docs.columns and got.count() and got.filter(" or ".join(f"`{c}` <> 5" for c in names)).isEmpty(), name
+
+
 def test_stages_of_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
