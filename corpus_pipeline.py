@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pathspark.llm._common import release, stored, table, tables_of
@@ -37,13 +37,17 @@ def _stage(f):
     return run_stage
 
 
+def _row(docs: DataFrame) -> Column:
+    """All columns of docs as one: what an operator adds meets none of their names."""
+    return F.struct(*(F.col(c) for c in _columns(docs))).alias("row")
+
+
 @_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that score below QUALITY. The model learns from the labelled documents among those given, but not from the
-    fifth that is held out. A rejected id goes with all its rows; rows without an id stay."""
-    scored = score_quality(docs, table(spark, sf_dir, "labels"), ["doc_id"])
-    rejected = scored.filter(F.col("score") < QUALITY).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(_columns(docs))
+    fifth that is held out. Each row is judged by its own text."""
+    scored = score_quality(docs.select(_row(docs), "doc_id", "text"), table(spark, sf_dir, "labels"), ["row"])
+    return scored.filter(F.col("score") >= QUALITY).select("row.*")
 
 
 @_stage
@@ -52,22 +56,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     text's hash, so texts that share an id are judged each by itself. Empty texts are in no group, so each stays; rows without an id stay."""
     known = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
     ids = component_ids(jaccard_join(docs.select(known.alias("row"), "text"), key="row", shingle=SHINGLE, percent=SIMILARITY))
-    kept = ids.filter(F.col("doc") == F.col("component_id")).select("doc.doc_id", F.col("doc.text_hash").alias("_hash")).distinct()
-    rows = docs.withColumn("_hash", F.xxhash64("text")).join(kept, ["doc_id", "_hash"], "left_semi")
-    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_hash").orderBy("source", "lang"))).filter("_n = 1")
-    return rows.select(_columns(docs)).unionByName(docs.filter(F.col("doc_id").isNull()))
+    kept = ids.filter(F.col("doc") == F.col("component_id")).select("doc.doc_id", F.col("doc.text_hash").alias("hash")).distinct()
+    rows = docs.select(_row(docs), "doc_id", F.xxhash64("text").alias("hash")).join(kept, ["doc_id", "hash"], "left_semi")
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "hash").orderBy("row.source", "row.lang", F.xxhash64("row")))).filter("n = 1")
+    return rows.select("row.*").unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 @_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents in which a window of ten words of a benchmark item occurs."""
-    return contamination(docs, table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")).select(_columns(docs))
+    found = contamination(docs.select(_row(docs)), table(spark, sf_dir, "benchmark"), ["row"], key="row.doc_id", text="row.text")
+    return found.filter(~F.col("contaminated")).select("row.*")
 
 
 @_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources with weights 5, 2, 1 of 150 % of all words: a row for each time that the mix takes a document."""
-    return mix_sources(docs).select(_columns(docs))
+    return mix_sources(docs.select(_row(docs)), names={"key": "row.doc_id", "text": "row.text", "source": "row.source"}).select("row.*")
 
 
 @_stage
