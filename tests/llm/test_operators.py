@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pathspark.llm import chat, jaccard, language, mixing, quality, secrets, substrings, tiff, tokens
 from pathspark.llm.decontaminate import build_index, contamination, phrases, rarest_terms, search, term_counts
+from pathspark.llm.queries import QUERIES
 from tests.llm import brute
 
 LONG = " ".join(f"w{i}" for i in range(3000))
@@ -521,5 +522,48 @@ def test_gram_counts():
     assert got.sum(1).tolist() == [0, 1, 0, 3, 6] and (language.gram_counts(pa.array(["AB"])) == language.gram_counts(pa.array(["ab"]))).all()
 
 
-def test_digests_are_of_the_contract(spark):
-    assert hashlib.sha256(b"").hexdigest() == brute.sha("")
+SF = "/root/testdata/sf0.001"
+needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+
+
+def whole(spark, name, *columns):
+    return [tuple(r) for r in spark.read.parquet(f"{SF}/{name}.parquet").select(*columns).collect()]
+
+
+@needs_data
+def test_op1_equals_brute_force(spark):
+    want = brute.components(whole(spark, "documents", "doc_id", "text"))
+    assert rows(QUERIES["op1_jaccard"](spark, SF), "doc_id", "n_shingles", "component_id") == want
+
+
+@needs_data
+def test_op3_equals_brute_force(spark):
+    want = brute.contamination(whole(spark, "documents", "doc_id", "text"), whole(spark, "benchmark", "item_id", "text"))
+    want = sorted(((d, n, hit, len(i), brute.sha(",".join(i)), hit > 0) for d, n, hit, i in want), key=str)
+    assert rows(QUERIES["op3_decontaminate"](spark, SF), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
+
+
+@needs_data
+def test_op8_equals_brute_force(spark):
+    want = []
+    for d, text in whole(spark, "documents", "doc_id", "text"):
+        found = brute.base_spans(text)
+        n = [sum(k == kind for k, _, _ in found) for kind, *_ in brute.KINDS]
+        want.append((d, *n, brute.sha(",".join(f"{k}:{a}:{b}" for k, a, b in found))))
+    assert rows(QUERIES["op8_secrets"](spark, SF), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == sorted(want, key=str)
+
+
+@needs_data
+def test_op9_equals_brute_force(spark):
+    want = sorted(((d, n, gone, brute.sha(left)) for d, left, n, gone in brute.kept_words(whole(spark, "documents", "doc_id", "text"))), key=str)
+    assert rows(QUERIES["op9_substrings"](spark, SF), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+
+
+@needs_data
+def test_op5_stores_the_payload(spark):
+    want = []
+    for d, text in whole(spark, "documents", "doc_id", "text"):
+        raw = (text or "").encode()
+        payload = raw + b"\xff" * (576 * max(1, -(-len(raw) // 576)) - len(raw))
+        want.append((d, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])))
+    assert rows(QUERIES["op5_tiff"](spark, SF), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == sorted(want, key=str)
