@@ -123,10 +123,11 @@ def train(docs: DataFrame, text: str, lang: str, order_by: str, sample: int = 40
             for part in _small(batch, "_text"):
                 counts = gram_counts(part.column("_text"))
                 cells = [np.flatnonzero(c) for c in counts]
-                lists = lambda values, kind: pa.array([v.tolist() for v in values], pa.list_(kind))
-                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("place"), part.column("tie"), lists(cells, pa.int32()), lists([c[i] for c, i in zip(counts, cells)], pa.float32())], ["lang", "place", "tie", "cells", "counts"])
+                packed_cells = pa.array([i.astype("<u2").tobytes() for i in cells], pa.binary())
+                packed_counts = pa.array([c[i].astype("<f4").tobytes() for c, i in zip(counts, cells)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("place"), part.column("tie"), packed_cells, packed_counts], ["lang", "place", "tie", "cells", "counts"])
 
-    got = known.filter(F.col("place") <= upto).withColumn("tie", F.xxhash64("_text")).mapInArrow(sampled, "lang string, place long, tie long, cells array<int>, counts array<float>")
+    got = known.filter(F.col("place") <= upto).withColumn("tie", F.xxhash64("_text")).mapInArrow(sampled, "lang string, place long, tie long, cells binary, counts binary")
     got = got.withColumn("r", F.row_number().over(by.orderBy("place", "tie"))).filter(F.col("r") <= share).drop("r")
     rows = sorted(got.collect(), key=lambda r: (r["lang"], r["place"], r["tie"]))
     order = np.random.default_rng(3).permutation(len(rows))
@@ -134,8 +135,8 @@ def train(docs: DataFrame, text: str, lang: str, order_by: str, sample: int = 40
     model = LanguageModel(languages, idf, np.zeros((1 << BITS, len(languages)), np.float32), np.zeros(len(languages), np.float32), 1.0)
     x, y = [], np.array([languages.index(r["lang"]) for r in rows])
     for r in rows:
-        i = np.array(r["cells"], np.int64)
-        v = np.log1p(np.array(r["counts"], np.float32)) * idf[i]
+        i = np.frombuffer(r["cells"], "<u2").astype(np.int64)
+        v = np.log1p(np.frombuffer(r["counts"], "<f4")) * idf[i]
         x.append((i, (v / max(np.linalg.norm(v), 1e-12)).astype(float)))
     cut = max(1, len(x) * 4 // 5)
     w, b = ftrl(x[:cut], y[:cut], 1 << BITS, len(languages), passes, alpha, beta, l1, l2)
