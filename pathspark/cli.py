@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from importlib import import_module
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .operators import curation as C
 from .plans.context import contexts, value_sets
-from .plans.generate import generate
+from .plans.generate import final_dataset, generate
+from .plans.paraphrases import paraphrase
 from .plans.parser import analyze
 from .plans.templates import TEMPLATES
 from .schema import QA_RECORD
@@ -83,6 +85,41 @@ def cmd_review(a: argparse.Namespace) -> None:
     counters.show()
 
 
+def cmd_generate_paraphrases(a: argparse.Namespace) -> None:
+    """Paraphrases of the templates' texts from a source, package.module:function, as {template: [text, paraphrases ..]}."""
+    spark = _spark()
+    texts = spark.createDataFrame([(t, TEMPLATES[t].text()) for t in a.templates or TEMPLATES], "template_id string, text string")
+    out = Path(a.output)
+    have = files.read_map_of_lists(spark, a.output).groupBy(F.col("key").alias("template_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("texts")) if a.resume and out.exists() else None
+    if a.dry_run:
+        (texts if have is None else C.remaining(texts, have, ["template_id"])).show(len(TEMPLATES), truncate=False)
+        return
+    module, _, name = a.source.partition(":")
+    made = paraphrase(texts, getattr(import_module(module), name), a.n, have)
+    out.write_text(files.to_sorted_object(made if have is None else made.unionByName(have), "template_id", "texts").first()["json"])
+
+
+def cmd_verify_paraphrases(a: argparse.Namespace) -> None:
+    """Edit distances between the first text and the others of each template, and, unless --analyze-only, the pairs as CSV for a review."""
+    lists = files.read_map_of_lists(_spark(), a.input).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]).alias("texts"))
+    pairs = C.pairs_with_first(lists.withColumnRenamed("key", "template_id"), "template_id", "texts")
+    C.pair_statistics(pairs, "template_id").orderBy(F.desc("n"), "template_id").show(len(TEMPLATES) + 1, truncate=False)
+    if not a.analyze_only:
+        files.write_csv(pairs.select("template_id", F.col("original").alias("question_template"), "paraphrase").coalesce(1), a.output)
+
+
+def cmd_final_dataset(a: argparse.Namespace) -> None:
+    """Questions, drawn until each has an answer, with the paraphrases of a split; goes on where an earlier run was cut off."""
+    spark = _spark()
+    res = resources(read_bundles(spark, a.bundles))
+    patients = files.read_ids(spark, a.patient_ids).withColumnRenamed("id", "patient_id") if a.patient_ids else res.table("Patient").select("patient_id").distinct()
+    texts = None
+    if a.paraphrases:
+        texts = C.paraphrases_of_split(*(files.read_map_of_lists(spark, p) for p in a.paraphrases), files.read_split_map(spark, a.split_file), a.split)
+    records = final_dataset(res, contexts(res, patients), a.work, a.templates or None, a.n, a.seed, "compat" if a.compat else "calendar", a.rounds, texts, a.resume)
+    files.write_jsonl(records.drop("round").withColumn("split", F.lit(a.split)), files.jsonl_path(a.output))
+
+
 def cmd_valuesets(a: argparse.Namespace) -> None:
     """All patients' values by slot, one JSON list per slot."""
     res = resources(read_bundles(_spark(), a.bundles))
@@ -137,6 +174,30 @@ def parser() -> argparse.ArgumentParser:
         c = command(name, f)
         c.add_argument("bundles" if name == "valuesets" else "input")
         c.add_argument("output")
+    c = command("generate-paraphrases", cmd_generate_paraphrases)
+    c.add_argument("source", help="package.module:function")
+    c.add_argument("output")
+    c.add_argument("--templates", nargs="*", choices=sorted(TEMPLATES))
+    c.add_argument("--n", type=int, default=20, help="most paraphrases of a template")
+    c.add_argument("--dry-run", action="store_true")
+    c.add_argument("--resume", action=argparse.BooleanOptionalAction, default=True)
+    c = command("verify-paraphrases", cmd_verify_paraphrases)
+    c.add_argument("input")
+    c.add_argument("output", nargs="?", default="review.csv")
+    c.add_argument("--analyze-only", action="store_true")
+    c = command("final-dataset", cmd_final_dataset)
+    for x in ("bundles", "work", "output"):
+        c.add_argument(x)
+    c.add_argument("--patient-ids", help="a file with one id per line")
+    c.add_argument("--templates", nargs="*", choices=sorted(TEMPLATES))
+    c.add_argument("--paraphrases", nargs=2, metavar=("CLINICAL", "PATIENT"))
+    c.add_argument("--split-file", default="splits.json")
+    c.add_argument("--split", choices=SPLITS, default="train")
+    c.add_argument("--n", type=int, default=1, help="questions per template and patient")
+    c.add_argument("--rounds", type=int, default=20, help="draws until a question is given up")
+    c.add_argument("--seed", type=int, default=42)
+    c.add_argument("--compat", action="store_true", help="windows that keep the time of day")
+    c.add_argument("--resume", action=argparse.BooleanOptionalAction, default=True)
     command("validate", cmd_validate).add_argument("paths", nargs="*")
     return p
 

@@ -165,6 +165,16 @@ def merge_perspectives(clinical: DataFrame, patient: DataFrame, key: str = "temp
     return a.join(b, F.col(key) == F.col("_k"), "full").select(F.coalesce(key, "_k").alias(key), "clinical", "patient")
 
 
+def paraphrases_of_split(clinical: DataFrame, patient: DataFrame, splits: DataFrame, split: str, key: str = "key") -> DataFrame:
+    """(template_id, clinical, patient): both perspectives' texts (key, ord, text) that splits (template_id, text, split) puts into the
+    split, in their order. A template of which none is there keeps empty lists."""
+    both = clinical.select(key, "ord", "text", F.lit("clinical").alias("who")).unionByName(patient.select(key, "ord", "text", F.lit("patient").alias("who")))
+    wanted = splits.filter(F.col("split") == split).select(F.col("template_id").alias("_k"), F.col("text").alias("_x")).distinct()
+    found = both.join(wanted, (F.col(key) == F.col("_k")) & (F.col("text") == F.col("_x")), "left")
+    kept = lambda who: F.transform(F.array_sort(F.collect_list(F.when(F.col("_k").isNotNull() & (F.col("who") == who), F.struct("ord", "text")))), lambda x: x["text"]).alias(who)
+    return found.groupBy(F.col(key).alias("template_id")).agg(kept("clinical"), kept("patient"))
+
+
 # -- draws
 
 
@@ -198,16 +208,19 @@ def numbered(df: DataFrame, *order: str, name: str = "index") -> DataFrame:
     return ranged.withColumn("_w", within).join(base, F.col("_p") == F.col("_q")).withColumn(name, (F.coalesce("_base", F.lit(0)) + F.col("_w")).cast("long")).drop("_p", "_q", "_base", "_w")
 
 
-def cover(tracked: DataFrame, evaluate, keys: Sequence[str], most: int = 20) -> DataFrame:
+def cover(tracked: DataFrame, evaluate, keys: Sequence[str], most: int = 20, after=None, start: int = 0) -> DataFrame | None:
     """Draws until everything tracked has an answer that isn't null, or `most` rounds are over: in each round `evaluate(rows, round)`
-    answers all that remains, the first success of each key is accepted, and the rest is tried again."""
+    answers all that remains, the first success of each key is accepted, and the rest is tried again. after(round, accepted, left)
+    is called with what each round has accepted and left, so that it can be written; a later call may `start` behind it."""
     done, left = None, tracked
-    for r in range(most):
+    for r in range(start, most):
         answered = evaluate(left, r).filter(~null_answer(F.col("answer")))
         accepted = answered.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("question_id"))).filter("_n = 1").drop("_n")
         accepted = accepted.checkpoint() if tracked.sparkSession.sparkContext.getCheckpointDir() else accepted.persist()
         done = accepted if done is None else done.unionByName(accepted)
         left = remaining(tracked, done, keys)
+        if after:
+            after(r, accepted, left)
         if left.isEmpty():
             break
     return done

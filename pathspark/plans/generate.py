@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, fill_slots, tidy_punctuation
-from ..operators.curation import null_answer, pick
+from ..operators.curation import cover, null_answer, pick
+from ..sources import files
 from . import timewin as W
 from .compiler import Resources, evaluate_path
 from .context import NAMED
-from .templates import TEMPLATES, Template
-
-COMPARISONS = ("greater", "less")
+from .templates import OPERATIONS, TEMPLATES, Template
 
 
 def cross(patients: DataFrame, templates: DataFrame, n: int) -> DataFrame:
@@ -33,7 +32,7 @@ def draw(contexts: DataFrame, template: Template, n: int = 1, seed: int = 42) ->
     q = q.withColumn("question_id", F.concat_ws("/", F.lit(template.template_id), "patient_id", "i"))
     for slot in template.slots[1:]:
         if slot == "comparison":
-            q = q.withColumn(slot, pick(F.array(*map(F.lit, COMPARISONS)), *key(slot)))
+            q = q.withColumn(slot, pick(F.array(*map(F.lit, OPERATIONS)), *key(slot)))
             continue
         base = slot.rstrip("0123456789")
         options = F.try_element_at("values", F.lit(base))
@@ -49,25 +48,43 @@ def draw(contexts: DataFrame, template: Template, n: int = 1, seed: int = 42) ->
     return q.withColumn("date", date).withColumn("n", back).withColumn("exact_id", exact).drop("values", "named", "i")
 
 
-def render(q: DataFrame, template: Template, text: str | None = None) -> DataFrame:
+def draw_paraphrase(q: DataFrame, template: Template, paraphrases: DataFrame | None, seed: int = 42) -> DataFrame:
+    """Adds perspective and text: one of the perspectives that have texts for the template in paraphrases (template_id, clinical,
+    patient), and one of its texts, by the hash of the question. Without any, the template's own text and no perspective."""
+    own = F.lit(template.text())
+    if paraphrases is None:
+        return q.withColumn("perspective", F.lit(None).cast("string")).withColumn("text", own)
+    who = ("clinical", "patient")
+    one = paraphrases.filter(F.col("template_id") == template.template_id).groupBy("template_id").agg(*(F.array_sort(F.flatten(F.collect_list(w))).alias(f"_{w}") for w in who))
+    q = q.withColumn("_of", F.lit(template.template_id)).join(one, F.col("_of") == F.col("template_id"), "left")
+    some = F.filter(F.array(*(F.when(F.size(f"_{w}") > 0, w) for w in who)), lambda x: x.isNotNull())
+    key = lambda what: [F.col("question_id"), F.lit(seed), F.lit(what)]
+    q = q.withColumn("perspective", pick(some, *key("perspective")))
+    texts = F.when(F.col("perspective") == "clinical", F.col("_clinical")).when(F.col("perspective") == "patient", F.col("_patient"))
+    return q.withColumn("text", F.coalesce(pick(texts, *key("paraphrase")), own)).drop("_of", "template_id", "_clinical", "_patient")
+
+
+def render(q: DataFrame, template: Template, text: Column | None = None) -> DataFrame:
     """Adds question: the template's text, or a paraphrase's, with all slots filled and punctuation tidied."""
-    t = fill_slots(F.lit(text or template.text()), {s: F.col(s) for s in template.slots})
+    t = fill_slots(F.lit(template.text()) if text is None else text, {s: F.col(s) for s in template.slots})
     t = F.replace(t, F.lit("(comparison1)"), F.col("comparison")) if "comparison" in template.slots else t
     t = fill_slots(t, {"time_filter_global1": W.phrase(F.col("time_id"), F.col("date"), F.col("n")), "time_filter_exact1": W.phrase(F.col("exact_id"), F.col("date"), F.col("n"))}, brackets=True)
     return q.withColumn("question", tidy_punctuation(t))
 
 
-def generate(res: Resources, contexts: DataFrame, template_ids: Sequence[str] | None = None, n: int = 1, answers: bool = True, seed: int = 42, mode: str = "calendar", drop_null_answers: bool = True) -> DataFrame:
+def generate(res: Resources, contexts: DataFrame, template_ids: Sequence[str] | None = None, n: int = 1, answers: bool = True, seed: int = 42, mode: str = "calendar", drop_null_answers: bool = True, paraphrases: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
     """QA records: one plan per template for all patients. Questions with a slot that the patient has no value for, and null answers
-    ([] and [0]), are dropped."""
+    ([] and [0]), are dropped. paraphrases (template_id, clinical, patient) give texts and perspectives; only (question_id) names the
+    questions that are asked for."""
     out = None
     for template_id in template_ids or TEMPLATES:
         t = TEMPLATES[template_id]
         drawn = draw(contexts, t, n, seed).dropna(subset=list(t.slots[1:])) if t.slots[1:] else draw(contexts, t, n, seed)
-        q = render(W.with_windows(drawn, mode), t)
+        drawn = drawn if only is None else drawn.join(only.select("question_id"), "question_id", "left_semi")
+        q = render(draw_paraphrase(W.with_windows(drawn, mode), t, paraphrases, seed), t, F.col("text"))
         given = F.map_filter(F.create_map(*(x for s in t.slots for x in (F.lit(s), F.col(s).cast("string")))), lambda k, v: v.isNotNull())
         records = q.select(
-            "question_id", "patient_id", "question", F.lit(t.path()).alias("query"), F.date_format("now", "yyyy-MM-dd'T'HH:mm:ss").alias("now"), F.lit(template_id).alias("question_template_id"), F.lit(t.text()).alias("question_template"),
+            "question_id", "patient_id", "question", F.lit(t.path()).alias("query"), F.date_format("now", "yyyy-MM-dd'T'HH:mm:ss").alias("now"), F.lit(template_id).alias("question_template_id"), F.col("text").alias("question_template"), "perspective",
             given.alias("s_placeholders"), F.create_map(F.lit("time_filter_global1"), F.col("time_id")).alias("t_placeholders"),
         )
         if answers:
@@ -79,3 +96,32 @@ def generate(res: Resources, contexts: DataFrame, template_ids: Sequence[str] |
             records = records.withColumn("answer", F.lit(None).cast("string"))
         out = records if out is None else out.unionByName(records)
     return out.withColumn("id", content_hash("patient_id", "question", "query", "answer", "question_template_id"))
+
+
+def final_dataset(res: Resources, contexts: DataFrame, path: str, template_ids: Sequence[str] | None = None, n: int = 1, seed: int = 42, mode: str = "calendar", most: int = 20, paraphrases: DataFrame | None = None, resume: bool = True) -> DataFrame:
+    """QA records under `path`/records, drawn again with another seed until each of the n questions of every patient and template has an
+    answer that isn't null, or `most` rounds are over. Each round writes what it accepted, in a folder of its own, and then what is
+    left; a run that was cut off goes on behind its last whole round, and one that was done returns its records."""
+    spark = contexts.sparkSession
+    ids = list(template_ids or TEMPLATES)
+    templates = spark.createDataFrame([(t,) for t in ids], "question_template_id string")
+    tracked = cross(contexts.select("patient_id"), templates, n).select(F.concat_ws("/", "question_template_id", "patient_id", "i").alias("question_id"), "patient_id", "question_template_id")
+    last = files.load_checkpoint(spark, f"{path}/left") if resume else None
+    start = 0
+    if last is not None:
+        state = last.agg(F.max("cycle"), F.count("question_id")).first()
+        start, tracked = state[0] + 1, last.filter(F.col("question_id").isNotNull()).select(*tracked.columns)
+        if not state[1]:
+            start = most
+
+    def ask(rows, r):
+        return generate(res, contexts, ids, n, True, seed + r, mode, True, paraphrases, rows)
+
+    def after(r, accepted, left):
+        accepted.write.mode("overwrite").parquet(f"{path}/records/round={r}")
+        # a row without a question marks a round that left nothing
+        mark = spark.range(1).select(*(F.lit(None).cast("string").alias(c) for c in tracked.columns))
+        files.save_checkpoint(left.unionByName(mark), f"{path}/left", r)
+
+    cover(tracked, ask, ["question_id"], most, after, start)
+    return spark.read.parquet(f"{path}/records")

@@ -6,6 +6,7 @@ time; extreme() keeps all resources that tie for the first or last time.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from ..schema import ICU, MICRO_TEST, ORGANISM, WEIGHTS
@@ -42,7 +43,7 @@ class Template:
         return "pick()" in self.then or "extreme()" in self.then
 
     def path(self) -> str:
-        tests = [f"resourceType = '{self.resource}'", *self.criteria, *(["during()"] if self.window else [])]
+        tests = [f"resourceType = '{self.resource}'", *map(_compared, self.criteria), *(["during()"] if self.window else [])]
         return f"Bundle.entry.resource.where({' and '.join(tests)}).{self.then}"
 
     def text(self) -> str:
@@ -63,12 +64,27 @@ class Template:
 
 _TIME = {"Observation": "effectiveDateTime.toDateTime()", "MedicationAdministration": "select((effectiveDateTime | effectivePeriod.start).sort().first().toDateTime())", "MedicationRequest": "authoredOn.toDateTime()", "Procedure": "select((performedDateTime | performedPeriod.start).sort().first().toDateTime())", "Encounter": "select((period.start | period.end).sort().first().toDateTime())", "Condition": "encounter.resolve().period.start.toDateTime()"}
 TEMPLATES: dict[str, Template] = {}
+#: Comparison operations of the operation slot, as the path language writes them.
+OPERATIONS = {"greater": ">", "less": "<"}
+
+
+def register_operation(name: str, symbol: str) -> None:
+    """Adds a comparison, which questions may draw from then on."""
+    if name in OPERATIONS:
+        raise ValueError(f"operation {name} is registered already")
+    if symbol not in (">", "<", ">=", "<=", "="):
+        raise ValueError(f"{symbol} is no comparison")
+    OPERATIONS[name] = symbol
+
+
+def _compared(criterion: str) -> str:
+    """A criterion with %comparison(element, value) written out for all operations."""
+    each = lambda m: "(" + " or ".join(f"(%comparison = '{name}' and {m[1]} {symbol} {m[2]})" for name, symbol in OPERATIONS.items()) + ")"
+    return re.sub(r"%comparison\(([^,()]+), ([^,()]+)\)", each, criterion)
 
 
 def register_template(template_id: str, resource: str, criteria: list[str] | str, then: str, result: str, subject: str, window: bool = True) -> Template:
     """Adds a template. Its slots are the parameters of its path."""
-    import re
-
     if template_id in TEMPLATES:
         raise ValueError(f"template {template_id} is registered already")
     tests = (criteria,) if isinstance(criteria, str) else tuple(criteria)
@@ -107,7 +123,7 @@ def _all() -> None:
     add("has-any-diagnosis", cond, [], "exists()", "boolean", "diagnosis")
     add("has-any-lab-test", obs, _LAB, "exists()", "boolean", "lab test")
     add("has-any-procedure", proc, [], "exists()", "boolean", "procedure")
-    add("has-vital-comparison", obs, [vital, "((%comparison = 'greater' and valueQuantity.value > %vital_value) or (%comparison = 'less' and valueQuantity.value < %vital_value))"], "exists()", "boolean", "{vital_name} (comparison1) than {vital_value}")
+    add("has-vital-comparison", obs, [vital, "%comparison(valueQuantity.value, %vital_value)"], "exists()", "boolean", "{vital_name} (comparison1) than {vital_value}")
     add("has-normal-vital", obs, [vital, _NORMAL], "exists()", "boolean", "normal {vital_name}")
     add("has-organism-found", obs, _SPEC, f"pick().where(hasMember.exists() and hasMember.resolve().{organism}).exists()", "boolean", "organism in the {spec_name} test")
     add("list-admission-times", enc, root, "period.start", "list", "hospital admission times")
@@ -177,8 +193,6 @@ PLACEHOLDERS: dict[str, dict[str, str]] = {
     "vital_name": {"Observation": _DISPLAY.format("value")},
     "vital_value": {"Observation": "valueQuantity.value = %value"}, "lab_value": {"Observation": "valueQuantity.value = %value"},
 }
-#: Comparison operations of the operation slot.
-OPERATIONS = {"greater": ">", "less": "<"}
 
 
 def register_placeholder(name: str, criteria: dict[str, str], value_paths: tuple[str, ...] = ()) -> None:

@@ -83,6 +83,12 @@ def clinical(spark: SparkSession, d: str, *kinds: str) -> Resources:
         ),
         "Condition": lambda: _lines(spark, d).join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
             F.col("o_custkey").cast("string").alias("patient_id"), line.alias("ord"), F.col("o_orderdate").cast("timestamp").alias("_t"), _concept(F.col("p_type")).alias("code"), _ref("Encounter", F.col("o_orderkey")).alias("encounter")),
+        "Medication": lambda: spark.createDataFrame([], "patient_id string, ord long"),
+        "Patient": lambda: _t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("patient_id"), F.col("c_custkey").alias("ord"), F.col("c_mktsegment").alias("gender"), F.col("c_name").alias("birthDate")),
+        "Procedure": lambda: _lines(spark, d).join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
+            F.col("o_custkey").cast("string").alias("patient_id"), line.alias("ord"), F.col("l_shipdate").cast("timestamp").alias("_t"), _concept(F.col("p_type")).alias("code")),
+        "MedicationAdministration": lambda: _lines(spark, d).join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
+            F.col("o_custkey").cast("string").alias("patient_id"), line.alias("ord"), F.col("l_shipdate").cast("timestamp").alias("_t"), _concept(F.col("p_name")).alias("medicationCodeableConcept"), _ref("Encounter", F.col("o_orderkey")).alias("context")),
         "Observation": lambda: _t(spark, d, "events").select(
             F.col("user_id").cast("string").alias("patient_id"), F.col("event_id").alias("ord"), F.col("ts").cast("timestamp").alias("_t"), _concept(F.col("event_type")).alias("code"), F.struct(F.col("value").alias("value"), null.alias("unit")).alias("valueQuantity"),
             F.array(F.when(F.col("event_type") == "view", _concept(code=F.lit("laboratory"))).otherwise(_concept(code=F.initcap("event_type")))).alias("category"),
@@ -498,5 +504,112 @@ def ndjson_ntile(spark, d):
     return balanced_parts(_t(spark, d, "events").select("event_id"), 4, "event_id")
 
 
+@query("WITH s AS (SELECT DISTINCT conv_id AS k, text AS x FROM conversations WHERE turn % 2 = 0) SELECT conv_id AS template_id, coalesce(string_agg(text, '|' ORDER BY turn, text) FILTER (WHERE role = 'user' AND k IS NOT NULL), '') AS clinical, coalesce(string_agg(text, '|' ORDER BY turn, text) FILTER (WHERE role = 'assistant' AND k IS NOT NULL), '') AS patient FROM conversations LEFT JOIN s ON k = conv_id AND x = text WHERE role IN ('user', 'assistant') GROUP BY 1")
+def paraphrases_by_split(spark, d):
+    c = _t(spark, d, "conversations").withColumn("ord", F.col("turn"))
+    splits = c.select(F.col("conv_id").alias("template_id"), "text", F.when(F.col("turn") % 2 == 0, "train").otherwise("test").alias("split"))
+    got = C.paraphrases_of_split(c.filter("role = 'user'"), c.filter("role = 'assistant'"), splits, "train", "conv_id")
+    return got.select("template_id", F.array_join("clinical", "|").alias("clinical"), F.array_join("patient", "|").alias("patient"))
+
+
+@query(f"SELECT o_custkey AS patient, count(DISTINCT {_LINE}) AS encounters, count(DISTINCT s_suppkey) AS locations, count(DISTINCT s_nationkey) AS organizations FROM orders JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1")
+def everything_of_patients(spark, d):
+    from .sources.bundles import everything
+
+    null = F.lit(None).cast("string")
+    link = lambda kind, key: F.struct(F.concat(F.lit(f"{kind}/"), F.col(key).cast("string")).alias("reference"))
+    rows = lambda kind, table, key, patient=null, **more: table.select(
+        patient.alias("patient_id"), F.monotonically_increasing_id().alias("ord"), F.to_json(F.struct(F.lit(kind).alias("resourceType"), key.cast("string").alias("id"), *(v.alias(k) for k, v in more.items()))).alias("resource"))
+    entries = rows("Encounter", _lines(spark, d), F.expr(_LINE), F.col("o_custkey").cast("string"), location=F.array(F.struct(link("Location", "l_suppkey").alias("location"))))
+    entries = entries.unionByName(rows("Location", _t(spark, d, "supplier"), F.col("s_suppkey"), managingOrganization=link("Organization", "s_nationkey")))
+    entries = entries.unionByName(rows("Organization", _t(spark, d, "nation"), F.col("n_nationkey")))
+    kind = F.get_json_object("resource", "$.resourceType")
+    n = [F.count_if(kind == k).alias(f"{k.lower()}s") for k in ("Encounter", "Location", "Organization")]
+    return everything(entries).groupBy(F.col("patient_id").cast("long").alias("patient")).agg(*n)
+
+
+# -- templates by their own paths, with values for their slots, since the start of 1996 where they have a window
+_SINCE = "1996-01-01"
+_LINES = "orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey"
+_DRUGS = ("Medication", "MedicationRequest")
+#: By template: the resource types, the values, and the condition in SQL; and what is picked, where something is.
+_OF_LINES: dict[str, tuple] = {
+    "has-any-medication": (("MedicationRequest",), {}, f"l_shipdate >= TIMESTAMP '{_SINCE}'"),
+    "has-drug-prescribed": (_DRUGS, {"drug_name": "Brand#11"}, f"p_brand = 'Brand#11' AND l_shipdate >= TIMESTAMP '{_SINCE}'"),
+    "has-multiple-drugs-or": (_DRUGS, {"drug_name1": "Brand#11", "drug_name2": "none", "drug_name3": "Brand#5"}, f"p_brand IN ('Brand#11', 'Brand#5') AND l_shipdate >= TIMESTAMP '{_SINCE}'"),
+    "count-specific-drug-prescriptions": (_DRUGS, {"drug_name": "Brand#5"}, f"p_brand = 'Brand#5' AND l_shipdate >= TIMESTAMP '{_SINCE}'"),
+    "has-any-diagnosis": (("Condition",), {}, f"o_orderdate >= TIMESTAMP '{_SINCE}'"),
+    "has-diagnosis": (("Condition",), {"diagnosis_name": "ECONOMY"}, f"p_type = 'ECONOMY' AND o_orderdate >= TIMESTAMP '{_SINCE}'"),
+    "has-any-procedure": (("Procedure",), {}, f"l_shipdate >= TIMESTAMP '{_SINCE}'"),
+    "has-procedure": (("Procedure",), {"procedure_name": "ECONOMY"}, f"p_type = 'ECONOMY' AND l_shipdate >= TIMESTAMP '{_SINCE}'"),
+    "count-procedure-events": (("Procedure",), {"procedure_name": "ECONOMY"}, f"p_type = 'ECONOMY' AND l_shipdate >= TIMESTAMP '{_SINCE}'"),
+    "has-input-intake": (("MedicationAdministration", "Encounter"), {"input_name": "small widget"}, f"p_name = 'small widget' AND o_orderstatus = 'F' AND l_shipdate >= TIMESTAMP '{_SINCE}'"),
+    "count-input-intake-events": (("MedicationAdministration", "Encounter"), {"input_name": "small widget"}, f"p_name = 'small widget' AND o_orderstatus = 'F' AND l_shipdate >= TIMESTAMP '{_SINCE}'"),
+    "procedure-name": (("Procedure",), {}, f"l_shipdate >= TIMESTAMP '{_SINCE}'", "p_type"),
+    "drug-name": (_DRUGS, {}, f"l_shipdate >= TIMESTAMP '{_SINCE}'", "p_brand"),
+    "drug-name-route": (_DRUGS, {"drug_route": "R"}, f"l_returnflag = 'R' AND l_shipdate >= TIMESTAMP '{_SINCE}'", "p_brand"),
+    "drug-dose": (_DRUGS, {"drug_name": "Brand#11"}, f"p_brand = 'Brand#11' AND l_shipdate >= TIMESTAMP '{_SINCE}'", "CAST(l_quantity AS VARCHAR)"),
+}
+_VIEWS = "event_type = 'view'"
+_OF_EVENTS: dict[str, tuple] = {
+    "has-any-lab-test": ({}, _VIEWS), "has-lab-test": ({"lab_name": "view"}, _VIEWS), "count-lab-test-events": ({"lab_name": "view"}, _VIEWS), "has-output-events": ({"output_name": "click"}, "event_type = 'click'"),
+    "lab-name": ({}, _VIEWS, "event_type"), "vital-measurement": ({"vital_name": "click"}, "event_type = 'click'", "value"),
+}
+
+
+def _template_query(template_id: str, kinds: tuple[str, ...], values: dict, of_lines: bool, condition: str, picked: str | None) -> None:
+    name, result = "template_" + template_id.replace("-", "_"), TEMPLATES[template_id].result
+    if picked:
+        order = f"struct_pack(a := l_shipdate, b := {_LINE})" if of_lines else "struct_pack(a := ts, b := event_id)"
+        rows = f"o_custkey AS patient, max_by({picked}, {order}) AS v FROM {_LINES}" if of_lines else f"user_id AS patient, max_by({picked}, {order}) AS v FROM events"
+        sql = f"SELECT {rows} WHERE {condition} GROUP BY 1"
+    else:
+        n = "count(l_orderkey)" if of_lines else f"count(*) FILTER (WHERE {condition})"
+        sql = f"SELECT {'c_custkey' if of_lines else 'user_id'} AS patient, {n if result == 'count' else n + ' > 0'} AS v FROM "
+        sql += (f"customer LEFT JOIN (SELECT * FROM {_LINES} WHERE {condition}) ON o_custkey = c_custkey" if of_lines else "events") + " GROUP BY 1"
+
+    @query(sql, name)
+    def template(spark, d):
+        asked = (_patients if of_lines else _users)(spark, d).withColumn("lo", _TS(_SINCE)).withColumn("pick", F.lit("last"))
+        got = ask(clinical(spark, d, *kinds), template_id, asked, **values)
+        if not picked:
+            return got.select(F.col("question_id").alias("patient"), F.col("count" if result == "count" else "flag").alias("v"))
+        v = F.get("values", 0)
+        return got.filter(F.size("values") > 0).select(F.col("question_id").alias("patient"), (v.cast("double") if picked == "value" else v).alias("v"))
+
+
+for _id, (_kinds, _values, _condition, *_picked) in _OF_LINES.items():
+    _template_query(_id, _kinds, _values, True, _condition, _picked[0] if _picked else None)
+for _id, (_values, _condition, *_picked) in _OF_EVENTS.items():
+    _template_query(_id, ("Observation",), _values, False, _condition, _picked[0] if _picked else None)
+
+
+def _values_query(slot: str, kinds: tuple[str, ...], value: str, rows: str, patient: str) -> None:
+    sql = f"SELECT p AS patient, coalesce(string_agg(DISTINCT v, '|' ORDER BY v), '') AS names FROM (SELECT c_custkey AS p FROM customer) LEFT JOIN (SELECT {patient} AS k, {value} AS v FROM {rows}) ON k = p GROUP BY 1"
+
+    @query(sql, f"values_{slot}")
+    def extract(spark, d):
+        from .plans.context import value_sets
+
+        got = value_sets(clinical(spark, d, *kinds), _patients(spark, d).select("patient_id"), [slot])
+        return got.select(F.col("patient_id").cast("long").alias("patient"), F.array_join("values", "|").alias("names"))
+
+
+_values_query("drug_name", _DRUGS, "p_brand", _LINES, "o_custkey")
+_values_query("drug_route", _DRUGS, "l_returnflag", _LINES, "o_custkey")
+_values_query("procedure_name", ("Procedure",), "p_type", _LINES, "o_custkey")
+_values_query("input_name", ("MedicationAdministration", "Encounter"), "p_name", f"{_LINES} WHERE o_orderstatus = 'F'", "o_custkey")
+_values_query("admission_route", ("Encounter",), "o_orderpriority", "orders", "o_custkey")
+_values_query("gender", ("Patient",), "c_mktsegment", "customer", "c_custkey")
+_values_query("lab_name", ("Observation",), "event_type", f"events WHERE {_VIEWS}", "user_id")
+_values_query("vital_name", ("Observation",), "event_type", "events", "user_id")
+
+
+@query("SELECT c_custkey AS patient, c_name AS v FROM customer")
+def template_patient_birth_date(spark, d):
+    got = ask(clinical(spark, d, "Patient"), "patient-birth-date", _patients(spark, d))
+    return got.select(F.col("question_id").alias("patient"), F.get("values", 0).alias("v"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return count_visits_by_patient(spark, "/root/testdata/sf0.001")

@@ -82,3 +82,33 @@ def write_tables(res: Resources, path: str) -> None:
 
 def read_tables(spark: SparkSession, path: str, kinds: list[str] | None = None) -> Resources:
     return Resources({k: spark.read.parquet(f"{path}/{k}") for k in (kinds or RESOURCES)})
+
+
+#: The types whose resources a patient's bundle has if it refers to them, and those that it has if they refer to it.
+INCLUDED = ("Location", "Organization", "Practitioner", "Specimen", "Medication", "MedicationRequest")
+REFERRING = ("Provenance",)
+
+
+def everything(entries: DataFrame, include: tuple[str, ...] = INCLUDED, referring: tuple[str, ...] = REFERRING) -> DataFrame:
+    """(patient_id, ord, resource): all resources of each patient, as bundles have them, from entries of read_ndjson, in which shared
+    ones have no patient. A shared one comes with each patient whose resources refer to it, or to one that does; the types in
+    `referring` come with those that they refer to. Of resources with one id the last counts."""
+    from ..operators.curation import last_wins
+
+    named = F.concat_ws("/", F.get_json_object("resource", "$.resourceType"), F.get_json_object("resource", "$.id"))
+    keyed = last_wins(entries.select("patient_id", "ord", "resource", named.alias("ref")), ["patient_id", "ref"], "ord")
+    kind = F.split_part("ref", F.lit("/"), F.lit(1))
+    targets = lambda df: df.select("patient_id", F.explode(F.array_distinct(F.regexp_extract_all("resource", F.lit(r'"reference"\s*:\s*"([^"]+)"'), F.lit(1)))).alias("ref")).distinct()
+    cut = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+    shared = keyed.filter(F.col("patient_id").isNull()).drop("patient_id")
+    out = fresh = keyed.filter(F.col("patient_id").isNotNull())
+    while True:
+        asked = targets(fresh).filter(kind.isin(*include)).join(out.select("patient_id", "ref"), ["patient_id", "ref"], "left_anti")
+        fresh = cut(shared.join(asked, "ref").select(*out.columns))
+        if fresh.isEmpty():
+            break
+        out = out.unionByName(fresh)
+    about = targets(shared.filter(kind.isin(*referring)).withColumn("patient_id", F.col("ref"))).withColumnRenamed("patient_id", "by")
+    of = about.join(out.select("patient_id", "ref"), "ref").select("patient_id", F.col("by").alias("ref")).distinct()
+    more = shared.join(of.join(out.select("patient_id", "ref"), ["patient_id", "ref"], "left_anti"), "ref")
+    return out.unionByName(more.select(*out.columns)).select("patient_id", "ord", "resource")
