@@ -46,3 +46,50 @@ def test_validate():
     with pytest.raises(SystemExit) as e:
         cli.main(["validate", "a.b.("])
     assert e.value.code
+
+
+def say(asked):
+    """A source of paraphrases: a good one, the same again, one that lost its slots, and one that is too near."""
+    from pyspark.sql import functions as F
+
+    good = F.concat(F.lit("Please look into the chart and tell me: "), "masked")
+    return asked.select("template_id", F.explode(F.array(good, good, F.lit("Who is it that came here at all?"), F.concat("masked", F.lit("?")))).alias("paraphrase"))
+
+
+def test_paraphrases_of_a_source(spark, tmp_path, capsys):
+    out = tmp_path / "p.json"
+    cli.main(["generate-paraphrases", "tests.test_cli:say", str(out), "--templates", "patient-gender"])
+    cli.main(["generate-paraphrases", "tests.test_cli:say", str(out), "--templates", "patient-gender", "lab-name"])
+    made = json.loads(out.read_text())
+    assert set(made) == {"patient-gender", "lab-name"}
+    own, *more = made["patient-gender"]
+    assert "{patient_id}" in own and more == ["Please look into the chart and tell me: " + own]
+    cli.main(["verify-paraphrases", str(out), str(tmp_path / "r"), "--analyze-only"])
+    assert not (tmp_path / "r").exists()
+    cli.main(["verify-paraphrases", str(out), str(tmp_path / "r")])
+    text = "".join(f.read_text() for f in (tmp_path / "r").glob("*.csv"))
+    assert text.startswith("template_id,question_template,paraphrase\n") and text.count("Please look") == 2
+    capsys.readouterr()
+
+
+def test_final_dataset_draws_until_answered_and_goes_on(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    for name, doc in (("pA", PA), ("pB", PB)):
+        (tmp_path / "b" / f"{name}.json").write_text(json.dumps(doc))
+    texts = {"patient-gender": ["Tell the gender of {patient_id}, please.", "Not of this split {patient_id}"]}
+    (tmp_path / "c.json").write_text(json.dumps(texts))
+    (tmp_path / "p.json").write_text(json.dumps({"patient-gender": ["Who am I, {patient_id}?"]}))
+    (tmp_path / "s.json").write_text(json.dumps({"patient-gender": {texts["patient-gender"][0]: "train", texts["patient-gender"][1]: "test"}}))
+    ask = ["final-dataset", str(tmp_path / "b"), str(tmp_path / "w"), str(tmp_path / "o"), "--templates", "patient-gender", "time-lab-test", "--rounds", "2", "--n", "2"]
+    ask += ["--paraphrases", str(tmp_path / "c.json"), str(tmp_path / "p.json"), "--split-file", str(tmp_path / "s.json")]
+    cli.main(ask)
+    first = lines(tmp_path / "o.jsonl")
+    gender = [r for r in first if r["question_template_id"] == "patient-gender"]
+    assert len(gender) == 4 and {(r["perspective"], r["question_template"], r["split"]) for r in gender} == {("clinical", texts["patient-gender"][0], "train")}
+    assert {r["question"] for r in gender} == {"Tell the gender of pA, please.", "Tell the gender of pB, please."}
+    # pB has no lab test: its questions are given up after two rounds
+    assert len({r["question_id"] for r in first}) == len(first) and not [r for r in first if r["patient_id"] == "pB" and r["question_template_id"] != "patient-gender"]
+    assert len(list((tmp_path / "w" / "left").glob("cycle=*"))) == 2
+    cli.main([*ask, "--rounds", "3"])
+    second = lines(tmp_path / "o.jsonl")
+    assert {r["question_id"] for r in first} <= {r["question_id"] for r in second} and (tmp_path / "w" / "left" / "cycle=2").exists()

@@ -182,3 +182,11 @@ def test_cross_has_all_templates(spark):
     want = [(p, t, i, k) for k, (p, t, i) in enumerate((p, t, i) for p in patients for t in templates for i in (1, 2))]
     got = QUERIES["cross_patients_templates"](spark, SF).select("patient", "template", "i", "index").collect()
     assert len(templates) == 25 and sorted(tuple(r) for r in got) == want
+
+
+def test_paraphrases_of_a_split(spark):
+    c = spark.createDataFrame([("t", 0, "b"), ("t", 1, "a"), ("u", 0, "x")], "key string, ord int, text string")
+    p = spark.createDataFrame([("t", 0, "a"), ("v", 0, "y")], "key string, ord int, text string")
+    s = spark.createDataFrame([("t", "a", "train"), ("t", "b", "train"), ("u", "x", "test"), ("t", "a", "train")], "template_id string, text string, split string")
+    got = {r["template_id"]: (r["clinical"], r["patient"]) for r in C.paraphrases_of_split(c, p, s, "train").collect()}
+    assert got == {"t": (["b", "a"], ["a"]), "u": ([], []), "v": ([], [])}

@@ -168,3 +168,38 @@ def test_placeholders(spark, res):
     with pytest.raises(ValueError):
         register_placeholder("weight_unit", {})
     del PLACEHOLDERS["weight_unit"], VALUE_PATHS["weight_unit"]
+
+
+def test_registered_comparisons_are_drawn_and_asked_for(spark, res):
+    from pathspark.plans.templates import OPERATIONS, register_operation
+
+    with pytest.raises(ValueError):
+        register_operation("greater", ">")
+    with pytest.raises(ValueError):
+        register_operation("like", "~")
+    register_operation("same", "=")
+    try:
+        q = spark.createDataFrame([("q1", "pA", "Pulse", 80.0, "same"), ("q2", "pA", "Pulse", 81.0, "same"), ("q3", "pA", "Pulse", 79.0, "greater")], "question_id string, patient_id string, vital_name string, vital_value double, comparison string")
+        path = TEMPLATES["has-vital-comparison"].path()
+        assert not analyze(path)
+        assert {r["question_id"]: r["flag"] for r in evaluate_path(res, path, q).collect()} == {"q1": True, "q2": False, "q3": True}
+    finally:
+        del OPERATIONS["same"]
+
+
+def test_everything_of_a_patient(spark):
+    from pathspark.sources.bundles import everything
+
+    def resource(kind, i, *refs, **more):
+        return json.dumps({"resourceType": kind, "id": i, "x": [{"reference": r} for r in refs], **more})
+
+    rows = [
+        ("a", 0, resource("Encounter", "e1", "Location/l1", "Patient/a", "Location/gone")), ("a", 1, resource("Encounter", "e1", "Location/l2")), ("b", 2, resource("Observation", "o1", "Specimen/s1", "Location/l2")),
+        ("c", 3, resource("Patient", "c")), (None, 4, resource("Location", "l1")), (None, 5, resource("Location", "l2", "Organization/g")), (None, 6, resource("Organization", "g", "Location/l2")),
+        (None, 7, resource("Specimen", "s1")), (None, 8, resource("Provenance", "v", "Observation/o1")), (None, 9, resource("Device", "d", "Observation/o1")), (None, 10, resource("Specimen", "s1", y=1)),
+    ]
+    entries = spark.createDataFrame(rows, "patient_id string, ord long, resource string")
+    got = sorted((r["patient_id"], json.loads(r["resource"])["id"]) for r in everything(entries).collect())
+    # the last e1 counts, which doesn't refer to l1; l2 brings its organization
+    assert got == [("a", "e1"), ("a", "g"), ("a", "l2"), ("b", "g"), ("b", "l2"), ("b", "o1"), ("b", "s1"), ("b", "v"), ("c", "c")]
+    assert everything(entries.limit(0)).count() == 0
