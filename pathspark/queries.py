@@ -528,27 +528,30 @@ def everything_of_patients(spark, d):
     return everything(entries).groupBy(F.col("patient_id").cast("long").alias("patient")).agg(*n)
 
 
-# -- templates by their own paths, with values for their slots, since the start of 1996 where they have a window
+# -- templates by their own paths, with values for their slots, in a window with a beginning
 _SINCE = "1996-01-01"
+#: Later beginnings, since when some patients have nothing.
+_LATER = {"has-any-medication": "2001-09-15", "has-any-procedure": "2001-09-15", "has-any-diagnosis": "2001-02-01", "has-diagnosis": "2000-01-01", "has-procedure": "2000-01-01"}
+_LATER |= dict.fromkeys(("has-any-lab-test", "has-lab-test", "count-lab-test-events", "has-output-events", "lab-name", "vital-measurement"), "2024-01-29 12:00:00")
 _LINES = "orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey"
 _DRUGS = ("Medication", "MedicationRequest")
 #: By template: the resource types, the values, and the condition in SQL; and what is picked, where something is.
 _OF_LINES: dict[str, tuple] = {
-    "has-any-medication": (("MedicationRequest",), {}, f"l_shipdate >= TIMESTAMP '{_SINCE}'"),
-    "has-drug-prescribed": (_DRUGS, {"drug_name": "Brand#11"}, f"p_brand = 'Brand#11' AND l_shipdate >= TIMESTAMP '{_SINCE}'"),
-    "has-multiple-drugs-or": (_DRUGS, {"drug_name1": "Brand#11", "drug_name2": "none", "drug_name3": "Brand#5"}, f"p_brand IN ('Brand#11', 'Brand#5') AND l_shipdate >= TIMESTAMP '{_SINCE}'"),
-    "count-specific-drug-prescriptions": (_DRUGS, {"drug_name": "Brand#5"}, f"p_brand = 'Brand#5' AND l_shipdate >= TIMESTAMP '{_SINCE}'"),
-    "has-any-diagnosis": (("Condition",), {}, f"o_orderdate >= TIMESTAMP '{_SINCE}'"),
-    "has-diagnosis": (("Condition",), {"diagnosis_name": "ECONOMY"}, f"p_type = 'ECONOMY' AND o_orderdate >= TIMESTAMP '{_SINCE}'"),
-    "has-any-procedure": (("Procedure",), {}, f"l_shipdate >= TIMESTAMP '{_SINCE}'"),
-    "has-procedure": (("Procedure",), {"procedure_name": "ECONOMY"}, f"p_type = 'ECONOMY' AND l_shipdate >= TIMESTAMP '{_SINCE}'"),
-    "count-procedure-events": (("Procedure",), {"procedure_name": "ECONOMY"}, f"p_type = 'ECONOMY' AND l_shipdate >= TIMESTAMP '{_SINCE}'"),
-    "has-input-intake": (("MedicationAdministration", "Encounter"), {"input_name": "small widget"}, f"p_name = 'small widget' AND o_orderstatus = 'F' AND l_shipdate >= TIMESTAMP '{_SINCE}'"),
-    "count-input-intake-events": (("MedicationAdministration", "Encounter"), {"input_name": "small widget"}, f"p_name = 'small widget' AND o_orderstatus = 'F' AND l_shipdate >= TIMESTAMP '{_SINCE}'"),
-    "procedure-name": (("Procedure",), {}, f"l_shipdate >= TIMESTAMP '{_SINCE}'", "p_type"),
-    "drug-name": (_DRUGS, {}, f"l_shipdate >= TIMESTAMP '{_SINCE}'", "p_brand"),
-    "drug-name-route": (_DRUGS, {"drug_route": "R"}, f"l_returnflag = 'R' AND l_shipdate >= TIMESTAMP '{_SINCE}'", "p_brand"),
-    "drug-dose": (_DRUGS, {"drug_name": "Brand#11"}, f"p_brand = 'Brand#11' AND l_shipdate >= TIMESTAMP '{_SINCE}'", "CAST(l_quantity AS VARCHAR)"),
+    "has-any-medication": (("MedicationRequest",), {}, "true"),
+    "has-drug-prescribed": (_DRUGS, {"drug_name": "Brand#11"}, "p_brand = 'Brand#11'"),
+    "has-multiple-drugs-or": (_DRUGS, {"drug_name1": "Brand#11", "drug_name2": "none", "drug_name3": "Brand#5"}, "p_brand IN ('Brand#11', 'Brand#5')"),
+    "count-specific-drug-prescriptions": (_DRUGS, {"drug_name": "Brand#5"}, "p_brand = 'Brand#5'"),
+    "has-any-diagnosis": (("Condition",), {}, "true"),
+    "has-diagnosis": (("Condition",), {"diagnosis_name": "ECONOMY"}, "p_type = 'ECONOMY'"),
+    "has-any-procedure": (("Procedure",), {}, "true"),
+    "has-procedure": (("Procedure",), {"procedure_name": "ECONOMY"}, "p_type = 'ECONOMY'"),
+    "count-procedure-events": (("Procedure",), {"procedure_name": "ECONOMY"}, "p_type = 'ECONOMY'"),
+    "has-input-intake": (("MedicationAdministration", "Encounter"), {"input_name": "small widget"}, "p_name = 'small widget' AND o_orderstatus = 'F'"),
+    "count-input-intake-events": (("MedicationAdministration", "Encounter"), {"input_name": "small widget"}, "p_name = 'small widget' AND o_orderstatus = 'F'"),
+    "procedure-name": (("Procedure",), {}, "true", "p_type"),
+    "drug-name": (_DRUGS, {}, "true", "p_brand"),
+    "drug-name-route": (_DRUGS, {"drug_route": "R"}, "l_returnflag = 'R'", "p_brand"),
+    "drug-dose": (_DRUGS, {"drug_name": "Brand#11"}, "p_brand = 'Brand#11'", "CAST(l_quantity AS VARCHAR)"),
 }
 _VIEWS = "event_type = 'view'"
 _OF_EVENTS: dict[str, tuple] = {
@@ -559,6 +562,8 @@ _OF_EVENTS: dict[str, tuple] = {
 
 def _template_query(template_id: str, kinds: tuple[str, ...], values: dict, of_lines: bool, condition: str, picked: str | None) -> None:
     name, result = "template_" + template_id.replace("-", "_"), TEMPLATES[template_id].result
+    since, time = _LATER.get(template_id, _SINCE), "ts" if not of_lines else "o_orderdate" if "Condition" in kinds else "l_shipdate"
+    condition = f"{condition} AND {time} >= TIMESTAMP '{since}'"
     if picked:
         order = f"struct_pack(a := l_shipdate, b := {_LINE})" if of_lines else "struct_pack(a := ts, b := event_id)"
         rows = f"o_custkey AS patient, max_by({picked}, {order}) AS v FROM {_LINES}" if of_lines else f"user_id AS patient, max_by({picked}, {order}) AS v FROM events"
@@ -570,7 +575,7 @@ def _template_query(template_id: str, kinds: tuple[str, ...], values: dict, of_l
 
     @query(sql, name)
     def template(spark, d):
-        asked = (_patients if of_lines else _users)(spark, d).withColumn("lo", _TS(_SINCE)).withColumn("pick", F.lit("last"))
+        asked = (_patients if of_lines else _users)(spark, d).withColumn("lo", _TS(since)).withColumn("pick", F.lit("last"))
         got = ask(clinical(spark, d, *kinds), template_id, asked, **values)
         if not picked:
             return got.select(F.col("question_id").alias("patient"), F.col("count" if result == "count" else "flag").alias("v"))
