@@ -11,14 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import curation as C
-from .plans.context import contexts, value_sets
-from .plans.generate import final_dataset, generate
+from .operators.coverage import unused
+from .plans.compiler import Resources
+from .plans.context import value_sets, write_contexts
+from .plans.generate import final_dataset, own_texts, texts_of, write_records
 from .plans.paraphrases import paraphrase
 from .plans.parser import analyze
 from .plans.templates import TEMPLATES
-from .schema import QA_RECORD
-from .sources import files
-from .sources.bundles import read_bundles, resources
+from .schema import QA_RECORD, RESOURCES
+from .sources import files, store
+from .sources.bundles import read_bundles, read_tables, resources, write_tables
 
 SPLITS = ("train", "val", "test", "unknown")
 # The templates that are held out unless others are named.
@@ -37,13 +39,25 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def _patients(spark: SparkSession, res: Resources, ids: str | None) -> DataFrame:
+    return files.read_ids(spark, ids).withColumnRenamed("id", "patient_id") if ids else res.table("Patient").select("patient_id").distinct()
+
+
+def _stored_tables(spark: SparkSession, bundles: str, path: str) -> Resources:
+    """The bundles' typed tables, parsed and written once."""
+    if not all(store.exists(spark, f"{path}/{kind}/_SUCCESS") for kind in RESOURCES):
+        write_tables(resources(read_bundles(spark, bundles)), path)
+    return read_tables(spark, path)
+
+
 def cmd_generate(a: argparse.Namespace) -> None:
     """Questions, and answers unless --no-evaluate, for the patients of bundle files."""
     spark = _spark()
-    res = resources(read_bundles(spark, a.bundles))
-    patients = files.read_ids(spark, a.patient_ids).withColumnRenamed("id", "patient_id") if a.patient_ids else res.table("Patient").select("patient_id").distinct()
-    out = generate(res, contexts(res, patients), a.templates or None, a.n, a.evaluate, a.seed, "compat" if a.compat else "calendar")
-    files.write_jsonl(out, files.jsonl_path(a.output))
+    with store.Scratch(spark) as keep:
+        res = _stored_tables(spark, a.bundles, f"{keep.path}/tables")
+        contexts = write_contexts(res, _patients(spark, res, a.patient_ids), f"{keep.path}/contexts")
+        out = write_records(res, contexts, f"{keep.path}/records", a.templates or None, n=a.n, answers=a.evaluate, seed=a.seed, mode="compat" if a.compat else "calendar")
+        files.write_jsonl(out, files.jsonl_path(a.output))
 
 
 def cmd_add_splits(a: argparse.Namespace) -> None:
@@ -109,15 +123,19 @@ def cmd_verify_paraphrases(a: argparse.Namespace) -> None:
 
 
 def cmd_final_dataset(a: argparse.Namespace) -> None:
-    """Questions, drawn until each has an answer, with the paraphrases of a split; goes on where an earlier run was cut off."""
+    """One answered question for each paraphrase of a split, or for each template's own text; goes on where an earlier run was cut off."""
     spark = _spark()
-    res = resources(read_bundles(spark, a.bundles))
-    patients = files.read_ids(spark, a.patient_ids).withColumnRenamed("id", "patient_id") if a.patient_ids else res.table("Patient").select("patient_id").distinct()
-    texts = None
+    if not a.resume:
+        store.remove(spark, a.work)
+    res = _stored_tables(spark, a.bundles, f"{a.work}/tables")
+    contexts = write_contexts(res, _patients(spark, res, a.patient_ids), f"{a.work}/contexts")
+    texts = own_texts(spark, a.templates)
     if a.paraphrases:
-        texts = C.paraphrases_of_split(*(files.read_map_of_lists(spark, p) for p in a.paraphrases), files.read_split_map(spark, a.split_file), a.split)
-    records = final_dataset(res, contexts(res, patients), a.work, a.templates or None, a.n, a.seed, "compat" if a.compat else "calendar", a.rounds, texts, a.resume)
-    files.write_jsonl(records.drop("round").withColumn("split", F.lit(a.split)), files.jsonl_path(a.output))
+        texts = texts_of(C.paraphrases_of_split(*(files.read_map_of_lists(spark, p) for p in a.paraphrases), files.read_split_map(spark, a.split_file), a.split))
+    records = final_dataset(res, contexts, texts, f"{a.work}/run", a.templates or None, a.seed, "compat" if a.compat else "calendar", a.quota, a.attempts, a.passes, a.rounds)
+    files.write_jsonl(records.drop("number", "pass").withColumn("split", F.lit(a.split)), files.jsonl_path(a.output))
+    if n := unused(f"{a.work}/run", spark).count():
+        print(f"{n} texts have no answer", file=sys.stderr)
 
 
 def cmd_valuesets(a: argparse.Namespace) -> None:
@@ -193,8 +211,10 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--paraphrases", nargs=2, metavar=("CLINICAL", "PATIENT"))
     c.add_argument("--split-file", default="splits.json")
     c.add_argument("--split", choices=SPLITS, default="train")
-    c.add_argument("--n", type=int, default=1, help="questions per template and patient")
-    c.add_argument("--rounds", type=int, default=20, help="draws until a question is given up")
+    c.add_argument("--quota", type=int, default=10, help="most questions of a patient in one cycle")
+    c.add_argument("--attempts", type=int, default=20, help="most attempts of a patient in one round")
+    c.add_argument("--passes", type=int, default=3, help="how often all patients are tried before a text is given up")
+    c.add_argument("--rounds", type=int, help="stop after so many rounds; another run goes on")
     c.add_argument("--seed", type=int, default=42)
     c.add_argument("--compat", action="store_true", help="windows that keep the time of day")
     c.add_argument("--resume", action=argparse.BooleanOptionalAction, default=True)

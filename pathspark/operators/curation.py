@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import cut
 
 # -- dedup
 
@@ -199,9 +200,8 @@ def resume(fresh: DataFrame, checkpoint: DataFrame, keys: Sequence[str]) -> Data
 
 def numbered(df: DataFrame, *order: str, name: str = "index") -> DataFrame:
     """Consecutive numbers from 0 in a total order: ranges are numbered by themselves and moved by what the ranges before hold."""
-    spark = df.sparkSession
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.checkpoint() if spark.sparkContext.getCheckpointDir() else ranged.persist()
+    ranged = cut(ranged)
     ranges = ranged.groupBy("_p").count()
     base = ranges.select(F.col("_p").alias("_q"), (F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).alias("_base"))
     within = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
@@ -216,7 +216,7 @@ def cover(tracked: DataFrame, evaluate, keys: Sequence[str], most: int = 20, aft
     for r in range(start, most):
         answered = evaluate(left, r).filter(~null_answer(F.col("answer")))
         accepted = answered.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("question_id"))).filter("_n = 1").drop("_n")
-        accepted = accepted.checkpoint() if tracked.sparkSession.sparkContext.getCheckpointDir() else accepted.persist()
+        accepted = cut(accepted)
         done = accepted if done is None else done.unionByName(accepted)
         left = remaining(tracked, done, keys)
         if after:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import instants_in
 from ..operators.curation import in_valueset, not_numeric_codes, or_fallback
+from ..sources import store
 from .compiler import Resources, evaluate_path
 from .templates import VALUE_PATHS, placeholder_path
 
@@ -89,3 +90,11 @@ def contexts(res: Resources, patients: DataFrame, now: Column | None = None, **o
     given = F.lit("2100-06-06").cast("timestamp") if now is None else now
     first, last = F.lit("2050-01-01").cast("timestamp"), F.lit("2150-01-01").cast("timestamp")
     return out.select("patient_id", F.coalesce("last", given).alias("now"), F.coalesce("first", first).alias("first"), F.coalesce("last", last).alias("last"), "values", "named")
+
+
+def write_contexts(res: Resources, patients: DataFrame, path: str, **options) -> DataFrame:
+    """contexts() as a stored table under `path`, made once; one that is there already, whole, is read."""
+    spark = patients.sparkSession
+    if not store.exists(spark, f"{path}/_SUCCESS"):
+        contexts(res, patients, **options).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

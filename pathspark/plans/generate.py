@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, fill_slots, tidy_punctuation
-from ..operators.curation import cover, null_answer, pick
-from ..sources import files
+from ..operators import coverage
+from ..operators.curation import null_answer, pick
+from ..sources import store
 from . import timewin as W
 from .compiler import Resources, evaluate_path
 from .context import NAMED
@@ -28,8 +29,12 @@ def draw(contexts: DataFrame, template: Template, n: int = 1, seed: int = 42) ->
     for which the patient has no value stays null; generate() drops such questions. A measured value is one of those under the name
     that the question has drawn."""
     q = contexts.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    return fill(q.withColumn("question_id", F.concat_ws("/", F.lit(template.template_id), "patient_id", "i")), template, seed)
+
+
+def fill(q: DataFrame, template: Template, seed: int = 42) -> DataFrame:
+    """draw() for rows of contexts that have a question_id already, and i, which draws go by."""
     key = lambda what: [F.lit(template.template_id), F.col("patient_id"), F.col("i"), F.lit(seed), F.lit(what)]
-    q = q.withColumn("question_id", F.concat_ws("/", F.lit(template.template_id), "patient_id", "i"))
     for slot in template.slots[1:]:
         if slot == "comparison":
             q = q.withColumn(slot, pick(F.array(*map(F.lit, OPERATIONS)), *key(slot)))
@@ -72,56 +77,84 @@ def render(q: DataFrame, template: Template, text: Column | None = None) -> Data
     return q.withColumn("question", tidy_punctuation(t))
 
 
-def generate(res: Resources, contexts: DataFrame, template_ids: Sequence[str] | None = None, n: int = 1, answers: bool = True, seed: int = 42, mode: str = "calendar", drop_null_answers: bool = True, paraphrases: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
+#: The columns of a record, but for its answer.
+RECORD = ("question_id", "patient_id", "question", "query", "now", "question_template_id", "question_template", "perspective", "s_placeholders", "t_placeholders")
+
+
+def answered(res: Resources, template: Template, q: DataFrame, mode: str = "calendar", answers: bool = True, drop_null_answers: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """Records of one template's filled questions with text and perspective, and the columns `keep` of q. Questions with an empty slot
+    are dropped."""
+    slots = list(template.slots[1:])
+    q = W.with_windows(q.dropna(subset=slots) if slots else q, mode)
+    q = render(q, template, F.col("text"))
+    given = F.map_filter(F.create_map(*(x for s in template.slots for x in (F.lit(s), F.col(s).cast("string")))), lambda k, v: v.isNotNull())
+    records = q.select(
+        "question_id", "patient_id", "question", F.lit(template.path()).alias("query"), F.date_format("now", "yyyy-MM-dd'T'HH:mm:ss").alias("now"), F.lit(template.template_id).alias("question_template_id"), F.col("text").alias("question_template"), "perspective",
+        given.alias("s_placeholders"), F.create_map(F.lit("time_filter_global1"), F.col("time_id")).alias("t_placeholders"), *keep,
+    )
+    if not answers:
+        return records.withColumn("answer", F.lit(None).cast("string"))
+    got = evaluate_path(res, template.path(), q.select("question_id", "patient_id", "lo", "hi", "pick", *slots)).select(F.col("question_id").alias("a"), "answer")
+    records = records.join(got, F.col("question_id") == F.col("a")).drop("a")
+    return records.filter(~null_answer(F.col("answer"))) if drop_null_answers else records
+
+
+def generate(res: Resources, contexts: DataFrame, template_ids: Sequence[str] | None = None, n: int = 1, answers: bool = True, seed: int = 42, mode: str = "calendar", drop_null_answers: bool = True, paraphrases: DataFrame | None = None) -> DataFrame:
     """QA records: one plan per template for all patients. Questions with a slot that the patient has no value for, and null answers
-    ([] and [0]), are dropped. paraphrases (template_id, clinical, patient) give texts and perspectives; only (question_id) names the
-    questions that are asked for."""
+    ([] and [0]), are dropped. paraphrases (template_id, clinical, patient) give texts and perspectives. Each template's plan reads contexts
+    a few times: they should be a stored table (write_contexts())."""
     out = None
     for template_id in template_ids or TEMPLATES:
         t = TEMPLATES[template_id]
-        drawn = draw(contexts, t, n, seed).dropna(subset=list(t.slots[1:])) if t.slots[1:] else draw(contexts, t, n, seed)
-        drawn = drawn if only is None else drawn.join(only.select("question_id"), "question_id", "left_semi")
-        q = render(draw_paraphrase(W.with_windows(drawn, mode), t, paraphrases, seed), t, F.col("text"))
-        given = F.map_filter(F.create_map(*(x for s in t.slots for x in (F.lit(s), F.col(s).cast("string")))), lambda k, v: v.isNotNull())
-        records = q.select(
-            "question_id", "patient_id", "question", F.lit(t.path()).alias("query"), F.date_format("now", "yyyy-MM-dd'T'HH:mm:ss").alias("now"), F.lit(template_id).alias("question_template_id"), F.col("text").alias("question_template"), "perspective",
-            given.alias("s_placeholders"), F.create_map(F.lit("time_filter_global1"), F.col("time_id")).alias("t_placeholders"),
-        )
-        if answers:
-            keep = [s for s in t.slots[1:]]
-            got = evaluate_path(res, t.path(), q.select("question_id", "patient_id", "lo", "hi", "pick", *keep)).select(F.col("question_id").alias("a"), "answer")
-            records = records.join(got, F.col("question_id") == F.col("a")).drop("a")
-            records = records.filter(~null_answer(F.col("answer"))) if drop_null_answers else records
-        else:
-            records = records.withColumn("answer", F.lit(None).cast("string"))
+        records = answered(res, t, draw_paraphrase(draw(contexts, t, n, seed), t, paraphrases, seed), mode, answers, drop_null_answers)
         out = records if out is None else out.unionByName(records)
     return out.withColumn("id", content_hash("patient_id", "question", "query", "answer", "question_template_id"))
 
 
-def final_dataset(res: Resources, contexts: DataFrame, path: str, template_ids: Sequence[str] | None = None, n: int = 1, seed: int = 42, mode: str = "calendar", most: int = 20, paraphrases: DataFrame | None = None, resume: bool = True) -> DataFrame:
-    """QA records under `path`/records, drawn again with another seed until each of the n questions of every patient and template has an
-    answer that isn't null, or `most` rounds are over. Each round writes what it accepted, in a folder of its own, and then what is
-    left; a run that was cut off goes on behind its last whole round, and one that was done returns its records."""
+def write_records(res: Resources, contexts: DataFrame, path: str, template_ids: Sequence[str] | None = None, **options) -> DataFrame:
+    """generate(), a template at a time: each one's records are written under `path` before the next one's plan is made, so that no plan holds
+    more than one template's scans. Templates that are there already, whole, are not made again."""
+    spark = contexts.sparkSession
+    for template_id in template_ids or TEMPLATES:
+        if not store.exists(spark, f"{path}/template={template_id}/_SUCCESS"):
+            generate(res, contexts, [template_id], **options).write.mode("overwrite").parquet(f"{path}/template={template_id}")
+    return spark.read.parquet(*(f"{path}/template={t}" for t in template_ids or TEMPLATES))
+
+
+def own_texts(spark: SparkSession, template_ids: Sequence[str] | None = None) -> DataFrame:
+    """(template_id, perspective, text): the templates' own texts, where there are no paraphrases."""
+    return spark.createDataFrame([(t, "clinical", TEMPLATES[t].text()) for t in template_ids or TEMPLATES], "template_id string, perspective string, text string")
+
+
+def texts_of(paraphrases: DataFrame) -> DataFrame:
+    """(template_id, perspective, text) of (template_id, clinical, patient)."""
+    one = lambda who: paraphrases.select("template_id", F.lit(who).alias("perspective"), F.explode(who).alias("text"))
+    return one("clinical").unionByName(one("patient"))
+
+
+def final_dataset(res: Resources, contexts: DataFrame, texts: DataFrame, path: str, template_ids: Sequence[str] | None = None, seed: int = 42, mode: str = "calendar", quota: int = 10, attempts: int = 20, passes: int = 3, rounds: int | None = None, resume: bool = True) -> DataFrame:
+    """One QA record, with an answer that isn't null, for every text (template_id, perspective, text) that some patient can answer: texts are
+    drawn without replacement until all are used. A text that no patient answers is tried with other slot values and windows, `passes` times
+    in all, and is then in unused(). Of each cycle a patient has `quota` records at most. See operators.coverage for the order.
+
+    All work is in `path`: a run that was cut off goes on behind its last whole round, one that was done returns its records, and without
+    `resume` it begins anew. contexts is read once per template and round, and should be a stored table."""
     spark = contexts.sparkSession
+    if not resume:
+        store.remove(spark, path)
     ids = list(template_ids or TEMPLATES)
-    templates = spark.createDataFrame([(t,) for t in ids], "question_template_id string")
-    tracked = cross(contexts.select("patient_id"), templates, n).select(F.concat_ws("/", "question_template_id", "patient_id", "i").alias("question_id"), "patient_id", "question_template_id")
-    last = files.load_checkpoint(spark, f"{path}/left") if resume else None
-    start = 0
-    if last is not None:
-        state = last.agg(F.max("cycle"), F.count("question_id")).first()
-        start, tracked = state[0] + 1, last.filter(F.col("question_id").isNotNull()).select(*tracked.columns)
-        if not state[1]:
-            start = most
-
-    def ask(rows, r):
-        return generate(res, contexts, ids, n, True, seed + r, mode, True, paraphrases, rows)
-
-    def after(r, accepted, left):
-        accepted.write.mode("overwrite").parquet(f"{path}/records/round={r}")
-        # a row without a question marks a round that left nothing
-        mark = spark.range(1).select(*(F.lit(None).cast("string").alias(c) for c in tracked.columns))
-        files.save_checkpoint(left.unionByName(mark), f"{path}/left", r)
-
-    cover(tracked, ask, ["question_id"], most, after, start)
-    return spark.read.parquet(f"{path}/records")
+    coverage.begin(texts.filter(F.col("template_id").isin(ids)).select("template_id", "perspective", "text"), contexts, path, seed)
+
+    def ask(asked: DataFrame, round_: int) -> DataFrame:
+        at = f"{path}/answers/round={round_}"
+        for row in asked.groupBy("template_id").count().orderBy("template_id").collect():  # a row per template
+            t = TEMPLATES[row["template_id"]]
+            own = asked.filter(F.col("template_id") == t.template_id).select("number", "j", "pass", "perspective", "text", F.col("patient_id").alias("_p"))
+            q = contexts.join(own, F.col("patient_id") == F.col("_p")).drop("_p").withColumn("i", F.xxhash64("perspective", "text", "pass"))
+            q = q.withColumn("question_id", F.concat_ws("/", F.lit(t.template_id), F.col("number").cast("string"), "patient_id", F.col("pass").cast("string")))
+            answered(res, t, fill(q, t, seed), mode, keep=("number", "j", "pass")).write.mode("overwrite").parquet(f"{at}/template={t.template_id}")
+        return spark.read.parquet(f"{at}/template=*")
+
+    coverage.sweep(path, spark, ask, attempts, passes, rounds)
+    got = coverage.records(path, spark, quota)
+    return got.withColumn("id", content_hash("patient_id", "question", "query", "answer", "question_template_id"))

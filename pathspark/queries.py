@@ -618,3 +618,36 @@ def template_patient_birth_date(spark, d):
 
 def entry(spark: SparkSession) -> DataFrame:
     return count_visits_by_patient(spark, "/root/testdata/sf0.001")
+
+
+_COVER = """
+WITH t AS (SELECT DISTINCT role AS template_id, CASE WHEN turn % 2 = 0 THEN 'clinical' ELSE 'patient' END AS perspective, text FROM conversations WHERE role IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL),
+n AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('/', '42', template_id, perspective, text)), template_id, perspective, text) - 1 AS number, count(*) OVER () AS m FROM t),
+p AS (SELECT c_custkey AS patient, row_number() OVER (ORDER BY md5('42/' || c_custkey)) - 1 AS place, count(*) OVER () AS p FROM customer),
+o AS (SELECT o_custkey, max(o_orderdate) AS last_at FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1),
+can AS (SELECT place, patient, p, last_at FROM p JOIN o ON o_custkey = patient),
+hit AS (SELECT number, min_by(patient, (place - number * p // m + p) % p) AS patient FROM n JOIN can ON last_at >= TIMESTAMP '1995-01-01' + to_days(CAST(length(text) * 37 % 1500 AS INTEGER)) GROUP BY number)
+SELECT n.template_id, n.perspective, n.number, h.patient, (row_number() OVER (PARTITION BY h.patient ORDER BY n.number) - 1) // 10 + 1 AS cycle FROM hit h JOIN n ON n.number = h.number"""
+
+
+@query(_COVER)
+def paraphrase_coverage(spark, d):
+    """Every turn of conversations is a text that asks whether a patient was admitted since a day that depends on its length; the first
+    patient from its beginning on that was gets it, 10 in each cycle."""
+    from .operators import coverage
+    from .sources import store
+
+    said = _t(spark, d, "conversations").select(F.col("role").alias("template_id"), F.when(F.col("turn") % 2 == 0, "clinical").when(F.col("turn").isNotNull(), "patient").alias("perspective"), "text")
+    res = clinical(spark, d, "Encounter")
+
+    def answer(asked, n):
+        since = F.date_add(F.lit("1995-01-01").cast("date"), (F.length("text") * 37 % 1500).cast("int")).cast("timestamp")
+        rows = asked.withColumn("question_id", F.concat_ws("/", F.col("number").cast("string"), F.col("j").cast("string"))).withColumn("lo", since)
+        got = ask(res, "count-hospital-visits", rows.select("question_id", "patient_id", "lo")).filter(~C.null_answer(F.col("answer"))).select("question_id", "count")
+        return rows.join(got, "question_id").select("number", "j", "template_id", "perspective", "patient_id")
+
+    with store.Scratch(spark) as keep:
+        coverage.begin(said, _t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("patient_id")), keep.path)
+        coverage.sweep(keep.path, spark, answer)
+        got = store.cut(coverage.records(keep.path, spark))
+    return got.select("template_id", "perspective", "number", F.col("patient_id").cast("long").alias("patient"), "cycle")

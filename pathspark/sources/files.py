@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from . import store
+
 
 def jsonl_path(path: str) -> str:
     return path if path.endswith(".jsonl") else (path[:-5] if path.endswith(".json") else path) + ".jsonl"
@@ -79,16 +81,11 @@ def balanced_parts(df: DataFrame, n: int, order: str) -> DataFrame:
 
 
 def save_checkpoint(tracking: DataFrame, path: str, cycle: int) -> None:
-    """The remaining work as a table of its own; a reader takes the highest cycle that is complete."""
+    """The remaining work as a table of its own; a reader takes the highest cycle that is whole."""
     tracking.withColumn("saved_at", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/cycle={cycle}")
 
 
 def load_checkpoint(spark: SparkSession, path: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-
-    try:
-        rows = spark.read.parquet(path)
-    except AnalysisException:
-        return None
-    last = rows.agg(F.max("cycle")).first()[0]  # a partition column: Spark reads file names for it, and then that folder alone
-    return rows.filter(F.col("cycle") == F.lit(last))
+    """The tracking table of the last cycle whose write has ended, with cycle; None without any."""
+    done = store.whole(spark, path, "cycle")
+    return spark.read.parquet(f"{path}/cycle={done[-1]}").withColumn("cycle", F.lit(done[-1])) if done else None

@@ -72,24 +72,26 @@ def test_paraphrases_of_a_source(spark, tmp_path, capsys):
     capsys.readouterr()
 
 
-def test_final_dataset_draws_until_answered_and_goes_on(spark, tmp_path):
+def test_final_dataset_uses_all_paraphrases_and_goes_on(spark, tmp_path, capsys):
     (tmp_path / "b").mkdir()
     for name, doc in (("pA", PA), ("pB", PB)):
         (tmp_path / "b" / f"{name}.json").write_text(json.dumps(doc))
-    texts = {"patient-gender": ["Tell the gender of {patient_id}, please.", "Not of this split {patient_id}"]}
+    texts = {"patient-gender": [f"Tell the gender of {{patient_id}}, please. {i}" for i in range(5)] + ["Not of this split {patient_id}"], "time-lab-test": ["When was a test of {patient_id} [time_filter_exact1]?"]}
     (tmp_path / "c.json").write_text(json.dumps(texts))
     (tmp_path / "p.json").write_text(json.dumps({"patient-gender": ["Who am I, {patient_id}?"]}))
-    (tmp_path / "s.json").write_text(json.dumps({"patient-gender": {texts["patient-gender"][0]: "train", texts["patient-gender"][1]: "test"}}))
-    ask = ["final-dataset", str(tmp_path / "b"), str(tmp_path / "w"), str(tmp_path / "o"), "--templates", "patient-gender", "time-lab-test", "--rounds", "2", "--n", "2"]
+    split = {t: {x: "test" if x.startswith("Not") else "train" for x in xs} for t, xs in texts.items()}
+    split["patient-gender"]["Who am I, {patient_id}?"] = "train"
+    (tmp_path / "s.json").write_text(json.dumps(split))
+    ask = ["final-dataset", str(tmp_path / "b"), str(tmp_path / "w"), str(tmp_path / "o"), "--templates", "patient-gender", "time-lab-test"]
     ask += ["--paraphrases", str(tmp_path / "c.json"), str(tmp_path / "p.json"), "--split-file", str(tmp_path / "s.json")]
-    cli.main(ask)
+    cli.main([*ask, "--rounds", "1"])
     first = lines(tmp_path / "o.jsonl")
-    gender = [r for r in first if r["question_template_id"] == "patient-gender"]
-    assert len(gender) == 4 and {(r["perspective"], r["question_template"], r["split"]) for r in gender} == {("clinical", texts["patient-gender"][0], "train")}
-    assert {r["question"] for r in gender} == {"Tell the gender of pA, please.", "Tell the gender of pB, please."}
-    # pB has no lab test: its questions are given up after two rounds
-    assert len({r["question_id"] for r in first}) == len(first) and not [r for r in first if r["patient_id"] == "pB" and r["question_template_id"] != "patient-gender"]
-    assert len(list((tmp_path / "w" / "left").glob("cycle=*"))) == 2
-    cli.main([*ask, "--rounds", "3"])
-    second = lines(tmp_path / "o.jsonl")
-    assert {r["question_id"] for r in first} <= {r["question_id"] for r in second} and (tmp_path / "w" / "left" / "cycle=2").exists()
+    cli.main(ask)
+    made = lines(tmp_path / "o.jsonl")
+    assert {r["question"] for r in first} <= {r["question"] for r in made}
+    gender = {(r["perspective"], r["question_template"]) for r in made if r["question_template_id"] == "patient-gender"}
+    assert gender == {("clinical", t) for t in texts["patient-gender"][:5]} | {("patient", "Who am I, {patient_id}?")}
+    assert len(made) == 7 and {r["split"] for r in made} == {"train"} and {r["cycle"] for r in made} == {1}
+    # only pA has a lab test
+    assert [r["patient_id"] for r in made if r["question_template_id"] == "time-lab-test"] == ["pA"]
+    capsys.readouterr()
