@@ -105,8 +105,14 @@ def null_answer(answer: Column) -> Column:
 
 def not_numeric_codes(values: DataFrame, column: str = "value") -> DataFrame:
     """Without blanks and strings of digits and separators; the rest trimmed."""
-    v = F.trim(column)
-    return values.filter((v != "") & ~v.rlike(r"^[\d\s\-_./]+$")).withColumn(column, v)
+    kept, trimmed = says_something(F.col(column))
+    return values.filter(kept).withColumn(column, trimmed)
+
+
+def says_something(value: Column) -> tuple[Column, Column]:
+    """Whether a value is more than digits and separators, and the value trimmed."""
+    v = F.trim(value)
+    return (v != "") & ~v.rlike(r"^[\d\s\-_./]+$"), v
 
 
 def in_valueset(values: DataFrame, valueset: DataFrame, column: str = "value") -> DataFrame:

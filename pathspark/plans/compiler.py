@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, StringType, StructType, TimestampType
 
+from ..operators.intervals import interval_join
 from ..schema import CHOICES, TARGETS, element
 from .parser import Binary, Call, Items, Literal, Name, Param, PathError, parse
 
@@ -251,6 +252,17 @@ def _children(node) -> list:
     return []
 
 
+def _conjuncts(node) -> list:
+    return [*_conjuncts(node.left), *_conjuncts(node.right)] if isinstance(node, Binary) and node.op == "and" else [node]
+
+
+def names_in(node, within: bool = False) -> set[str]:
+    """All element names in a tree; within: in a step, without the steps before it."""
+    own = {node.name} if isinstance(node, Name) else {"_t"} if isinstance(node, Call) and node.name == "during" else set()
+    children = _children(node)[1:] if within and isinstance(node, (Name, Call)) and node.base is not None else _children(node)
+    return own.union(*(names_in(c) for c in children))
+
+
 #: Columns that every resource table has besides the resource's own.
 KEYS = ("patient_id", "ord", "_t", "_sort_t")
 
@@ -282,6 +294,7 @@ class Plan:
     text: str
     resources: Resources
     order: str = "event"  # or "spec": the sort keys of the path language's own rules
+    windows: str = "filter"  # or "buckets": resources meet the questions whose window they are in by an interval join, not by patient alone
 
     def __post_init__(self):
         self.tree = parse(self.text)
@@ -306,6 +319,7 @@ class Plan:
                 asked = asked.withColumn(f"p_{p}", F.lit(None).cast("timestamp"))
         if "pick" not in params:
             asked = asked.withColumn("p_pick", F.lit("first"))
+        self.picks = "pick" in params
         kind, rows, when_empty = self._rows(self._steps(self.tree), asked, params)
         everyone = asked.select("question_id", "patient_id")
         out = everyone.join(rows, "question_id", "left")
@@ -332,9 +346,14 @@ class Plan:
         if first is not None:
             table, maps = self._attach(table, first.args[0], kind)
         item = self.resources.struct(kind)
+        item = StructType(self._fields(item, steps, ("id", "period", "_t", "_sort_t"), within=True) or item.fields)
         extra = [c for c in table.columns if c.startswith("_map_")]
         table = table.select(F.col("patient_id").alias("r_patient"), F.col("ord").cast("long").alias("ord"), F.struct(*(F.col(f.name) for f in item)).alias("it"), *extra)
-        df = asked.join(table, F.col("patient_id") == F.col("r_patient")).drop("r_patient").withColumn("ords", F.array("ord"))
+        if self.windows == "buckets" and first is not None and Call(None, "during", ()) in _conjuncts(first.args[0]):
+            df = interval_join(asked, table.withColumn("r_time", F.col("it._t")), ("patient_id", "r_patient"), "p_lo", "p_hi", "r_time").drop("r_time")
+        else:
+            df = asked.join(table, F.col("patient_id") == F.col("r_patient"))
+        df = df.drop("r_patient").withColumn("ords", F.array("ord"))
         it = Coll(F.col("it"), item, True)
         keep = [c for c in df.columns if c not in ("it", "ord", "ords", *extra)]
         key: Column | None = None
@@ -352,20 +371,24 @@ class Plan:
                     key = c.one()
                 case Call(_, "first" | "last" | "pick" as how, _):
                     key = self._default_key(it, kind) if key is None and how == "pick" else key
-                    order = F.struct(key.isNotNull(), key, F.col("ords")) if key is not None else F.struct("ords")
-                    held = F.struct("it", "ords")
-                    low, high = F.min_by(held, order), F.max_by(held, order)
+                    how = "first" if how == "pick" and not self.picks else how
+                    order = (F.struct(key.isNotNull().alias("some"), key.alias("key"), "ords") if key is not None else F.struct("ords")).alias("order")
+                    df, it = self._pruned(df, it, steps[n + 1 :], keep, order)
+                    df = df.select(*keep, F.struct("it", "ords").alias("held"), "order")
+                    low, high = F.min_by("held", "order"), F.max_by("held", "order")
                     best = {"first": low, "last": high, "pick": F.when(F.first("p_pick") == "last", high).otherwise(low)}[how]
-                    df = df.groupBy(*(c for c in keep)).agg(best.alias("best")).select(*keep, F.col("best.it").alias("it"), F.col("best.ords").alias("ords"))
+                    df = df.groupBy(*keep).agg(best.alias("best")).select(*keep, F.col("best.it").alias("it"), F.col("best.ords").alias("ords"))
                     key = None
                 case Call(_, "extreme", _):
-                    w = Window.partitionBy("question_id")
-                    t = F.col("it._t")
-                    df = df.withColumn("_x", F.when(F.col("p_pick") == "last", F.max(t).over(w)).otherwise(F.min(t).over(w))).filter(t == F.col("_x")).drop("_x")
+                    # resources of one time are put together first, by question and time; then one of these groups is chosen
+                    df, it = self._pruned(df, it, steps[n + 1 :], keep, F.col("it._t").alias("_x"))
+                    ties = df.filter(F.col("_x").isNotNull()).groupBy(*keep, "_x").agg(F.collect_list(F.struct("it", "ords")).alias("_all"))
+                    order = F.when(F.col("p_pick") == "last", -F.unix_micros("_x")).otherwise(F.unix_micros("_x"))
+                    df = ties.groupBy(*keep).agg(F.min_by("_all", order).alias("_all")).select(*keep, F.inline("_all"))
                 case Call(_, "distinct", _):
                     dedup = True
                 case Call(_, "count", _):
-                    value = F.countDistinct(F.to_json("it") if isinstance(it.type, StructType) else F.col("it")) if dedup else F.count(F.lit(1))
+                    value = F.countDistinct("it") if dedup else F.count(F.lit(1))
                     return "count", df.groupBy("question_id").agg(value.alias("count")), False
                 case Call(_, "exists" | "empty" as how, args):
                     if args:
@@ -389,6 +412,26 @@ class Plan:
         plain = isinstance(it.type, (StructType, DoubleType, BooleanType))
         return "plain" if plain else "text", df.groupBy("question_id").agg(values.alias("values")), False
 
+    def _pruned(self, df: DataFrame, it: Coll, steps: list, keep: list[str], more: Column) -> tuple[DataFrame, Coll]:
+        """The question's columns, it, ords and `more`; of it the fields alone that the steps to come name, if they go on to something inside
+        it: an aggregate carries no more."""
+        fields = self._fields(it.type, steps, ("_t", "_sort_t"), within=True)
+        if fields is None:
+            return df.select(*keep, "it", "ords", more), it
+        pruned = F.struct(*(F.col("it")[f.name].alias(f.name) for f in fields))  # items are never null
+        return df.select(*keep, pruned.alias("it"), "ords", more), Coll(F.col("it"), StructType(fields), True)
+
+    def _fields(self, kind: DataType | None, steps: list, always: tuple[str, ...], within: bool) -> list | None:
+        """The fields of a resource that steps name; None for all, if the steps give back the resource itself."""
+        if not isinstance(kind, StructType) or not any(isinstance(s, Name) or isinstance(s, Call) and s.name in ("select", "resolve", "count", "exists", "empty") for s in steps):
+            return None
+        named = {x for s in steps for x in names_in(s, within)}
+        if "this" in named or any(isinstance(s, Call) and s.name == "distinct" for s in steps):
+            return None
+        named |= {v for x in named if x in CHOICES for v in CHOICES[x]}
+        fields = [f for f in kind if f.name in named or f.name in always or f.name.startswith("_") and f.name[1:] in named]
+        return fields if 0 < len(fields) < len(kind) else None
+
     def _last_names(self, steps: list) -> list[str]:
         return [s.name for s in steps if isinstance(s, Name)]
 
@@ -517,5 +560,35 @@ class Plan:
         return [p for c in _children(node) for p in self._context_paths(c)]
 
 
-def evaluate_path(resources: Resources, text: str, questions: DataFrame) -> DataFrame:
-    return Plan(text, resources).run(questions)
+def evaluate_path(resources: Resources, text: str, questions: DataFrame, windows: str = "filter") -> DataFrame:
+    return Plan(text, resources, windows=windows).run(questions)
+
+
+def values_by_type(resources: Resources, paths: dict[str, list[str]]) -> tuple[DataFrame | None, dict[str, list[str]]]:
+    """(patient_id, slot, value) of all paths that need nothing but the resource itself, one scan for each resource type, and the other
+    paths by slot."""
+    by_type: dict[str, list[Column]] = {}
+    others: dict[str, list[str]] = {}
+    for slot, texts in paths.items():
+        for text in texts:
+            plan = Plan(text, resources)
+            steps = plan._steps(plan.tree)
+            kind, steps = plan._resource_type(steps[[getattr(s, "name", None) for s in steps].index("resource") + 1 :])
+            if any(isinstance(s, Call) and s.name not in ("where", "select") or find_resolves(s) or plan._context_paths(s) for s in steps):
+                others.setdefault(slot, []).append(text)
+                continue
+            item = resources.struct(kind)
+            c = Coll(F.struct(*(F.col(f.name) for f in item)), item, True)
+            for s in steps:
+                match s:
+                    case Name(_, name):
+                        c = evaluate(Name(None, name), Scope(c))
+                    case Call(_, name, args):
+                        c = _call(c, None, name, args, Scope(c))
+            found = F.transform(c.array(), lambda v, kind=c.type: F.to_json(v) if isinstance(kind, StructType) else v.cast("string"))
+            by_type.setdefault(kind, []).append(F.struct(F.lit(slot).alias("slot"), found.alias("found")))
+    out = None
+    for kind, slots in by_type.items():
+        rows = resources.table(kind).select("patient_id", F.explode(F.array(*slots)).alias("s")).select("patient_id", "s.slot", F.explode("s.found").alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out, others

@@ -8,33 +8,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import instants_in
-from ..operators.curation import in_valueset, not_numeric_codes, or_fallback
+from ..operators.curation import or_fallback, says_something
 from ..sources import store
-from .compiler import Resources, evaluate_path
+from .compiler import Resources, evaluate_path, values_by_type
 from .templates import VALUE_PATHS, placeholder_path
 
 
 def value_sets(res: Resources, patients: DataFrame, slots: Sequence[str] | None = None, keep_numbers: bool = False, valuesets: dict[str, DataFrame] | None = None, fallback: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """(patient_id, slot, values): each patient's own distinct values of each slot, sorted, without blanks and numeric codes, those
-    of the slot's value set where one is given, and the fallback's where none is left. One plan for all patients."""
-    out = None
+    of the slot's value set where one is given, and the fallback's where none is left. One scan for each resource type, a plan of its own for each
+    path that follows references, and one aggregate over all."""
+    wanted = [s for s in (slots or VALUE_PATHS) if VALUE_PATHS[s]]
+    found, others = values_by_type(res, {s: list(VALUE_PATHS[s]) for s in wanted})
     asked = patients.select(F.col("patient_id").alias("question_id"), "patient_id")
-    for slot in slots or [s for s, p in VALUE_PATHS.items() if p]:
-        found = None
-        for path in VALUE_PATHS[slot]:
-            rows = evaluate_path(res, path, asked).select("patient_id", F.explode("values").alias("value"))
+    for slot, paths in others.items():
+        for path in paths:
+            rows = evaluate_path(res, path, asked).select("patient_id", F.lit(slot).alias("slot"), F.explode("values").alias("value"))
             found = rows if found is None else found.unionByName(rows)
-        if found is None:
-            continue
-        if not (keep_numbers or slot.endswith("_value")):
-            found = not_numeric_codes(found)
-        if valuesets and slot in valuesets:
-            found = in_valueset(found, valuesets[slot])
-        found = found.groupBy(F.col("patient_id").alias("p")).agg(F.array_sort(F.collect_set("value")).alias("values"))
-        rows = patients.select("patient_id").join(found, F.col("patient_id") == F.col("p"), "left").select("patient_id", F.lit(slot).alias("slot"), F.coalesce("values", F.array().cast("array<string>")).alias("values"))
-        if fallback and slot in fallback:
-            rows = rows.withColumn("values", or_fallback(F.col("values"), fallback[slot]))
-        out = rows if out is None else out.unionByName(rows)
+    if not keep_numbers:
+        kept, trimmed = says_something(F.col("value"))
+        measured = F.col("slot").endswith("_value")
+        found = found.filter(measured | kept).withColumn("value", F.when(measured, F.col("value")).otherwise(trimmed))
+    if valuesets:
+        allowed = None
+        for slot, values in valuesets.items():
+            rows = values.select(F.lit(slot).alias("_slot"), F.lower(F.trim("value")).alias("_v")).dropna().distinct()
+            allowed = rows if allowed is None else allowed.unionByName(rows)
+        limited = [r[0] for r in allowed.select("_slot").distinct().collect()]  # an empty value set lets all through
+        found = found.join(allowed, (F.col("slot") == F.col("_slot")) & (F.lower(F.trim("value")) == F.col("_v")), "left")
+        found = found.filter(~F.col("slot").isin(limited) | F.col("_v").isNotNull()).drop("_slot", "_v")
+    own = found.groupBy(F.col("patient_id").alias("_p"), F.col("slot").alias("_s")).agg(F.array_sort(F.collect_set("value")).alias("values"))
+    every = patients.select("patient_id", F.explode(F.array(*map(F.lit, wanted))).alias("slot"))
+    out = every.join(own, (F.col("patient_id") == F.col("_p")) & (F.col("slot") == F.col("_s")), "left").select("patient_id", "slot", F.coalesce("values", F.array().cast("array<string>")).alias("values"))
+    for slot, values in (fallback or {}).items():
+        out = out.withColumn("values", F.when(F.col("slot") == slot, or_fallback(F.col("values"), values)).otherwise(F.col("values")))
     return out
 
 

@@ -287,11 +287,38 @@ for _id in W.GLOBAL:
         _window_query(_id)
 
 
-@query("SELECT q AS question, count(event_id) AS n FROM (VALUES (1, 'click', TIMESTAMP '1990-01-01', TIMESTAMP '2100-01-01'), (2, 'view', TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-20'), (3, 'error', TIMESTAMP '2090-01-01', TIMESTAMP '2100-01-01')) v(q, k, lo, hi) LEFT JOIN events ON event_type = k AND ts >= lo AND ts <= hi AND user_id = 7 GROUP BY 1")
+_ASKED = [(1, "click", "1990-01-01", "2100-01-01"), (2, "view", "2024-01-10", "2024-01-20"), (3, "error", "2090-01-01", "2100-01-01")]
+
+
+@query(f"SELECT u AS patient, q AS question, count(event_id) AS n FROM (VALUES {', '.join(f"({q}, '{k}', TIMESTAMP '{lo}', TIMESTAMP '{hi}')" for q, k, lo, hi in _ASKED)}) v(q, k, lo, hi) CROSS JOIN (SELECT DISTINCT user_id AS u FROM events) LEFT JOIN events ON event_type = k AND ts >= lo AND ts <= hi AND user_id = u GROUP BY ALL")
 def batch_questions_one_plan(spark, d):
-    rows = [(1, "7", "click", "1990-01-01", "2100-01-01"), (2, "7", "view", "2024-01-10", "2024-01-20"), (3, "7", "error", "2090-01-01", "2100-01-01")]
-    q = spark.createDataFrame(rows, "question_id int, patient_id string, output_name string, lo string, hi string").withColumn("lo", F.col("lo").cast("timestamp")).withColumn("hi", F.col("hi").cast("timestamp"))
-    return ask(clinical(spark, d, "Observation"), "count-output-events", q).select(F.col("question_id").alias("question"), F.col("count").alias("n"))
+    q = F.explode(F.array(*(F.struct(F.lit(i).alias("question"), F.lit(k).alias("output_name"), _TS(lo).alias("lo"), _TS(hi).alias("hi")) for i, k, lo, hi in _ASKED)))
+    asked = _users(spark, d).select("patient_id", q.alias("v")).select("patient_id", "v.*").withColumn("question_id", F.concat_ws("/", "patient_id", F.col("question").cast("string")))
+    got = ask(clinical(spark, d, "Observation"), "count-output-events", asked)
+    return got.select(F.col("patient_id").cast("long").alias("patient"), F.split_part("question_id", F.lit("/"), F.lit(2)).cast("int").alias("question"), F.col("count").alias("n"))
+
+
+def _window_test(time_id: str) -> str:
+    e = W.TIME_EXPRESSIONS[time_id]
+    if e.kind == "blank":
+        return "true"
+    d = f"TIMESTAMP '{_DATE}'" if e.kind == "absolute" else f"(TIMESTAMP '{_NOW}' - INTERVAL {dict(last=1, this=0, n=3)[e.back or 'n']} {e.unit})"
+    first, last = f"date_trunc('{e.unit}', {d})", f"date_trunc('{e.unit}', {d}) + INTERVAL 1 {e.unit}"
+    return {"at": f"o_orderdate = {d}", "in": f"o_orderdate >= {first} AND o_orderdate < {last}", "since": f"o_orderdate >= {first}", "until": f"o_orderdate < {last}"}[e.interval]
+
+
+def windowed_patients(spark: SparkSession, d: str, time_ids=W.GLOBAL) -> DataFrame:
+    """A question for every patient and window."""
+    q = _patients(spark, d).select("patient_id", F.explode(F.array(*map(F.lit, time_ids))).alias("time_id"))
+    q = q.withColumn("question_id", F.concat_ws("/", "patient_id", "time_id")).withColumn("date", _TS(_DATE)).withColumn("n", F.lit(3)).withColumn("now", _TS(_NOW))
+    return W.with_windows(q).select("question_id", "patient_id", "lo", "hi")
+
+
+@query("SELECT c_custkey AS patient, time_id, count(o_orderkey) AS n FROM customer CROSS JOIN (VALUES " + ", ".join(f"('{t}')" for t in W.GLOBAL) + ") w(time_id) LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus <> 'P' AND CASE time_id " + " ".join(f"WHEN '{t}' THEN {_window_test(t)}" for t in W.GLOBAL) + " END GROUP BY 1, 2")
+def batched_windows(spark, d):
+    """All windows of all patients in one plan, by an interval join."""
+    got = evaluate_path(clinical(spark, d, "Encounter"), TEMPLATES["count-hospital-visits"].path(), windowed_patients(spark, d), windows="buckets")
+    return got.select(F.col("patient_id").cast("long").alias("patient"), F.split_part("question_id", F.lit("/"), F.lit(2)).alias("time_id"), F.col("count").alias("n"))
 
 
 @query("SELECT o_custkey AS patient, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS names FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1")
