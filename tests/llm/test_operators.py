@@ -189,6 +189,53 @@ def test_mixing(spark):
     assert mixed.agg(F.sum(mixing.count_words(F.col("text")))).first()[0] == sum(taken.values())
 
 
+def near_targets(got, sources):
+    """No source is further from its target than half of its smallest copy that isn't in the mix, but for what the budget doesn't pay."""
+    taken, target, least = defaultdict(int), {}, {}
+    for x, s in zip(got, sources):
+        assert x["taken"] in (0, x["size"], 2 * x["size"])
+        taken[s] += x["taken"]
+        target[s] = x["target"]
+        if x["size"] and x["taken"] < 2 * x["size"]:
+            least[s] = min(least.get(s, x["size"]), x["size"])
+    unspent = sum(target.values()) - sum(taken.values())
+    assert unspent >= -1e-6
+    for s in target:
+        lacks = target[s] - taken[s]
+        if s not in least:
+            assert lacks < 1e-6
+        elif lacks < 0:
+            assert -lacks <= least[s] / 2 + 1e-6
+        else:
+            assert lacks <= least[s] / 2 + 1e-6 or unspent < least[s]
+    return taken, target
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_no_source_is_far_from_its_target(spark, seed):
+    r = random.Random(seed)
+    docs = [(i, "w " * r.choice([0, 1, 3, 10, 10, 10, 50, 700, 2500]), r.choice(["a", "a", "a", "b", "c", "d", "e", None])) for i in range(r.choice([20, 90, 250]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = {x["doc_id"]: x for x in mixing.mix_report(df, bucket_rows=9).collect()}
+    near_targets([got[d] for d, _, _ in docs], [s for _, _, s in docs])
+    mixed = mixing.mix_sources(df.repartition(3), bucket_rows=30)
+    assert {x["doc_id"]: x["n"] for x in mixed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect() if got[x["doc_id"]]["size"]} == {d: x["taken"] // x["size"] for d, x in got.items() if x["taken"]}
+
+
+def test_op2_keeps_to_its_targets(spark):
+    d = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    got = QUERIES["op2_mixing"](spark, d).collect()
+    assert len(got) == len(docs) and all(x["size"] == len(brute.WORD.findall(docs[x["doc_id"]]["text"] or "")) for x in got)
+    taken, target = near_targets(got, [docs[x["doc_id"]]["source"] for x in got])
+    sizes = defaultdict(int)
+    for x in got:
+        sizes[docs[x["doc_id"]]["source"]] += x["size"]
+    assert all(x["source_size"] == sizes[docs[x["doc_id"]]["source"]] for x in got)
+    assert sum(target.values()) == pytest.approx(1.5 * sum(sizes.values())) and max(abs(taken[s] - t) / t for s, t in target.items()) < 0.1
+    assert sorted(map(tuple, got)) == sorted(map(tuple, QUERIES["op2_mixing"](spark, d).collect()))
+
+
 def test_targets_refill_until_none_is_above(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 100), ("c", 1000), (None, 5)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(sizes, (5.0, 2.0, 1.0), 1.5, 2).collect()}
