@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,50 +82,98 @@ def battery(token: Column) -> dict[str, Column]:
     }
 
 
-def scan(docs: DataFrame, keep: list[str], text: str = "text", fdr: float = 0.001, bins: int = 400) -> DataFrame:
-    """docs' columns `keep` and found: array<struct<start, end, kind>> of all secrets of the whole text, sorted by start and then
-    by kind in the order assign, access, hex, random. Null texts count as empty. Each row of docs is one row of the result. A column
-    named found is replaced; other names are free.
+#: What a value's characters are in a base match: after the sign of an assignment.
+_VALUE = r"[A-Za-z0-9+/_.=-]+$"
+#: Classes of length: from 20 x 2**(c / 2) characters on.
+CLASSES = 12
+#: With fewer ordinary strings of an encoding than this, those of all encodings of the length are the measure.
+ENOUGH = 200
+
 
-    `random` spans are maximal runs of 20 and more characters of an encoding's alphabet, whatever these are, which
-    overlap no pattern's span and hold the randomness tests. Ordinary strings of the corpus (identifiers, paths, words in a
-    row) fail: false discovery is controlled for all candidates of about one length together, as short strings have little
-    power. In each class of lengths the Benjamini-Hochberg procedure at level `fdr` names the strings that are certainly
-    not random; a string is a secret if it isn't named. The procedure's ranks come from counts of p-values in `bins` bins per class: no list of all p-values is sorted."""
-    rows = packed(docs, keep, _t=F.coalesce(F.col(text), F.lit("")))
-    rows = rows.select("row", *(spans(F.col("_t"), _SHORTCUT.get(kind, p), g, least).alias(f"_{kind}") for kind, (p, g, least) in PATTERNS.items()), spans(F.col("_t"), CANDIDATE).alias("_token"))
-    pattern = F.concat(*(F.col(f"_{k}") for k in PATTERNS))
+def tested(tokens: DataFrame) -> DataFrame:
+    """token, alphabet, class, p (the battery's) and bin (of p, smaller for larger p) of distinct tokens."""
+    for name, c in battery(F.col("token")).items():
+        tokens = tokens.withColumn(name, c)
+    tokens = tokens.withColumn("class", F.greatest(F.lit(0), F.least(F.floor(F.log2(F.length("token").cast("double") / 20) * 2), F.lit(CLASSES))))
+    return tokens.select("token", "alphabet", "class", "p", F.floor(-F.log10(F.greatest("p", F.lit(1e-300))) * 8).alias("bin"))
+
+
+def ordinary(texts: DataFrame, classes: list[int]) -> DataFrame:
+    """(token): strings that ordinary text makes, of the least length of each class: from every text in _t, without what the scan looks at, a
+    piece of its words run together at a place that its hash names, in one of five ways: nothing between them, _ between them, /
+    between them, in capitals, and only what could be hex. Texts that are too short for a class give none for it."""
+    bare = F.regexp_replace("_t", "|".join([CANDIDATE, *_SHORTCUT.values()]), " ")
+    h = F.xxhash64("_t")
+    way = F.pmod(h, F.lit(5))
+    run = (
+        F.when(way == 0, F.regexp_replace(bare, "[^A-Za-z0-9]+", "")).when(way == 1, F.regexp_replace(bare, "[^A-Za-z0-9]+", "_")).when(way == 2, F.regexp_replace(bare, "[^A-Za-z0-9]+", "/"))
+        .when(way == 3, F.regexp_replace(F.upper(bare), "[^A-Z2-7]+", "")).otherwise(F.regexp_replace(bare, "[^0-9A-Fa-f]+", ""))
+    )
+    rows = texts.select(run.alias("run"), F.shiftrightunsigned(h, 3).alias("h"))
+    sizes = [math.ceil(20 * 2 ** (c / 2)) for c in classes]
+    room = lambda n: F.length("run") - n + 1
+    pieces = F.array(*(F.when(room(n) > 0, F.col("run").substr((F.pmod(F.col("h"), room(n)) + 1).cast("int"), F.lit(n))) for n in sizes))
+    return rows.select(F.explode(pieces).alias("token")).filter(F.col("token").isNotNull())
+
+
+def discoveries(candidates: DataFrame, null: DataFrame, fdr: float) -> DataFrame:
+    """(class, alphabet, bin) of the candidates (tested()) that are no ordinary strings. A candidate's p-value under the hypothesis that it is one
+    is the share of ordinary strings (tested() too) of its encoding and length that look at least as random; Benjamini-Hochberg at
+    level fdr goes through all candidates of a length. Both are computed from counts by bins, a few hundred for each class."""
+    n = candidates.groupBy("class", "alphabet", "bin").agg(F.count(F.lit(1)).alias("n"))
+    both = n.withColumn("n0", F.lit(0).cast("long")).unionByName(null.groupBy("class", "alphabet", "bin").agg(F.count(F.lit(1)).alias("n0")).withColumn("n", F.lit(0).cast("long")))
+    both = both.groupBy("class", "alphabet", "bin").agg(F.sum("n").alias("n"), F.sum("n0").alias("n0"))
+    own, pool = Window.partitionBy("class", "alphabet"), Window.partitionBy("class")
+    upto = lambda w: F.sum("n0").over(w.orderBy("bin").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    share = lambda w: (upto(w) + 1) / (F.sum("n0").over(w) + 1)
+    rows = both.withColumn("p0", F.when(F.sum("n0").over(own) >= ENOUGH, share(own)).otherwise(share(pool)))
+    rank = F.sum("n").over(pool.orderBy("p0").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("good", F.col("p0") <= fdr * rank / F.sum("n").over(pool))
+    rows = rows.withColumn("level", F.max(F.when(F.col("good"), F.col("p0"))).over(pool))
+    return rows.filter((F.col("n") > 0) & (F.col("p0") <= F.col("level"))).select("class", "alphabet", "bin")
+
+
+def scan(docs: DataFrame, keep: list[str], text: str = "text", fdr: float = 0.05) -> DataFrame:
+    """docs' columns `keep` and found: array<struct<start, end, kind, p>> of all secrets of the whole text, sorted by start and then
+    by kind in the order assign, access, hex, random; p is the battery's p-value of the secret's characters (of an assignment's
+    value): small for what isn't drawn evenly, as passwords of words. Null texts count as empty. Each row of docs is one row of the result. A
+    column named found is replaced; other names are free.
+
+    `random` spans are maximal runs of 20 and more characters of an encoding's alphabet, whatever these are, which overlap no pattern's span,
+    and of which it can be ruled out that they are ordinary: the null hypothesis is that a string is words run together, and its
+    distribution is measured on the corpus itself (ordinary()), by encoding and length, as short strings look more random than long ones.
+    Among the strings of a length that are named, the expected share of ordinary ones is fdr at most, as far as those measured stand
+    for all. A corpus with little prose has nothing to rule it out by, and names none: with n ordinary strings no p-value is below 1 / (n + 1)."""
+    empty = F.expr("cast(array() as array<struct<start:int,end:int,kind:string,p:double>>)")
+    source = packed(docs, keep, _t=F.coalesce(F.col(text), F.lit("")))
+    rows = source.select("row", *(spans(F.col("_t"), _SHORTCUT.get(kind, p), g, least).alias(f"_{kind}") for kind, (p, g, least) in PATTERNS.items()), spans(F.col("_t"), CANDIDATE).alias("_token"))
     free = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    rows = rows.withColumn("_base", pattern).withColumn("_token", F.filter("_token", free))
-    rows = rows.drop("_base").withColumn("_row", F.monotonically_increasing_id())
+    rows = rows.withColumn("_base", F.concat(*(F.col(f"_{k}") for k in PATTERNS))).withColumn("_random", F.filter("_token", free))
+    listed = lambda i, kind: F.transform(f"_{kind}", lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.regexp_extract(s["match"], _VALUE, 0).alias("token")))
+    rows = rows.select("row", F.concat(*(listed(i, k) for i, k in enumerate([*PATTERNS, "random"]))).alias("_spans"), F.monotonically_increasing_id().alias("_row"))
     rows = stored(rows, "secret-spans")  # from here on _row is fixed
 
-    tested = rows.filter(F.size("_token") > 0).select(F.explode("_token.match").alias("token")).groupBy("token").count()
-    for name, c in battery(F.col("token")).items():
-        tested = tested.withColumn(name, c)
-    tested = tested.withColumn("class", F.least(F.floor(F.log2(F.length("token").cast("double") / 20) * 2), F.lit(12)))
-    tested = stored(tested.select("token", "count", "alphabet", "class", "p"), "secret-tests")
-    bin_of = F.least(F.floor(-F.log10(F.greatest("p", F.lit(1e-300))) * 8), F.lit(bins - 1))
-    by = tested.groupBy("class", bin_of.alias("bin")).agg(F.sum("count").alias("n"))
-    w = Window.partitionBy("class")
-    ranks = by.withColumn("rank", F.sum("n").over(w.orderBy(F.col("bin").desc()))).withColumn("all", F.sum("n").over(w))
-    # the largest p of a bin is 10**(-bin / 8); Benjamini-Hochberg rejects every bin up to the last with p <= fdr * rank / all
-    rejected = ranks.filter(F.pow(F.lit(10.0), -F.col("bin") / 8) <= fdr * F.col("rank") / F.col("all")).groupBy("class").agg(F.min("bin").alias("from_bin"))
-    secret = tested.join(rejected, "class", "left").filter(bin_of < F.coalesce("from_bin", F.lit(bins))).select("token")
-
-    # the same secrets may be in a third of all rows: the few distinct strings are the small side, and their join has no hot key
-    # that AQE couldn't split, as each row joins at most once
-    hits = rows.filter(F.size("_token") > 0).select("_row", F.explode("_token").alias("s")).select("_row", "s", F.col("s.match").alias("token")).join(secret, "token", "left_semi")
-    hits = hits.groupBy("_row").agg(F.collect_list(F.struct("s.start", "s.end")).alias("_random")).withColumnRenamed("_row", "_r")
-    rows = rows.join(hits, F.col("_row") == F.col("_r"), "left").withColumn("_random", F.coalesce("_random", F.expr("cast(array() as array<struct<start:int,end:int>>)")))
-    named = lambda i, kind: F.transform(f"_{kind}", lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind")))
-    listed = [named(i, kind) for i, kind in enumerate([*PATTERNS, "random"])]
-    return unpacked(rows, F.transform(F.array_sort(F.concat(*listed)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("found"))
+    each = rows.filter(F.size("_spans") > 0).select("_row", F.inline("_spans"))
+    measured = stored(tested(each.select("token").distinct()), "secret-tests")
+    open_ = each.filter("kind = 'random'").select("token").distinct()
+    candidates = measured.join(open_, "token", "left_semi")
+    classes = sorted(r[0] for r in candidates.select("class").distinct().collect())  # CLASSES + 1 at most
+    if classes:
+        null = stored(tested(ordinary(source, classes).distinct()), "secret-ordinary")
+        measured = measured.join(discoveries(candidates, null, fdr).withColumn("_named", F.lit(True)), ["class", "alphabet", "bin"], "left")
+    else:
+        measured = measured.withColumn("_named", F.lit(False))
+    # the same secret may be in a third of all rows: AQE can split that key, as each span meets one row of measured
+    hits = each.join(measured.select(F.col("token").alias("_k"), "p", "_named"), F.col("token") == F.col("_k")).filter((F.col("kind") != "random") | F.coalesce("_named", F.lit(False)))
+    hits = hits.groupBy(F.col("_row").alias("_r")).agg(F.array_sort(F.collect_list(F.struct("start", "order", "end", "kind", "p"))).alias("_hits"))
+    rows = rows.join(hits, F.col("_row") == F.col("_r"), "left")
+    return unpacked(rows, F.coalesce(F.transform("_hits", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["p"].alias("p"))), empty).alias("found"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: how many spans of each pattern, the digest of those, and all spans, the battery's `random` ones too."""
+    """Per document: how many spans of each pattern, the digest of those, all spans, the battery's `random` ones too, and the battery's
+    p-value of each."""
     found = scan(table(spark, sf_dir, "documents"), ["doc_id"])
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *map(count, PATTERNS), F.sha2(listed(F.filter("found", lambda s: s["kind"] != "random")), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+    return found.select("doc_id", *map(count, PATTERNS), F.sha2(listed(F.filter("found", lambda s: s["kind"] != "random")), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"), F.array_join(F.transform("found", lambda s: F.format_string("%.3g", s["p"])), ",").alias("p_values"))
