@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import hashlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -26,9 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; one of our own only where none is set."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where none is set, one of our own, but only if driver and executors
+    are one process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         path = os.path.join(tempfile.gettempdir(), f"pathspark-{os.getpid()}")
     return path.rstrip("/")
 
@@ -140,8 +145,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
+
+
 def word_hashes(words: pa.Array) -> np.ndarray:
-    """A 64-bit hash of each word's bytes, the same in every process: eight bytes at a time, all words at once."""
+    """A 64-bit hash of each word's bytes, the same in every process: eight bytes at a time, all words at once; a long word by a digest
+    of its own, so that one blob doesn't cost a round for each eight bytes of it."""
     if not len(words):
         return np.zeros(0, np.uint64)
     wide = pa.types.is_large_string(words.type) or pa.types.is_large_binary(words.type)
@@ -151,6 +161,9 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     at = at - at[0]
     eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
     starts, left = at[:-1], np.diff(at)
+    long = np.flatnonzero(left > LONG_WORD)
+    digests = [int.from_bytes(hashlib.blake2b(raw[a : a + n].data, digest_size=8).digest(), "little") for a, n in zip(starts[long], left[long])]
+    left = np.where(left > LONG_WORD, 0, left)
     with np.errstate(over="ignore"):
         out = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         who: np.ndarray | slice = slice(None)
@@ -160,6 +173,7 @@ def word_hashes(words: pa.Array) -> np.ndarray:
             more = np.flatnonzero(left > 8)
             who = more if isinstance(who, slice) else who[more]
             starts, left = starts[more] + 8, left[more] - 8
+    out[long] = np.array(digests, np.uint64)
     return out
 
 

@@ -644,3 +644,20 @@ def test_op5_stores_the_payload(spark):
         payload = raw + b"\xff" * (576 * max(1, -(-len(raw) // 576)) - len(raw))
         want.append((d, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])))
     assert rows(QUERIES["op5_tiff"](spark, SF), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == sorted(want, key=str)
+
+
+# -- shared helpers
+
+
+def test_long_words_are_hashed_at_once():
+    import time
+
+    from pathspark.llm import _common
+
+    blob = "".join(random.Random(1).choice(LETTERS) for _ in range(1000)) * 3000
+    words = ["a", blob, "b" * 256, "b" * 257, blob[:-1], blob, "é" * 200, "a"]
+    began = time.perf_counter()
+    got = _common.word_hashes(pa.array(words))
+    assert time.perf_counter() - began < 1
+    assert len(set(got.tolist())) == 6 and got[0] == got[7] and got[1] == got[5]
+    assert (_common.word_hashes(pa.array(["x", *words]).slice(1)) == got).all() and (got[[0, 2]] == _common.word_hashes(pa.array(["a", "b" * 256]))).all()
