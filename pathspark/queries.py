@@ -16,7 +16,7 @@ from .operators import curation as C
 from .plans import timewin as W
 from .plans.compiler import Resources, evaluate_path
 from .plans.templates import TEMPLATES
-from .schema import ICU
+from .schema import ICU, MICRO_TEST, ORGANISM
 from .sources.bundles import from_tables
 
 _TIDY = r"""
@@ -643,6 +643,163 @@ def template_patient_birth_date(spark, d):
     return got.select(F.col("question_id").alias("patient"), F.get("values", 0).alias("v"))
 
 
+# -- the templates that follow references, or need elements that clinical() hasn't: a hospital with all resource types, whose times are
+# written in the resources as documents have them
+_ISO = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+
+
+def hospital(spark: SparkSession, d: str, *kinds: str) -> Resources:
+    """Resources of the star schema: urgent orders are emergency visits, lines of an odd part name their drug and those of an even one refer to
+    it, suppliers are locations; views of users are tests on one of three specimens, and some have the user's first error as a member, which is an
+    organism derived from the user's first view; clicks are outputs, purchases weights."""
+    line, null = F.expr(_LINE), F.lit(None).cast("string")
+    text = lambda c: F.col(c).cast("string")
+
+    def lines():
+        return _lines(spark, d).join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("patient_id", text("o_custkey")).withColumn("ord", line)
+
+    def encounters_():
+        at = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(line.alias("n"), "l_suppkey", "l_shipdate"))), lambda x: F.struct(F.struct(F.concat(F.lit("Location/"), x["l_suppkey"].cast("string")).alias("reference")).alias("location"), F.struct(_ISO(x["l_shipdate"]).alias("start"), null.alias("end")).alias("period"))).alias("location"))
+        o = _t(spark, d, "orders").join(at, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        return o.select(
+            text("o_custkey").alias("patient_id"), F.col("o_orderkey").alias("ord"), text("o_orderkey").alias("id"), F.struct(_ISO("o_orderdate").alias("start"), _ISO(F.date_add("o_orderdate", (F.col("o_orderkey") % 10).cast("int")).cast("timestamp_ntz")).alias("end")).alias("period"),
+            F.when(F.col("o_orderstatus") == "P", _ref("Encounter", F.col("o_orderkey"))).alias("partOf"), F.when(F.col("o_orderstatus") == "F", F.array(F.struct(F.lit(ICU).alias("system"), null.alias("value")))).alias("identifier"),
+            F.struct(null.alias("system"), F.when(F.col("o_orderpriority") == "1-URGENT", "EMER").otherwise("AMB").alias("code"), null.alias("display")).alias("class"), F.array(_concept(F.col("o_orderpriority"))).alias("type"), "location",
+        )
+
+    def observations():
+        e = _t(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int")).withColumn("patient_id", text("user_id"))
+        first = e.groupBy(F.col("user_id").alias("u")).agg(F.min(F.when(F.col("event_type") == "error", F.col("event_id"))).alias("e1"), F.min(F.when(F.col("event_type") == "view", F.col("event_id"))).alias("v1"))
+        e, kind = e.join(first, F.col("user_id") == F.col("u")), F.col("event_type")
+        system = F.when(kind == "view", MICRO_TEST).when(kind == "error", ORGANISM)
+        shown = F.when(kind == "purchase", "Daily Weight").otherwise(kind)
+        category = F.when(kind == "view", "laboratory").when(kind == "click", "Output").otherwise("vital")
+        return e.select(
+            "patient_id", F.col("event_id").alias("ord"), text("event_id").alias("id"), _ISO("ts").alias("effectiveDateTime"), F.array(_concept(code=category)).alias("category"),
+            F.struct(F.array(F.struct(system.alias("system"), null.alias("code"), shown.alias("display"))).alias("coding"), null.alias("text")).alias("code"), F.struct(F.col("value").alias("value"), F.when(kind == "purchase", "kg").alias("unit")).alias("valueQuantity"),
+            F.when(kind == "view", _ref("Specimen", F.concat(F.lit("s"), (F.col("k") % 3).cast("string")))).alias("specimen"),
+            F.when((kind == "view") & (F.col("k") >= 50) & F.col("e1").isNotNull(), F.array(_ref("Observation", F.col("e1")))).alias("hasMember"), F.when((kind == "error") & F.col("v1").isNotNull(), F.array(_ref("Observation", F.col("v1")))).alias("derivedFrom"),
+        )
+
+    drug, even = _concept(F.col("p_name"), F.col("p_brand")), F.col("p_partkey") % 2 == 0
+    build = {
+        "Encounter": encounters_, "Observation": observations,
+        "Location": lambda: _lines(spark, d).select(text("o_custkey").alias("patient_id"), "l_suppkey").distinct().join(_t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(_t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("patient_id", F.col("s_suppkey").alias("ord"), text("s_suppkey").alias("id"), F.col("n_name").alias("name")),
+        "Medication": lambda: lines().filter(even).select("patient_id", F.col("p_partkey").alias("ord"), text("p_partkey").alias("id"), F.array(F.struct(null.alias("system"), F.col("p_brand").alias("value"))).alias("identifier")).distinct(),
+        "MedicationRequest": lambda: lines().select(
+            "patient_id", "ord", _ISO("l_shipdate").alias("authoredOn"), F.when(even, _ref("Medication", F.col("p_partkey"))).alias("medicationReference"), F.when(~even, drug).alias("medicationCodeableConcept"),
+            F.array(F.struct(_concept(code=F.col("l_returnflag")).alias("route"), F.array(F.struct(F.struct(F.col("l_quantity").alias("value"), null.alias("unit")).alias("doseQuantity"))).alias("doseAndRate"))).alias("dosageInstruction"),
+        ),
+        "MedicationAdministration": lambda: lines().select("patient_id", "ord", F.when(even, _ISO("l_shipdate")).alias("effectiveDateTime"), F.when(~even, F.struct(_ISO("l_shipdate").alias("start"), null.alias("end"))).alias("effectivePeriod"), _concept(F.col("p_name")).alias("medicationCodeableConcept"), _ref("Encounter", F.col("o_orderkey")).alias("context")),
+        "Procedure": lambda: lines().select("patient_id", "ord", F.when(even, _ISO("l_shipdate")).alias("performedDateTime"), F.when(~even, F.struct(_ISO("l_shipdate").alias("start"), null.alias("end"))).alias("performedPeriod"), _concept(F.col("p_type")).alias("code")),
+        "Condition": lambda: lines().select("patient_id", "ord", _concept(F.col("p_type")).alias("code"), _ref("Encounter", F.col("o_orderkey")).alias("encounter")),
+        "Specimen": lambda: _t(spark, d, "events").select(text("user_id").alias("patient_id")).distinct().select("patient_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i")).select("patient_id", F.col("i").cast("long").alias("ord"), F.concat(F.lit("s"), "i").alias("id"), _concept(F.concat(F.lit("Specimen "), "i"), F.concat(F.lit("S"), "i")).alias("type")),
+    }
+    return from_tables({k: build[k]() for k in kinds})
+
+
+_HL = f"(SELECT *, o_custkey AS patient, {_LINE} AS ord FROM {_LINES})"
+_HO = "(SELECT *, o_custkey AS patient, o_orderkey AS ord FROM orders)"
+_HE = "(SELECT *, user_id AS patient, event_id AS ord, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)"
+_MS = lambda c: f"date_trunc('milliseconds', {c})"  # noqa: E731  instants are shown in milliseconds
+_FIRSTS = "(SELECT user_id AS u, min(event_id) FILTER (WHERE event_type = 'error') AS e1, min(event_id) FILTER (WHERE event_type = 'view') AS v1 FROM events GROUP BY 1)"
+_EMER, _S0, _LAST_DAYS = "o_orderpriority = '1-URGENT'", "event_type = 'view' AND k % 3 = 0", "2024-01-15"
+#: By template: the resource types, the values of its slots, since when, and its SQL: rows, their time, and a condition; then what is picked of
+#: the last row, or else a count or test.
+_HOSPITAL: dict[str, tuple] = {
+    "has-emergency-room-visit": (("Encounter",), {}, "2000-06-01", _HO, "o_orderdate", _EMER, None),
+    "has-micro-test-any": (("Observation",), {}, "2024-01-27", _HE, "ts", "event_type = 'error'", None),
+    "has-micro-test-specific": (("Observation", "Specimen"), {"spec_name": "S0"}, _LAST_DAYS, f"(SELECT h.* FROM {_HE} h JOIN {_FIRSTS} ON u = h.user_id JOIN {_HE} v ON v.event_id = v1 AND v.k % 3 = 0)", "ts", "event_type = 'error'", None),
+    "time-micro-test-specific": (("Observation", "Specimen"), {"spec_name": "Specimen 0"}, _LAST_DAYS, _HE, "ts", _S0, "ts"),
+    "time-hospital-admission": (("Encounter",), {}, None, _HO, "o_orderdate", "o_orderstatus <> 'P'", "o_orderdate"),
+    "time-hospital-discharge": (("Encounter",), {}, None, _HO, "o_orderdate", "o_orderstatus <> 'P'", "o_orderdate + to_days(CAST(o_orderkey % 10 AS INTEGER))"),
+    "time-intake": (("MedicationAdministration",), {}, _SINCE, _HL, "l_shipdate", "true", "l_shipdate"),
+    "time-lab-test": (("Observation",), {}, _LAST_DAYS, _HE, "ts", _VIEWS, "ts"),
+    "time-micro-test": (("Observation",), {}, _LAST_DAYS, _HE, "ts", _VIEWS, "ts"),
+    "time-prescription": (("MedicationRequest",), {}, _SINCE, _HL, "l_shipdate", "true", "l_shipdate"),
+    "time-specific-intake": (("MedicationAdministration", "Encounter"), {"input_name": "small widget"}, _SINCE, _HL, "l_shipdate", "p_name = 'small widget' AND o_orderstatus = 'F'", "l_shipdate"),
+    "time-specific-output": (("Observation",), {"output_name": "click"}, _LAST_DAYS, _HE, "ts", "event_type = 'click'", "ts"),
+    "time-vital-measurement": (("Observation",), {"vital_name": "signup"}, _LAST_DAYS, _HE, "ts", "event_type = 'signup'", "ts"),
+    "time-specific-lab": (("Observation",), {"lab_name": "view"}, _LAST_DAYS, _HE, "ts", _VIEWS, "ts"),
+    "time-specific-procedure": (("Procedure",), {"procedure_name": "ECONOMY"}, _SINCE, _HL, "l_shipdate", "p_type = 'ECONOMY'", "l_shipdate"),
+    "time-specific-diagnosis": (("Condition", "Encounter"), {"diagnosis_name": "ECONOMY"}, _SINCE, _HL, "o_orderdate", "p_type = 'ECONOMY'", "o_orderdate"),
+    "time-specific-drug": (_DRUGS, {"drug_name": "Brand#11"}, _SINCE, _HL, "l_shipdate", "p_brand = 'Brand#11'", "l_shipdate"),
+    "time-drug-route": (("MedicationRequest",), {"drug_route": "R"}, _SINCE, _HL, "l_shipdate", "l_returnflag = 'R'", "l_shipdate"),
+    "admission-type": (("Encounter",), {}, None, _HO, "o_orderdate", "o_orderstatus <> 'P'", "o_orderpriority"),
+    "weight": (("Observation",), {}, _LAST_DAYS, _HE, "ts", "event_type = 'purchase'", "CAST(value AS VARCHAR)"),
+    "micro-test-name": (("Observation",), {}, _LAST_DAYS, _HE, "ts", _VIEWS, "event_type"),
+    "output-name": (("Observation",), {}, _LAST_DAYS, _HE, "ts", "event_type = 'click'", "event_type"),
+    "specimen-name": (("Observation", "Specimen"), {}, _LAST_DAYS, _HE, "ts", _VIEWS, "'S' || k % 3"),
+    "organism-name": (("Observation", "Specimen"), {"spec_name": "S0"}, _LAST_DAYS, f"(SELECT * FROM {_HE} JOIN {_FIRSTS} ON u = user_id)", "ts", _S0 + " AND k >= 50 AND e1 IS NOT NULL", "'error'"),
+}
+
+
+def _hospital_query(template_id: str, kinds, values, since, rows, time, condition, picked) -> None:
+    t = TEMPLATES[template_id]
+    test = condition + (f" AND {time} >= TIMESTAMP '{since}'" if since else "")
+    who = "SELECT DISTINCT user_id AS p FROM events" if rows.find("user_id") > 0 else "SELECT c_custkey AS p FROM customer"
+    if picked is None:
+        sql = f"SELECT p AS patient, count(ord) > 0 AS v FROM ({who}) LEFT JOIN (SELECT patient, ord FROM {rows} WHERE {test}) ON patient = p GROUP BY 1"
+    else:
+        sql = f"SELECT patient, max_by({_MS(picked) if t.result == 'instant' else picked}, struct_pack(a := {time}, b := ord)) AS v FROM {rows} WHERE {test} GROUP BY 1"
+
+    @query(sql, "template_" + template_id.replace("-", "_"))
+    def template(spark, d):
+        asked = (_users if "user_id" in rows else _patients)(spark, d).withColumn("pick", F.lit("last"))
+        got = ask(hospital(spark, d, *kinds), template_id, asked.withColumn("lo", _TS(since)) if since else asked, **values)
+        if picked is None:
+            return got.select(F.col("question_id").alias("patient"), F.col("flag").alias("v"))
+        v = F.get("values", 0)
+        return got.filter(F.size("values") > 0).select(F.col("question_id").alias("patient"), (F.to_utc_timestamp(F.try_to_timestamp(v), F.current_timezone()).cast("timestamp_ntz") if t.result == "instant" else v).alias("v"))
+
+
+for _id, _of in _HOSPITAL.items():
+    _hospital_query(_id, *_of)
+
+
+@query(f"SELECT c_custkey AS patient, count(DISTINCT CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE p_name || '|' || p_brand END) AS v FROM customer LEFT JOIN (SELECT * FROM {_HL} WHERE l_shipdate >= TIMESTAMP '{_SINCE}') ON o_custkey = c_custkey GROUP BY 1")
+def template_count_drugs_prescribed(spark, d):
+    got = ask(hospital(spark, d, "MedicationRequest", "Medication"), "count-drugs-prescribed", _patients(spark, d), lo=_TS(_SINCE))
+    return got.select(F.col("question_id").alias("patient"), F.col("count").alias("v"))
+
+
+@query(f"SELECT patient, max_by(strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S'), struct_pack(a := l_shipdate, b := ord)) AS v FROM {_HL} WHERE l_shipdate >= TIMESTAMP '{_SINCE}' GROUP BY 1")
+def template_time_procedure(spark, d):
+    """The choice element: a dateTime, or a period, whose JSON has it."""
+    got = ask(hospital(spark, d, "Procedure"), "time-procedure", _patients(spark, d), lo=_TS(_SINCE), pick="last").filter(F.size("values") > 0)
+    return got.select(F.col("question_id").alias("patient"), F.regexp_extract(F.get("values", 0), r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d", 0).alias("v"))
+
+
+@query(f"SELECT u AS patient, coalesce(max_by(k >= 50 AND e1 IS NOT NULL, struct_pack(a := ts, b := ord)) FILTER (WHERE {_S0} AND ts >= TIMESTAMP '{_LAST_DAYS}'), false) AS v FROM {_HE} JOIN {_FIRSTS} ON u = user_id GROUP BY 1")
+def template_has_organism_found(spark, d):
+    got = ask(hospital(spark, d, "Observation", "Specimen"), "has-organism-found", _users(spark, d), lo=_TS(_LAST_DAYS), pick="last", spec_name="S0")
+    return got.select(F.col("question_id").alias("patient"), F.col("flag").alias("v"))
+
+
+@query(f"WITH o AS (SELECT o_custkey AS patient, max_by(o_orderkey, struct_pack(a := o_orderdate, b := o_orderkey)) AS k FROM orders WHERE o_orderdate >= TIMESTAMP '{_SINCE}' GROUP BY 1) SELECT patient, max_by(n_name, struct_pack(a := l_shipdate, b := {_LINE})) AS v FROM o JOIN lineitem ON l_orderkey = k JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")
+def template_careunit(spark, d):
+    got = ask(hospital(spark, d, "Encounter", "Location"), "careunit", _patients(spark, d), lo=_TS(_SINCE), pick="last").filter(F.size("values") > 0)
+    return got.select(F.col("question_id").alias("patient"), F.get("values", 0).alias("v"))
+
+
+def _hospital_values(slot: str, kinds: tuple[str, ...], value: str, rows: str, users: bool) -> None:
+    who = "SELECT DISTINCT user_id AS p FROM events" if users else "SELECT c_custkey AS p FROM customer"
+
+    @query(f"SELECT p AS patient, coalesce(string_agg(DISTINCT v, '|' ORDER BY v), '') AS names FROM ({who}) LEFT JOIN (SELECT patient, {value} AS v FROM {rows}) ON patient = p GROUP BY 1", f"values_{slot}")
+    def extract(spark, d):
+        from .plans.context import value_sets
+
+        got = value_sets(hospital(spark, d, *kinds), (_users if users else _patients)(spark, d).select("patient_id"), [slot])
+        return got.select(F.col("patient_id").cast("long").alias("patient"), F.array_join("values", "|").alias("names"))
+
+
+_hospital_values("careunit", ("Encounter", "Location"), "n_name", f"(SELECT * FROM {_HL} JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey)", False)
+_hospital_values("output_name", ("Observation",), "event_type", f"(SELECT * FROM {_HE} WHERE event_type = 'click')", True)
+_hospital_values("spec_name", ("Specimen",), "x", f"(SELECT patient, unnest(['S0', 'S1', 'S2', 'Specimen 0', 'Specimen 1', 'Specimen 2']) AS x FROM (SELECT DISTINCT patient FROM {_HE}))", True)
+_hospital_values("vital_value", ("Observation",), "CAST(value AS VARCHAR)", _HE, True)
+_hospital_values("lab_value", ("Observation",), "CAST(value AS VARCHAR)", f"(SELECT * FROM {_HE} WHERE event_type = 'view')", True)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return count_visits_by_patient(spark, "/root/testdata/sf0.001")
 
