@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, NumericType, StructType, TimestampNTZType, TimestampType
 
 #: The forms of slots and of masked slots.
 SLOT = r"\{[a-z_0-9]+\}|\[[a-z_0-9]+\]"
 MASK = r"X_[A-Z_0-9]+_X"
 
 
-#: What takes no space before it: a mark that no word character follows (.5 stays apart), a closing bracket, a possessive.
-GLUED = r"[.,:;?!](?:\W|\z)|[\])}]|'s\b"
+# Marks that take no space before them unless a word character follows, brackets that take none, and what is an ending of the
+# word before.
+_MARKS = ",.;:!?"
+_CLOSING = ")]}"
+_ENDING = "'s"
 
 
 def tidy_punctuation(s: Column) -> Column:
-    """No white space before what is GLUED, nor at the ends; one space for several blanks."""
-    s = F.regexp_replace(s, rf"^\s+|\s+$|\s+(?={GLUED})", "")
-    return F.regexp_replace(s, r"[ \t][ \t]+", " ")
+    """The text, cut at white space and put together again: a piece that begins with a mark, a closing bracket or an ending goes on the
+    piece before, all others after what stood between them, one blank for several. So "a , b" is "a, b", ".5" stays apart, nothing is
+    left at the ends."""
+    pieces, gaps = F.filter(F.split(s, r"\s+"), lambda p: p != ""), F.regexp_extract_all(F.trim(s, F.lit(" \t\n\r\f\x0b")), F.lit(r"\s+"), F.lit(0))
+    marked = lambda p: F.contains(F.lit(_MARKS), F.substring(p, 1, 1)) & ~F.substring(p, 2, 1).rlike(r"\w")
+    joins = lambda p: marked(p) | F.contains(F.lit(_CLOSING), F.substring(p, 1, 1)) | p.startswith(_ENDING) & ~F.substring(p, 3, 1).rlike(r"\w")
+    gap = lambda g: F.regexp_replace(F.coalesce(g, F.lit("")), r"[ \t][ \t]+", " ")
+    both = F.zip_with(pieces, F.concat(F.array(F.lit("")), gaps), lambda p, g: F.when(p.isNotNull(), F.when(joins(p), p).otherwise(F.concat(gap(g), p))))
+    return F.when(s.isNotNull(), F.array_join(both, ""))
 
 
 def strip_context_prefix(s: Column) -> Column:
@@ -79,3 +92,58 @@ def instants_in(s: Column) -> Column:
 def content_hash(*columns: str) -> Column:
     """SHA-256 of the compact JSON of the columns in sorted order; nulls are kept as null."""
     return F.sha2(F.to_json(F.struct(*(F.col(c) for c in sorted(columns))), {"ignoreNullFields": "false"}), 256)
+
+
+_ESCAPES = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+
+def quoted(s: Column) -> Column:
+    """A text as a JSON string of ASCII characters: others are written as \\u and four small hex digits, twice for those that take two."""
+    unit = lambda n: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(n), 4, "0")))
+
+    def one(c: Column) -> Column:
+        n = F.ascii(c)
+        out = F.when((n >= 32) & (n < 127), c).when(n < 65536, unit(n)).otherwise(F.concat(unit(F.shiftright(n - 65536, 10) + 0xD800), unit((n - 65536).bitwiseAND(F.lit(0x3FF)) + 0xDC00)))
+        for k, v in _ESCAPES.items():
+            out = F.when(c == k, v).otherwise(out)
+        return out
+
+    escaped = F.array_join(F.transform(F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0)), one), "")
+    return F.concat(F.lit('"'), F.when(s.rlike(r'["\\]|[^\x20-\x7e]'), escaped).otherwise(s), F.lit('"'))
+
+
+def canonical_json(c: Column, kind: DataType) -> Column:
+    """Compact JSON with the keys of all structs and maps in order, inner ones too; nulls are kept, text is ASCII, instants and dates are ISO
+    texts. Equal data of one type has one text, whatever the order of its maps."""
+    match kind:
+        case StructType():
+            fields = [F.concat(F.lit(json.dumps(f.name) + ":"), canonical_json(c[f.name], f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
+            out = F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+        case MapType():
+            entries = F.array_sort(F.map_entries(c), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+            out = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(quoted(e["key"].cast("string")), F.lit(":"), canonical_json(e["value"], kind.valueType))), ","), F.lit("}"))
+        case ArrayType():
+            out = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: canonical_json(x, kind.elementType)), ","), F.lit("]"))
+        case TimestampType() | TimestampNTZType():
+            part = F.date_format(c, "SSSSSS")
+            out = F.concat(F.lit('"'), F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), F.when(part != "000000", F.concat(F.lit("."), part)).otherwise(""), F.lit('"'))
+        case NumericType() | BooleanType():
+            out = c.cast("string")
+        case _:
+            out = quoted(c.cast("string"))
+    return F.when(c.isNull(), "null").otherwise(out)
+
+
+def record_hash(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
+    """SHA-256 of the canonical JSON of a row, or of some of its columns."""
+    columns = list(columns or df.columns)
+    kind = StructType([df.schema[c] for c in columns])
+    return F.sha2(canonical_json(F.struct(*columns), kind), 256)
+
+
+def json_strings(s: Column) -> Column:
+    """All strings that are values in a JSON text, at any depth, unescaped; names are none."""
+    text = r'"((?:[^"\\]|\\.)*+)"'
+    found = F.regexp_extract_all(s, F.lit(rf"{text}\s*+:|{text}"), F.lit(2))  # one after another, so that no match begins inside a string
+    plain = F.transform(found, lambda v: F.when(F.contains(v, F.lit("\\")), F.get(F.from_json(F.concat(F.lit('["'), v, F.lit('"]')), "array<string>"), F.lit(0))).otherwise(v))
+    return F.filter(plain, lambda v: v != "")

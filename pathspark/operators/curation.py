@@ -30,8 +30,12 @@ MIN_EDIT, MIN_NORMALISED, MIN_COSINE = 10, 0.15, 0.7
 
 
 def different(a: Column, b: Column, edit: int = MIN_EDIT, normalised: float = MIN_NORMALISED) -> Column:
-    """Far enough apart, by absolute and by normalised edit distance; empty texts are not."""
-    return F.coalesce((F.levenshtein(a, b) >= edit) & (T.normalised_levenshtein(a, b) >= normalised), F.lit(False))
+    """Far enough apart, by absolute and by normalised edit distance; empty texts are not. Texts whose lengths differ by as much need no
+    distance."""
+    longer, by_length = F.greatest(F.length(a), F.length(b)), F.abs(F.length(a) - F.length(b))
+    surely = (by_length >= edit) & (by_length >= normalised * longer) & (F.least(F.length(a), F.length(b)) > 0)
+    measured = (F.levenshtein(a, b) >= edit) & (T.normalised_levenshtein(a, b) >= normalised)
+    return F.coalesce(F.when(surely, F.lit(True)).otherwise(measured), F.lit(False))
 
 
 def difference_reason(a: Column, b: Column, edit: int = MIN_EDIT, normalised: float = MIN_NORMALISED) -> Column:
@@ -43,12 +47,32 @@ def difference_reason(a: Column, b: Column, edit: int = MIN_EDIT, normalised: fl
     )
 
 
-def greedy_distinct(df: DataFrame, group: str, order: str, text: str) -> DataFrame:
-    """Per group, in order: keeps a text if it is different from all texts kept before. The order matters, so a group, one template's
-    paraphrases, is folded as an array in one row."""
-    folded = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("all"))
-    kept = F.aggregate("all", F.filter(F.col("all"), lambda x: F.lit(False)), lambda acc, x: F.when(F.forall(acc, lambda k: different(x["t"], k["t"])), F.concat(acc, F.array(x))).otherwise(acc))
-    return folded.select(group, F.explode(kept).alias("k")).select(group, F.col("k.o").alias(order), F.col("k.t").alias(text))
+def greedy_distinct(df: DataFrame, group: str, order: str, text: str, block: int = 64) -> DataFrame:
+    """Per group, in order (equal places by text): keeps a text if it is different from all texts kept before.
+
+    All groups go on together, in rounds. A round takes the next `block` texts of each group that nothing kept so far is near to, decides
+    them in order, as one small array, and drops the texts behind them that are near to one of those that it keeps: each kept text meets each
+    later one once, which is what the order asks for, and no group is ever one row or one task's array. So there are as many rounds as the
+    group with the most kept texts has blocks of them."""
+    place = lambda p="": F.struct(F.col(p + order).alias("o"), F.col(p + text).alias("t"))
+    left = df.select(group, order, text).filter(F.col(group).isNotNull())
+    left, kept = cut(left), None
+    nothing = F.expr("cast(array() as array<int>)")
+    while not left.isEmpty():
+        rank = F.row_number().over(Window.partitionBy(group).orderBy(order, text))
+        first = left.withColumn("_n", rank).filter(F.col("_n") <= block)
+        lists = first.groupBy(group).agg(F.array_sort(F.collect_list(place())).alias("_all"), F.max(place()).alias("_last"))
+        # the places in _all of those kept
+        near = lambda acc, i: F.exists(acc, lambda k: ~different(F.get("_all", i)["t"], F.get("_all", k)["t"]))
+        chosen = F.aggregate(F.sequence(F.lit(0), F.size("_all") - 1), nothing, lambda acc, i: F.when(near(acc, i), acc).otherwise(F.concat(acc, F.array(i))))
+        decided = cut(lists.select(F.col(group).alias("_g"), F.transform(chosen, lambda i: F.get("_all", i)).alias("_kept"), "_last"))
+        new = decided.select("_g", F.inline("_kept")).select("_g", F.col("o").alias("_o"), F.col("t").alias("_t"))
+        kept = new if kept is None else kept.unionByName(new)
+        behind = left.join(decided.select("_g", "_last"), F.col(group) == F.col("_g")).filter(place() > F.col("_last")).drop("_g", "_last")
+        left = cut(behind.join(new, (F.col(group) == F.col("_g")) & ~different(F.col(text), F.col("_t")), "left_anti"))
+    if kept is None:
+        return left
+    return kept.select(F.col("_g").alias(group), F.col("_o").alias(order), F.col("_t").alias(text))
 
 
 # -- splits and holdouts

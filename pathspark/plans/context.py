@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import instants_in
+from ..functions.text import instants_in, json_strings
 from ..operators.curation import or_fallback, says_something
 from ..sources import store
 from .compiler import Resources, evaluate_path, values_by_type
@@ -70,12 +70,20 @@ def datetime_ranges(res: Resources) -> DataFrame:
 
 
 def instants(documents: DataFrame, column: str, skip: str = "2025-") -> DataFrame:
-    """All instants written anywhere in JSON text, without the columns' structure: other columns, and `at`; distinct."""
+    """All instants in the values of JSON text, at any depth, whatever its structure: other columns, and `at`; distinct. Names are no values, and
+    escapes are undone."""
     keep = [c for c in documents.columns if c != column]
-    found = documents.select(*keep, F.explode(instants_in(F.col(column))).alias("text"))
+    found = documents.select(*keep, F.explode(F.flatten(F.transform(json_strings(F.col(column)), instants_in))).alias("text"))
     return found.filter(~F.col("text").startswith(skip)).select(*keep, F.try_to_timestamp("text").alias("at")).filter(F.col("at").isNotNull()).distinct()
 
 
+def instant_ranges(documents: DataFrame, column: str, skip: str = "2025-") -> DataFrame:
+    """The other columns of documents with first and last, the bounds of instants(); null without any."""
+    keep = [c for c in documents.columns if c != column]
+    times = F.transform(F.filter(F.flatten(F.transform(json_strings(F.col(column)), instants_in)), lambda t: ~t.startswith(skip)), lambda t: F.try_to_timestamp(t))
+    return documents.select(*keep, times.alias("_t")).select(*keep, F.array_min("_t").alias("first"), F.array_max("_t").alias("last"))
+
+
 def translate_ids(df: DataFrame, patients: DataFrame, column: str = "patient_id", to: str = "id", key: str = "number") -> DataFrame:
     """Numbers to ids, or back with to and key exchanged; ids that the map doesn't have stay."""
     found = patients.select(F.col(key).alias("_k"), F.col(to).alias("_v"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash, fill_slots, tidy_punctuation
+from ..functions.text import fill_slots, record_hash, tidy_punctuation
 from ..operators import coverage
 from ..operators.curation import null_answer, pick
 from ..sources import store
@@ -108,7 +108,7 @@ def generate(res: Resources, contexts: DataFrame, template_ids: Sequence[str] |
         t = TEMPLATES[template_id]
         records = answered(res, t, draw_paraphrase(draw(contexts, t, n, seed), t, paraphrases, seed), mode, answers, drop_null_answers)
         out = records if out is None else out.unionByName(records)
-    return out.withColumn("id", content_hash("patient_id", "question", "query", "answer", "question_template_id"))
+    return out.withColumn("id", record_hash(out))
 
 
 def write_records(res: Resources, contexts: DataFrame, path: str, template_ids: Sequence[str] | None = None, **options) -> DataFrame:
@@ -157,4 +157,4 @@ def final_dataset(res: Resources, contexts: DataFrame, texts: DataFrame, path: s
 
     coverage.sweep(path, spark, ask, attempts, passes, rounds)
     got = coverage.records(path, spark, quota)
-    return got.withColumn("id", content_hash("patient_id", "question", "query", "answer", "question_template_id"))
+    return got.withColumn("id", record_hash(got, [*RECORD, "answer"]))

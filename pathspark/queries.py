@@ -378,7 +378,7 @@ def near_dup_vs_original(spark, d):
 
 @query()
 def greedy_near_dup(spark, d):
-    rows = _t(spark, d, "conversations").filter("role = 'user'").withColumn("g", F.col("conv_id") % 50)
+    rows = _t(spark, d, "conversations").filter("role = 'user'").withColumn("g", F.col("turn"))
     return C.greedy_distinct(rows.withColumn("o", F.col("conv_id") * 100 + F.col("turn")), "g", "o", "text").select("g", "o")
 
 
@@ -804,6 +804,60 @@ def entry(spark: SparkSession) -> DataFrame:
     return count_visits_by_patient(spark, "/root/testdata/sf0.001")
 
 
+_ENTRY = "val_placeholder"
+
+
+def _annotated(spark: SparkSession, d: str) -> DataFrame:
+    """Annotations of every line: names and values as scalars, lists and objects, in maps whose keys come in any order."""
+    line = _lines(spark, d).join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    own = F.struct(
+        F.col("p_name").alias("drug_name2"), F.array(F.col("p_type"), F.lit("-"), F.lit(None).cast("string")).alias("lab_name1"), F.array("l_linenumber", "p_size").alias("lab_value1"), F.col("p_brand").alias("vital_name"),
+        F.col("l_linenumber").alias("vital_value2"), F.struct(F.col("l_returnflag").alias("z"), F.col("l_linenumber").alias("a")).alias("note"), F.lit("").alias("empty"),
+    )
+    return line.select(F.expr(_LINE).alias("line"), F.to_json(F.struct(own.alias(_ENTRY), F.struct(F.col("p_brand").alias("drug_name1")).alias("other"), F.lit(1).alias("n"))).alias("json"))
+
+
+_ANNOTATED = f"WITH x AS (SELECT * FROM {_LINES}), f AS (SELECT '{_ENTRY}' AS category, unnest(['drug_name2', 'drug_name', 'lab_name1', 'lab_value1', 'lab_value1', 'vital_name', 'vital_value2', 'note']) AS name, unnest([p_name, p_name, p_type, CAST(l_linenumber AS VARCHAR), CAST(p_size AS VARCHAR), p_brand, CAST(l_linenumber AS VARCHAR), '{{\"a\":' || l_linenumber || ',\"z\":\"' || l_returnflag || '\"}}']) AS v FROM x UNION ALL SELECT 'other', 'drug_name1', p_brand FROM x)"
+
+
+@query(_ANNOTATED + " SELECT category, name, string_agg(DISTINCT v, '|' ORDER BY v) AS vals FROM f GROUP BY 1, 2")
+def annotated_value_sets(spark, d):
+    from .plans import annotations as A
+
+    got = A.value_sets_of(A.placeholders(_annotated(spark, d), "line", "json"))
+    return got.select("category", "name", F.array_join("values", "|").alias("vals"))
+
+
+@query("SELECT 'lab' AS kind, p_type AS name, string_agg(DISTINCT v, '|' ORDER BY v) AS vals FROM (SELECT p_type, unnest([CAST(l_linenumber AS VARCHAR), CAST(p_size AS VARCHAR)]) AS v FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey) GROUP BY 2")
+def annotated_value_maps(spark, d):
+    """Values by name, of the pairs with one number: vital_name has no value of its number."""
+    from .plans import annotations as A
+
+    got = A.value_maps(A.placeholders(_annotated(spark, d), "line", "json"), "line")
+    return got.select("kind", "name", F.array_join("values", "|").alias("vals"))
+
+
+@query("""SELECT o_orderkey AS k, sha256('{"at":"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '","keys":{"a":' || o_custkey || ',"b":null,"z":' || o_orderkey || '},"list":[{"p":"' || o_orderpriority || '","s":"\\u00e9\\ud83d\\ude00\\"' || o_orderstatus || '"}]}') AS id FROM orders""")
+def canonical_hash(spark, d):
+    o, null = _t(spark, d, "orders"), F.lit(None).cast("long")
+    keys = F.when(F.col("o_orderkey") % 2 == 0, F.create_map(F.lit("z"), "o_orderkey", F.lit("a"), "o_custkey", F.lit("b"), null)).otherwise(F.create_map(F.lit("b"), null, F.lit("a"), "o_custkey", F.lit("z"), "o_orderkey"))
+    listed = F.array(F.struct(F.concat(F.lit('é😀"'), "o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p")))
+    rows = o.select("o_orderkey", listed.alias("list"), keys.alias("keys"), F.col("o_orderdate").alias("at"))
+    return rows.select(F.col("o_orderkey").alias("k"), T.record_hash(rows, ["list", "keys", "at"]).alias("id"))
+
+
+@query("SELECT user_id AS patient, event_id, date_trunc('second', ts) AS first_at, date_trunc('second', ts) + INTERVAL 2 DAY AS last_at FROM events")
+def instant_ranges_of_documents(spark, d):
+    """Instants in values at any depth, escaped ones too; those in names, and of 2025, don't count."""
+    from .plans.context import instant_ranges
+
+    at = lambda n: F.date_format(F.col("ts") + F.expr(f"interval {n} days"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    text = F.concat(F.lit('{"1990-01-01T00:00:00Z":[{"x":"'), F.replace(at(2), F.lit("-"), F.lit("\\u002d")), F.lit('"}, "see '), at(1), F.lit(' there", 5],"b" : {"c":{"d":"'), at(0), F.lit('"}},"2190-01-01T00:00:00Z" : "2025-01-01T00:00:00Z \\" x","e":null}'))
+    got = instant_ranges(_t(spark, d, "events").select("user_id", "event_id", text.alias("json")), "json")
+    utc = lambda c: F.to_utc_timestamp(c, F.current_timezone()).cast("timestamp_ntz")
+    return got.select(F.col("user_id").alias("patient"), "event_id", utc("first").alias("first_at"), utc("last").alias("last_at"))
+
+
 _COVER = """
 WITH t AS (SELECT DISTINCT role AS template_id, CASE WHEN turn % 2 = 0 THEN 'clinical' ELSE 'patient' END AS perspective, text FROM conversations WHERE role IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL),
 n AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('/', '42', template_id, perspective, text)), template_id, perspective, text) - 1 AS number, count(*) OVER () AS m FROM t),

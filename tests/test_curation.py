@@ -1,5 +1,6 @@
 import glob
 import os
+import random
 
 import duckdb
 import pytest
@@ -53,6 +54,28 @@ def test_distances(spark):
     assert not far("", "") and not far("abc", "abd") and far("a" * 20, "b" * 20) and not far("a" * 100, "a" * 90 + "b" * 10)
 
 
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_greedy_equals_the_sequential_fold(spark, block):
+    r = random.Random(block)
+    base = ["".join(r.choice("abcd ") for _ in range(r.choice([5, 12, 30, 60, 100]))) for _ in range(12)]
+    rows = []
+    for i in range(60):
+        t = list(r.choice(base))
+        for _ in range(r.choice([0, 1, 5, 15])):
+            t[r.randrange(len(t))] = r.choice("xyz")
+        rows.append((r.choice("gh"), i // 2, "".join(t)))
+    rows += [("g", 3, ""), ("g", 4, None), (None, 1, "x" * 40), ("one", 1, "z" * 40), rows[0]]
+    kept = {}
+    for g, o, t in sorted((x for x in rows if x[0] is not None), key=lambda x: (x[0], x[1], x[2] is not None, x[2] or "")):
+        have = kept.setdefault(g, [])
+        far = lambda a, b: bool(a and b) and levenshtein(a, b) >= 10 and levenshtein(a, b) / max(len(a), len(b)) >= 0.15
+        if all(far(t, k) for _, k in have):
+            have.append((o, t))
+    got = C.greedy_distinct(spark.createDataFrame(rows, "g string, o int, t string").repartition(3), "g", "o", "t", block)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(((g, o, t) for g, have in kept.items() for o, t in have), key=str)
+    assert C.greedy_distinct(got.limit(0), "g", "o", "t").count() == 0
+
+
 def test_greedy_is_in_order(spark):
     df = spark.createDataFrame([("g", 1, "a" * 30), ("g", 2, "a" * 25 + "b" * 5), ("g", 3, "c" * 30), ("h", 1, "a" * 30)], "g string, o int, t string")
     assert sorted((r["g"], r["o"]) for r in C.greedy_distinct(df, "g", "o", "t").collect()) == [("g", 1), ("g", 3), ("h", 1)]
@@ -139,19 +162,19 @@ def test_instants_of_all_events(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_greedy_near_dup_judges_long_texts(spark, tmp_path):
+def test_greedy_near_dup_judges_all_turns(spark, tmp_path):
     long_ = ["".join(chr(97 + (i * k + i * i) % 26) for i in range(400)) for k in (3, 5)]
     turns = [(1, 0, "user", long_[0]), (51, 0, "user", long_[0][:-5] + "?????"), (51, 1, "user", long_[1]), (101, 0, "user", "short"), (2, 0, "user", long_[0]), (1, 1, "system", long_[1])]
     spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     kept = {}
     for c, t, role, text in sorted(turns):
         if role == "user":
-            have = kept.setdefault(c % 50, [])
+            have = kept.setdefault(t, [])
             far = lambda a, b: levenshtein(a, b) >= 10 and levenshtein(a, b) / max(len(a), len(b)) >= 0.15
             if all(far(text, k) for _, k in have):
                 have.append((c * 100 + t, text))
     want = sorted((g, o) for g, have in kept.items() for o, _ in have)
-    assert want == [(1, 100), (1, 5101), (1, 10100), (2, 200)]
+    assert want == [(0, 100), (0, 10100), (1, 5101)]
     assert sorted((r["g"], r["o"]) for r in QUERIES["greedy_near_dup"](spark, str(tmp_path)).collect()) == want
 
 
