@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
+from collections.abc import Callable
 from importlib import import_module
 from pathlib import Path
 
@@ -12,12 +14,13 @@ from pyspark.sql import functions as F
 
 from .operators import curation as C
 from .operators.coverage import unused
+from .plans.annotations import PAIRS, placeholders, value_maps, value_sets_of
 from .plans.compiler import Resources
 from .plans.context import value_sets, write_contexts
 from .plans.generate import final_dataset, own_texts, texts_of, write_records
 from .plans.paraphrases import paraphrase
-from .plans.parser import analyze
-from .plans.templates import TEMPLATES
+from .plans.templates import TEMPLATES, tagged, tags
+from .plans.types import faults, run_time_error
 from .schema import QA_RECORD, RESOURCES
 from .sources import files, store
 from .sources.bundles import read_bundles, read_tables, resources, write_tables
@@ -55,9 +58,13 @@ def cmd_generate(a: argparse.Namespace) -> None:
     spark = _spark()
     with store.Scratch(spark) as keep:
         res = _stored_tables(spark, a.bundles, f"{keep.path}/tables")
-        contexts = write_contexts(res, _patients(spark, res, a.patient_ids), f"{keep.path}/contexts")
-        out = write_records(res, contexts, f"{keep.path}/records", a.templates or None, n=a.n, answers=a.evaluate, seed=a.seed, mode="compat" if a.compat else "calendar")
-        files.write_jsonl(out, files.jsonl_path(a.output))
+        contexts = write_contexts(res, _patients(spark, res, a.patient_ids), f"{keep.path}/contexts", valuesets=_own_values(spark, a.valuesets))
+        out = write_records(res, contexts, f"{keep.path}/records", _chosen(a), n=a.n, answers=a.evaluate, seed=a.seed, mode="compat" if a.compat else "calendar")
+        files.write_jsonl(_annotated(out, a), files.jsonl_path(a.output))
+
+
+def _annotated(records: DataFrame, a: argparse.Namespace) -> DataFrame:
+    return records if a.annotated else records.drop("s_placeholders", "t_placeholders", "question_template")
 
 
 def cmd_add_splits(a: argparse.Namespace) -> None:
@@ -128,12 +135,12 @@ def cmd_final_dataset(a: argparse.Namespace) -> None:
     if not a.resume:
         store.remove(spark, a.work)
     res = _stored_tables(spark, a.bundles, f"{a.work}/tables")
-    contexts = write_contexts(res, _patients(spark, res, a.patient_ids), f"{a.work}/contexts")
-    texts = own_texts(spark, a.templates)
+    contexts = write_contexts(res, _patients(spark, res, a.patient_ids), f"{a.work}/contexts", valuesets=_own_values(spark, a.valuesets))
+    texts = own_texts(spark, _chosen(a))
     if a.paraphrases:
         texts = texts_of(C.paraphrases_of_split(*(files.read_map_of_lists(spark, p) for p in a.paraphrases), files.read_split_map(spark, a.split_file), a.split))
-    records = final_dataset(res, contexts, texts, f"{a.work}/run", a.templates or None, a.seed, "compat" if a.compat else "calendar", a.quota, a.attempts, a.passes, a.rounds)
-    files.write_jsonl(records.drop("number", "pass").withColumn("split", F.lit(a.split)), files.jsonl_path(a.output))
+    records = final_dataset(res, contexts, texts, f"{a.work}/run", _chosen(a), a.seed, "compat" if a.compat else "calendar", a.quota, a.attempts, a.passes, a.rounds)
+    files.write_jsonl(_annotated(records, a).drop("number", "pass").withColumn("split", F.lit(a.split)), files.jsonl_path(a.output))
     if n := unused(f"{a.work}/run", spark).count():
         print(f"{n} texts have no answer", file=sys.stderr)
 
@@ -149,13 +156,70 @@ def cmd_valuesets(a: argparse.Namespace) -> None:
 
 
 def cmd_validate(a: argparse.Namespace) -> None:
-    """Says what is wrong with paths, all templates' without arguments."""
-    wrong = {p: e for p in (a.paths or [t.path() for t in TEMPLATES.values()]) if (e := analyze(p))}
-    for path, error in wrong.items():
-        print(f"{path}: {error}")
+    """Says what is wrong with paths, all templates' without arguments: syntax and types, and with --bundles what comes up when they are run."""
+    wrong = {p: e for p in (a.paths or [t.path() for t in TEMPLATES.values()]) if (e := faults(p))}
+    if a.bundles:
+        spark = _spark()
+        res = resources(read_bundles(spark, a.bundles))
+        q = res.table("Patient").select(F.col("patient_id").alias("question_id"), "patient_id").distinct()
+        slots = sorted({s for t in TEMPLATES.values() for s in t.slots[1:]})
+        q = q.select("*", *(F.lit(None).cast("double" if s.endswith("_value") else "string").alias(s) for s in slots))
+        wrong |= {p: [e] for p in a.paths or [t.path() for t in TEMPLATES.values()] if p not in wrong and (e := run_time_error(res, p, q))}
+    for path, errors in wrong.items():
+        for error in errors:
+            print(f"{path}: {error}")
     sys.exit(bool(wrong))
 
 
+def cmd_check_setup(a: argparse.Namespace) -> None:
+    """Says whether what the other commands need is there: Spark, a shared folder, and the files that are named."""
+    checks: dict[str, Callable[[], object]] = {"Spark starts": lambda: _spark().range(1).count(), "the shared folder takes tables": lambda: store.cut(_spark().range(1)).count(), "all templates are well typed": lambda: not [t for t in TEMPLATES.values() if faults(t.path())] or 1 / 0}
+    if a.bundles:
+        checks["bundles have patients"] = lambda: resources(read_bundles(_spark(), a.bundles)).table("Patient").count() or 1 / 0
+    if a.patient_ids:
+        checks["patient ids are there"] = lambda: files.read_ids(_spark(), a.patient_ids).count() or 1 / 0
+    for name in a.paraphrases or ():
+        checks[f"{name} has paraphrases"] = lambda name=name: files.read_map_of_lists(_spark(), name).count() or 1 / 0
+    bad = 0
+    for what, check in checks.items():
+        try:
+            check()
+            print(f"ok    {what}")
+        except Exception as e:  # noqa: BLE001  whatever it is, it is reported
+            bad += 1
+            print(f"fault {what}: {str(e).splitlines()[0] if not isinstance(e, ZeroDivisionError) else 'nothing found'}")
+    sys.exit(bool(bad))
+
+
+def cmd_annotations(a: argparse.Namespace) -> None:
+    """Value sets of annotated questions (JSON lines with val_dict): one file per category and placeholder, and the values by name."""
+    entries = _spark().read.text(a.input, wholetext=False).select(F.monotonically_increasing_id().alias("line"), F.get_json_object("value", "$.val_dict").alias("json"))
+    with store.Scratch(_spark()) as keep:
+        found = keep(placeholders(entries, "line", "json"))
+        out = Path(a.output)
+        out.mkdir(parents=True, exist_ok=True)
+        for row in value_sets_of(found).toLocalIterator():
+            (out / f"{row['category']}.{row['name']}.json").write_text(json.dumps(row["values"], ensure_ascii=False))
+        for kind in PAIRS:
+            rows = value_maps(found, "line").filter(F.col("kind") == kind)
+            (out / f"{kind}_values.json").write_text(files.to_sorted_object(rows, "name", "values").first()["json"] or "{}")
+
+
+def _chosen(a: argparse.Namespace) -> list[str]:
+    """The templates that --templates and --tags name, without those of --exclude."""
+    named = set(a.templates or ()) | {t for tag in a.tags or () for t in tagged(tag)}
+    return [t for t in TEMPLATES if (t in named or not (a.templates or a.tags)) and t not in (a.exclude or ())]
+
+
+def _own_values(spark: SparkSession, folder: str | None) -> dict[str, DataFrame] | None:
+    """The value sets that patients' own values have to be in, by slot."""
+    if not folder:
+        return None
+    every = files.read_valuesets(spark, folder)
+    names = [r["name"] for r in every.select("name").distinct().collect()]  # a row per file
+    return {n: every.filter(F.col("name") == n).select("value") for n in names}
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="pathspark")
     sub = p.add_subparsers(required=True)
@@ -165,7 +229,7 @@ def parser() -> argparse.ArgumentParser:
         c.set_defaults(run=f)
         return c
 
-    c = command("generate", cmd_generate)
+    choosing = [c := command("generate", cmd_generate)]
     c.add_argument("bundles")
     c.add_argument("output")
     c.add_argument("--patient-ids", help="a file with one id per line")
@@ -203,7 +267,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("input")
     c.add_argument("output", nargs="?", default="review.csv")
     c.add_argument("--analyze-only", action="store_true")
-    c = command("final-dataset", cmd_final_dataset)
+    choosing.append(c := command("final-dataset", cmd_final_dataset))
     for x in ("bundles", "work", "output"):
         c.add_argument(x)
     c.add_argument("--patient-ids", help="a file with one id per line")
@@ -218,7 +282,21 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--seed", type=int, default=42)
     c.add_argument("--compat", action="store_true", help="windows that keep the time of day")
     c.add_argument("--resume", action=argparse.BooleanOptionalAction, default=True)
-    command("validate", cmd_validate).add_argument("paths", nargs="*")
+    c = command("validate", cmd_validate)
+    c.add_argument("paths", nargs="*")
+    c.add_argument("--bundles", help="run the paths over these")
+    c = command("check-setup", cmd_check_setup)
+    c.add_argument("--bundles")
+    c.add_argument("--patient-ids")
+    c.add_argument("--paraphrases", nargs="*")
+    c = command("annotations", cmd_annotations)
+    c.add_argument("input")
+    c.add_argument("output")
+    for c in choosing:
+        c.add_argument("--tags", nargs="*", choices=tags(), help="templates with one of these")
+        c.add_argument("--exclude", nargs="*", choices=sorted(TEMPLATES))
+        c.add_argument("--valuesets", help="a folder of value sets that patients' own values have to be in")
+        c.add_argument("--annotated", action=argparse.BooleanOptionalAction, default=True, help="keep templates and slot values")
     return p
 
 

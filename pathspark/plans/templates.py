@@ -93,6 +93,20 @@ def register_template(template_id: str, resource: str, criteria: list[str] | str
     return t
 
 
+def tags_of(t: Template) -> tuple[str, ...]:
+    """What templates are found by: their result, resource type and slots, and whether they have a window, or pick one resource."""
+    return (t.result, t.resource, *t.slots[1:], *(["windowed"] if t.window else []), *(["picked"] if t.exact else []))
+
+
+def tagged(tag: str) -> list[str]:
+    """The ids of the templates with a tag."""
+    return [k for k, t in TEMPLATES.items() if tag in tags_of(t)]
+
+
+def tags() -> list[str]:
+    return sorted({x for t in TEMPLATES.values() for x in tags_of(t)})
+
+
 def _all() -> None:
     add = register_template
     enc, obs, mr, ma, proc, cond = "Encounter", "Observation", "MedicationRequest", "MedicationAdministration", "Procedure", "Condition"

@@ -95,3 +95,43 @@ def test_final_dataset_uses_all_paraphrases_and_goes_on(spark, tmp_path, capsys)
     # only pA has a lab test
     assert [r["patient_id"] for r in made if r["question_template_id"] == "time-lab-test"] == ["pA"]
     capsys.readouterr()
+
+
+def test_tags_exclusions_and_value_sets(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "pA.json").write_text(json.dumps(PA))
+    (tmp_path / "v").mkdir()
+    (tmp_path / "v" / "drug_name.json").write_text(json.dumps(["heparin"]))
+    cli.main(["generate", str(tmp_path / "b"), str(tmp_path / "q"), "--tags", "Patient", "--templates", "has-drug-prescribed", "--exclude", "patient-birth-date", "--valuesets", str(tmp_path / "v"), "--no-evaluate", "--n", "6"])
+    made = lines(tmp_path / "q.jsonl")
+    assert {r["question_template_id"] for r in made} == {"patient-gender", "has-drug-prescribed"}
+    assert {r["s_placeholders"]["drug_name"] for r in made if "drug_name" in r["s_placeholders"]} == {"Heparin"}
+    cli.main(["generate", str(tmp_path / "b"), str(tmp_path / "p"), "--templates", "patient-gender", "--no-annotated"])
+    assert [set(r) & {"s_placeholders", "question_template"} for r in lines(tmp_path / "p.jsonl")] == [set()]
+
+
+def test_setup_and_validation_with_data(spark, tmp_path, capsys):
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "pA.json").write_text(json.dumps(PA))
+    (tmp_path / "c.json").write_text("{}")
+
+    def run(*args):
+        with pytest.raises(SystemExit) as e:
+            cli.main(list(args))
+        return bool(e.value.code), capsys.readouterr().out
+
+    good, bad = "Bundle.entry.resource.where(resourceType = 'Encounter').count()", "Bundle.entry.resource.where(resourceType = 'Encounter').nothing"
+    assert run("validate", good, "--bundles", str(tmp_path / "b")) == (False, "")
+    code, said = run("validate", good, bad)
+    assert code and said.count("\n") == 1 and "there is no nothing" in said
+    assert not run("check-setup", "--bundles", str(tmp_path / "b"))[0]
+    code, said = run("check-setup", "--bundles", str(tmp_path / "none"), "--paraphrases", str(tmp_path / "c.json"))
+    assert code and said.count("fault") == 2 and said.count("ok ") == 3
+
+
+def test_annotated_value_sets(spark, tmp_path):
+    rows = [{"val_dict": {"val_placeholder": {"drug_name1": "A", "lab_name": "L", "lab_value": [1, 2]}}}, {"val_dict": {"val_placeholder": {"drug_name": ["é"]}}}, {"x": 1}]
+    (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    cli.main(["annotations", str(tmp_path / "a.jsonl"), str(tmp_path / "o")])
+    read = lambda name: json.loads((tmp_path / "o" / f"{name}.json").read_text())
+    assert read("val_placeholder.drug_name") == ["A", "é"] and read("lab_values") == {"L": ["1", "2"]} and read("vital_values") == {}
