@@ -64,20 +64,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents in which a window of ten words of a benchmark item occurs."""
+    """Drops the documents in which a window of ten words of a benchmark item occurs. A null or empty text has no words and stays, as does
+    every row whose text is clean, with or without an id; repeated rows stay or go together, and an empty table gives an empty one."""
     found = contamination(docs.select(_row(docs)), table(spark, sf_dir, "benchmark"), ["row"], key="row.doc_id", text="row.text")
     return found.filter(~F.col("contaminated")).select("row.*")
 
 
 @_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources with weights 5, 2, 1 of 150 % of all words: a row for each time that the mix takes a document."""
+    """The mix of sources with weights 5, 2, 1 of 150 % of all words: a row for each time that the mix takes a document, twice at most. Rows
+    without words take no room and are in the mix; a null source is one of its own; equal rows count each; an empty table gives an empty one."""
     return mix_sources(docs.select(_row(docs)), names={"key": "row.doc_id", "text": "row.text", "source": "row.source"}).select("row.*")
 
 
 @_stage
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token files and returns what is read back: doc_id, start, n_tokens, ids_crc32, a row for each row given."""
+    """Writes the token files and returns what is read back: doc_id, start, n_tokens, ids_crc32, a row for each row given. Null and empty
+    texts have the end id alone; rows of one id, or without one, come one after another; an empty table gives an empty one."""
     return token_output(docs)
 
 
