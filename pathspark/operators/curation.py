@@ -41,9 +41,9 @@ def different(a: Column, b: Column, edit: int = MIN_EDIT, normalised: float = MI
 def difference_reason(a: Column, b: Column, edit: int = MIN_EDIT, normalised: float = MIN_NORMALISED) -> Column:
     d, share = F.levenshtein(a, b), T.normalised_levenshtein(a, b)
     return (
-        F.when(d < edit, F.format_string(f"edit distance too low: %s < {edit}", d.cast("string")))
+        F.when(d < edit, F.format_string(f"%s edits apart, fewer than {edit}", d.cast("string")))
         .when(share.isNull(), "empty text")
-        .when(share < normalised, F.concat(F.lit("normalized distance too low: "), F.format_string("%.3f", share), F.lit(f" < {normalised}")))
+        .when(share < normalised, F.format_string(f"%.3f of the longer text edited, less than {normalised}", share))
     )
 
 
@@ -161,8 +161,8 @@ def slot_reason(paraphrase: Column, required: Column, pattern: str = T.MASK) ->
     """Null where the paraphrase has exactly the required slots, else which are missing and which are extra."""
     found, required = T.slots(paraphrase, pattern), F.array_sort(F.array_distinct(required))
     missing, extra = F.array_except(required, found), F.array_except(found, required)
-    part = lambda what, a: F.when(F.size(a) > 0, F.concat(F.lit(f"{what} slots: ['"), F.array_join(F.array_sort(a), "', '"), F.lit("']")))
-    return F.when(found != required, F.concat_ws("; ", part("missing", missing), part("extra", extra)))
+    part = lambda what, a: F.when(F.size(a) > 0, F.concat(F.lit(f"{what} "), F.array_join(F.array_sort(a), ", ")))
+    return F.when(found != required, F.concat_ws("; ", part("lacks", missing), part("adds", extra)))
 
 
 def filter_chain(df: DataFrame, reasons: dict[str, Column]) -> DataFrame:

@@ -46,7 +46,7 @@ def test_masks(spark):
     assert values(spark, [t], T.mask) == ["Has X_PATIENT_ID_X X_TIME_FILTER_GLOBAL1_X X_DRUG_NAME1_X X_DRUG_NAME_X?"]
     assert values(spark, [t], lambda c: T.unmask(T.mask(c), c)) == [t]
     need = F.array(F.lit("X_A_X"), F.lit("X_B_X"))
-    assert values(spark, ["X_A_X and X_B_X", "X_A_X X_C_X"], lambda c: C.slot_reason(c, need)) == [None, "missing slots: ['X_B_X']; extra slots: ['X_C_X']"]
+    assert values(spark, ["X_A_X and X_B_X", "X_A_X X_C_X"], lambda c: C.slot_reason(c, need)) == [None, "lacks X_B_X; adds X_C_X"]
 
 
 def test_distances(spark):
