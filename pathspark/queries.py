@@ -548,6 +548,9 @@ def everything_of_patients(spark, d):
     rows = lambda kind, table, key, patient=null, **more: table.select(
         patient.alias("patient_id"), F.monotonically_increasing_id().alias("ord"), F.to_json(F.struct(F.lit(kind).alias("resourceType"), key.cast("string").alias("id"), *(v.alias(k) for k, v in more.items()))).alias("resource"))
     entries = rows("Encounter", _lines(spark, d), F.expr(_LINE), F.col("o_custkey").cast("string"), location=F.array(F.struct(link("Location", "l_suppkey").alias("location"))))
+    # an earlier version of each encounter, which was elsewhere, doesn't count
+    before = rows("Encounter", _lines(spark, d), F.expr(_LINE), F.col("o_custkey").cast("string"), location=F.array(F.struct(link("Location", "l_linenumber").alias("location"))))
+    entries = entries.unionByName(before.withColumn("ord", -1 - F.col("ord")))
     entries = entries.unionByName(rows("Location", _t(spark, d, "supplier"), F.col("s_suppkey"), managingOrganization=link("Organization", "s_nationkey")))
     entries = entries.unionByName(rows("Organization", _t(spark, d, "nation"), F.col("n_nationkey")))
     kind = F.get_json_object("resource", "$.resourceType")
