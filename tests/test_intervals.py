@@ -88,3 +88,16 @@ def test_value_sets_scan_each_type_once(spark):
     got = value_sets(res, res.table("Observation").select("patient_id").distinct(), ["lab_name", "output_name", "vital_name", "vital_value", "lab_value"])
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == 2  # the patients, and all slots
+
+
+def test_only_keys_with_many_instants_are_split_by_time(spark, monkeypatch):
+    r = random.Random(5)
+    w = spark.createDataFrame([(i, r.choice("abc"), START + timedelta(days=i), START + timedelta(days=i + r.choice([0, 3, 300]))) for i in range(60)], "w int, k string, lo timestamp, hi timestamp")
+    e = spark.createDataFrame([(i, "aaab"[i % 4] if i % 50 else "c", START + timedelta(hours=7 * i)) for i in range(400)], "e int, ek string, t timestamp")
+    pairs = lambda: interval_join(w, e, ("k", "ek"), "lo", "hi", "t")
+    assert "Generate" not in pairs()._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted((x["w"], x["e"]) for x in w.join(e, (F.col("k") == F.col("ek")) & F.col("t").between(F.col("lo"), F.col("hi"))).collect())
+    assert sorted((x["w"], x["e"]) for x in pairs().select("w", "e").collect()) == want and len(want) > 500
+    monkeypatch.setattr("pathspark.operators.intervals.FEW", 100)  # a alone has more
+    assert "Generate" in pairs()._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((x["w"], x["e"]) for x in pairs().select("w", "e").collect()) == want
