@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from ._common import cell_batches, gram_hashes, in_map, mix64, pair_keys, pieces, range_hashes, release, sketch, stored, table, word_hashes, words_of
 
-#: Cells of the sketch of shingle counts as a power of 2; its two bitmaps, 2**bits / 8 bytes each, go to every executor.
-BITS = 28
+#: Cells of the sketch of shingle counts as a power of 2, by the size of the table: about three for each word. Its two bitmaps, 2**bits / 8
+#: bytes each, go to every executor.
+LEAST_BITS, MOST_BITS = 28, 30
 #: From so many documents on (or more, where the sketch is crowded) a shingle is frequent.
 FREQUENT = 64
 #: Shingles of one share of a component: two shares meet in one task.
@@ -323,7 +324,30 @@ def as_words(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.frombuffer(data, "<u8", count=width * (column.offset + len(column))).reshape(-1, width)[column.offset :]
 
 
-def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 85, bits: int = BITS, frequent: int = FREQUENT, bucket: int = BUCKET, share: int = SHARE) -> Join:
+def _sets(rows: DataFrame, candidates: DataFrame, shingle: int) -> DataFrame:
+    """(key, members) of the sets in candidates, and of the few that share a cell of a bitmap with one. They are made from the texts again:
+    most sets of a large table have signatures, but few have candidates, and a set is larger than its text."""
+    bits = min(28, max(16, (16 * candidates.count()).bit_length()))
+
+    def cells(batches):  # twice each, as a sketch marks what comes twice
+        yield from cell_batches((np.repeat(as_words(b.column("key"), 2)[:, 0], 2) for b in batches), bits)
+
+    known = rows.sparkSession.sparkContext.broadcast(sketch(candidates.select("key").mapInArrow(cells, "block int, cells binary"), bits, 1 << 30)[0])
+
+    def made(batches):
+        seen: set[bytes] = set()
+        for batch in batches:
+            for _, sets, keys in _sets_of(batch, shingle):
+                key_list = keys.to_pylist()
+                some = np.flatnonzero(in_map(known.value, as_words(keys, 2)[:, 0], bits)).tolist()
+                some = [i for i in some if len(sets[i]) and key_list[i] not in seen and not seen.add(key_list[i])]
+                if some:
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(some)), pa.array([sets[i].tobytes() for i in some], pa.binary())], ["key", "members"])
+
+    return rows.mapInArrow(made, "key binary, members binary")
+
+
+def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, percent: int = 85, bits: int | None = None, frequent: int = FREQUENT, bucket: int = BUCKET, share: int = SHARE) -> Join:
     """Joins all whole texts of docs with each other. Equal sets are one key, so copies are never paired. All links are found and
     counted, and the components are exact; pairs are never rows of a table.
 
@@ -331,6 +355,8 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     results. Other columns of docs are not looked at, whatever their names. percent is from 1 to 100."""
     spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text"))
+    if bits is None:  # a word is some 6 characters
+        bits = min(MOST_BITS, max(LEAST_BITS, (rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // 2).bit_length()))
 
     def count(batches):
         def found():
@@ -345,7 +371,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     twice, often, _ = sketch(rows.mapInArrow(count, "block int, cells binary"), bits, frequent)
     maps = spark.sparkContext.broadcast((twice, often))
     doc_type = docs.schema[key].dataType.simpleString()
-    names = ["key", "doc", "n", "sig", "cap", "parity", "members", "kind"]
+    names = ["key", "doc", "n", "sig", "cap", "parity", "kind"]
 
     def sign(batches):
         twice, often = maps.value
@@ -355,7 +381,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
                 n = np.array([len(s) for s in sets], np.int32)
 
                 def rows(kind, keys, n, part=part, **given):
-                    kinds = {"doc": part.column("doc").type, "sig": pa.int64(), "cap": pa.int32(), "parity": pa.binary(), "members": pa.binary()}
+                    kinds = {"doc": part.column("doc").type, "sig": pa.int64(), "cap": pa.int32(), "parity": pa.binary()}
                     columns = {k: given.get(k, None) for k in kinds}
                     columns = {k: pa.nulls(len(n), kinds[k]) if v is None else v for k, v in columns.items()}
                     columns |= {"key": keys, "n": pa.array(n), "kind": pa.array(np.full(len(n), kind, np.int8))}
@@ -383,14 +409,13 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
                     their, size = keys.take(pa.array(kept)), n[kept]
                     sig, cap = (np.concatenate([f[k] for f in found]) for k in (0, 1))
                     yield rows(1, their.take(pa.array(owner)), size[owner], sig=pa.array(sig.view(np.int64)), cap=pa.array(cap.astype(np.int32)), parity=parity.take(pa.array(owner)))
-                    yield rows(2, their, size, members=pa.array([s.tobytes() for s in own], pa.binary()))
 
-    made = stored(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(sign, f"key binary, doc {doc_type}, n int, sig long, cap int, parity binary, members binary, kind tinyint"), "signatures")
+    made = stored(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).mapInArrow(sign, f"key binary, doc {doc_type}, n int, sig long, cap int, parity binary, kind tinyint"), "signatures")
     members = made.filter(F.col("kind") == 0).select("key", "doc", "n")
     edges = stored(_edges(made, percent, bucket), "edges")
     release(spark)
     candidates = components(edges)
-    join = Join(members, None, candidates, made.filter(F.col("kind") == 2).select("key", "members"), percent)
+    join = Join(members, None, candidates, _sets(rows, candidates, shingle), percent)
     join.linked = _linked(join, share)
     return join
 

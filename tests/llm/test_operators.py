@@ -661,3 +661,16 @@ def test_long_words_are_hashed_at_once():
     assert time.perf_counter() - began < 1
     assert len(set(got.tolist())) == 6 and got[0] == got[7] and got[1] == got[5]
     assert (_common.word_hashes(pa.array(["x", *words]).slice(1)) == got).all() and (got[[0, 2]] == _common.word_hashes(pa.array(["a", "b" * 256]))).all()
+
+
+def test_jaccard_makes_the_sets_of_candidates_alone(spark):
+    """Where the sketch is crowded, nearly all sets have signatures."""
+    from pathspark.llm.jaccard import component_ids, jaccard_join
+
+    r = random.Random(3)
+    docs = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(100))) for i in range(2000)]
+    docs += [(5000, docs[7][1] + " more"), (5001, docs[8][1])]
+    join = jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"), bits=16)
+    assert join.sets.count() < 100
+    linked = {x["doc"]: x["component_id"] for x in component_ids(join).collect()}
+    assert linked == {i: i for i, _ in docs} | {5000: 7, 5001: 8}
