@@ -116,6 +116,21 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES):
         yield batch.slice(at)
 
 
+def give_back() -> None:
+    """Large arrays that are freed go back to the system at once, those of Arrow too: a Python worker serves many tasks, and would keep the
+    most that any of them has held. Where the C library isn't GNU's, nothing changes."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):
+        import ctypes
+
+        mallopt = ctypes.CDLL(None).mallopt
+        mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+        mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+
+
+give_back()
+
+
 def as_array(column) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
