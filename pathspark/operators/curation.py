@@ -31,10 +31,11 @@ MIN_EDIT, MIN_NORMALISED, MIN_COSINE = 10, 0.15, 0.7
 
 def different(a: Column, b: Column, edit: int = MIN_EDIT, normalised: float = MIN_NORMALISED) -> Column:
     """Far enough apart, by absolute and by normalised edit distance; empty texts are not. Texts whose lengths differ by as much need no
-    distance."""
+    distance, and no distance is taken further than what decides."""
     longer, by_length = F.greatest(F.length(a), F.length(b)), F.abs(F.length(a) - F.length(b))
     surely = (by_length >= edit) & (by_length >= normalised * longer) & (F.least(F.length(a), F.length(b)) > 0)
-    measured = (F.levenshtein(a, b) >= edit) & (T.normalised_levenshtein(a, b) >= normalised)
+    distance = F.call_function("levenshtein", a, b, F.greatest(F.lit(edit), F.ceil(normalised * longer).cast("int")))  # -1: further
+    measured = (distance < 0) | (distance >= edit) & (distance / F.nullif(longer, F.lit(0)) >= normalised)
     return F.coalesce(F.when(surely, F.lit(True)).otherwise(measured), F.lit(False))
 
 
@@ -47,32 +48,52 @@ def difference_reason(a: Column, b: Column, edit: int = MIN_EDIT, normalised: fl
     )
 
 
-def greedy_distinct(df: DataFrame, group: str, order: str, text: str, block: int = 64) -> DataFrame:
+def greedy_distinct(df: DataFrame, group: str, order: str, text: str, block: int = 1024) -> DataFrame:
     """Per group, in order (equal places by text): keeps a text if it is different from all texts kept before.
 
-    All groups go on together, in rounds. A round takes the next `block` texts of each group that nothing kept so far is near to, decides
-    them in order, as one small array, and drops the texts behind them that are near to one of those that it keeps: each kept text meets each
-    later one once, which is what the order asks for, and no group is ever one row or one task's array. So there are as many rounds as the
-    group with the most kept texts has blocks of them."""
-    place = lambda p="": F.struct(F.col(p + order).alias("o"), F.col(p + text).alias("t"))
-    left = df.select(group, order, text).filter(F.col(group).isNotNull())
-    left, kept = cut(left), None
-    nothing = F.expr("cast(array() as array<int>)")
-    while not left.isEmpty():
-        rank = F.row_number().over(Window.partitionBy(group).orderBy(order, text))
-        first = left.withColumn("_n", rank).filter(F.col("_n") <= block)
-        lists = first.groupBy(group).agg(F.array_sort(F.collect_list(place())).alias("_all"), F.max(place()).alias("_last"))
-        # the places in _all of those kept
-        near = lambda acc, i: F.exists(acc, lambda k: ~different(F.get("_all", i)["t"], F.get("_all", k)["t"]))
-        chosen = F.aggregate(F.sequence(F.lit(0), F.size("_all") - 1), nothing, lambda acc, i: F.when(near(acc, i), acc).otherwise(F.concat(acc, F.array(i))))
-        decided = cut(lists.select(F.col(group).alias("_g"), F.transform(chosen, lambda i: F.get("_all", i)).alias("_kept"), "_last"))
-        new = decided.select("_g", F.inline("_kept")).select("_g", F.col("o").alias("_o"), F.col("t").alias("_t"))
-        kept = new if kept is None else kept.unionByName(new)
-        behind = left.join(decided.select("_g", "_last"), F.col(group) == F.col("_g")).filter(place() > F.col("_last")).drop("_g", "_last")
-        left = cut(behind.join(new, (F.col(group) == F.col("_g")) & ~different(F.col(text), F.col("_t")), "left_anti"))
-    if kept is None:
-        return left
-    return kept.select(F.col("_g").alias(group), F.col("_o").alias(order), F.col("_t").alias(text))
+    Only a text's first place counts, as a copy is near to what decided it. All groups go on together, in rounds: the first `block` places of
+    each, then twice as many in each round. A round finds the near pairs among its texts that are left, decides these in order, and drops the
+    texts behind that are near to one that it keeps. So there are as many rounds as the largest group has doublings of `block`; near pairs
+    come from tiles of bounded size, and no group is ever one row or one task's array."""
+    from .tiles import TILE, band, near_pairs, signature
+
+    rows = df.select(F.col(group).alias("g"), F.col(order).alias("o"), F.col(text).alias("t")).filter(F.col("g").isNotNull())
+    first = rows.groupBy("g", "t").agg(F.min(F.struct("o")).alias("_o")).select("g", F.col("_o.o").alias("o"), "t")
+    # a text that is null is near to all: it is kept if it is the first, and then nothing else is
+    groups = first.groupBy("g").agg(F.min(F.struct("o", "t")).alias("_first"), F.count("t").alias("_size"))
+    alone = groups.filter(F.col("_first.t").isNull()).select("g", "_first.o", "_first.t")
+    sizes = groups.filter(F.col("_first.t").isNotNull()).select(F.col("g").alias("_g"), "_size")
+    placed = numbered(first.filter(F.col("t").isNotNull()).join(sizes, F.col("g") == F.col("_g")).drop("_g"), "g", "o", "t", name="id")
+    begins = placed.groupBy(F.col("g").alias("_g")).agg(F.min("id").alias("_begin"))
+    near = F.when(F.col("_size") <= TILE, 0).otherwise(band(F.length("t"), MIN_EDIT, MIN_NORMALISED))
+    turn = F.floor(F.log2((F.col("id") - F.col("_begin")) / block + 1)).cast("int")
+    left = cut(placed.join(begins, F.col("g") == F.col("_g")).select("id", "g", "o", "t", near.alias("band"), turn.alias("turn"), signature("t").alias("sig")))
+    out, last = [alone], left.agg(F.max("turn")).first()[0]
+    pairs = lambda x, y, ordered: near_pairs(x, y, different, MIN_EDIT, MIN_NORMALISED, ordered)
+    for n in range(0 if last is None else last + 1):
+        now, behind = left.filter(F.col("turn") == n), left.filter(F.col("turn") > n)
+        kept = cut(now.join(_later_of_kept(pairs(now, now, True)), "id", "left_anti"))
+        out.append(kept.select("g", "o", "t"))
+        if n < last:
+            left = cut(behind.join(pairs(kept, behind, False).select(F.col("b").alias("id")), "id", "left_anti"))
+    kept = out[0]
+    for more in out[1:]:
+        kept = kept.unionByName(more)
+    return kept.select(F.col("g").alias(group), F.col("o").alias(order), F.col("t").alias(text))
+
+
+def _later_of_kept(edges: DataFrame) -> DataFrame:
+    """The ids that are not kept when those of edges (a, b), a below b, are decided in order. Each step keeps all that have no undecided one
+    before them, and drops their neighbours: as many steps as the longest chain has links that decide each other."""
+    edges, gone = cut(edges.distinct()), None
+    while not edges.isEmpty():
+        kept = edges.select(F.col("a").alias("k")).distinct().join(edges.select(F.col("b").alias("k")).distinct(), "k", "left_anti")
+        now = cut(edges.join(kept, F.col("a") == F.col("k")).select(F.col("b").alias("id")).distinct())
+        gone = now if gone is None else gone.unionByName(now)
+        for end in ("a", "b"):
+            edges = edges.join(now, F.col(end) == F.col("id"), "left_anti")
+        edges = cut(edges)
+    return edges.select(F.col("b").alias("id")) if gone is None else gone
 
 
 # -- splits and holdouts

@@ -76,6 +76,25 @@ def test_greedy_equals_the_sequential_fold(spark, block):
     assert C.greedy_distinct(got.limit(0), "g", "o", "t").count() == 0
 
 
+def test_greedy_meets_near_texts_of_other_tiles_and_lengths(spark, monkeypatch):
+    from pathspark.operators import tiles
+
+    monkeypatch.setattr(tiles, "TILE", 8)
+    r, rows, kept = random.Random(5), [], []
+    for i in range(110):
+        t = list("".join(r.choice("abcdeé😀 ") for _ in range(r.randrange(1, 130))) if i % 3 == 0 or not rows else r.choice(rows)[2])
+        for _ in range(r.choice([1, 9, 10, 14, 20]) if i % 3 else 0):
+            at = r.randrange(len(t) + 1)
+            t[at : at + r.choice([0, 0, 1])] = r.choice(["x", "y", ""])
+        rows.append(("g", i, "".join(t)))
+    far = lambda a, b: bool(a and b) and levenshtein(a, b) >= 10 and levenshtein(a, b) / max(len(a), len(b)) >= 0.15
+    for _, o, t in rows:
+        if all(far(t, k) for _, k in kept):
+            kept.append((o, t))
+    got = C.greedy_distinct(spark.createDataFrame(rows, "g string, o int, t string"), "g", "o", "t", 16)
+    assert 20 < len(kept) < 100 and sorted((x["o"], x["t"]) for x in got.collect()) == kept
+
+
 def test_greedy_is_in_order(spark):
     df = spark.createDataFrame([("g", 1, "a" * 30), ("g", 2, "a" * 25 + "b" * 5), ("g", 3, "c" * 30), ("h", 1, "a" * 30)], "g string, o int, t string")
     assert sorted((r["g"], r["o"]) for r in C.greedy_distinct(df, "g", "o", "t").collect()) == [("g", 1), ("g", 3), ("h", 1)]
