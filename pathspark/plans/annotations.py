@@ -18,31 +18,64 @@ def as_texts(value: Column) -> Column:
     return F.filter(texts, lambda t: t.isNotNull() & ~t.isin(*EMPTY))
 
 
+def texts_of(entries: DataFrame, column: str) -> DataFrame:
+    """The distinct JSON texts of entries: sets and maps of values come from these alone, and each is parsed once."""
+    return entries.select(column).distinct()
+
+
+def placeholders_of(value: Column) -> Column:
+    """The placeholders of one entry, a variant: (category, name, texts) of each that has texts."""
+    inner = lambda v: F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    one = lambda c: F.transform(inner(c["value"]), lambda p: F.struct(c["key"].alias("category"), p["key"].alias("name"), as_texts(p["value"]).alias("texts")))
+    named = F.flatten(F.filter(F.transform(inner(value), one), lambda rows: rows.isNotNull()))
+    return F.filter(named, lambda r: F.size(r["texts"]) > 0)
+
+
 def placeholders(entries: DataFrame, key: str, column: str) -> DataFrame:
     """(key, category, name, texts) of entries with a key and a column of JSON text, which is parsed once. What is no object, or no JSON, has no
     placeholders."""
-    inner = lambda v: F.explode(F.try_variant_get(v, "$", "map<string,variant>"))
-    parsed = entries.select(F.col(key).alias("_k"), F.try_parse_json(column).alias("_v"))
-    named = parsed.select("_k", inner("_v").alias("category", "_c")).select("_k", "category", inner("_c").alias("name", "_p"))
-    return named.select(F.col("_k").alias(key), "category", "name", as_texts(F.col("_p")).alias("texts")).filter(F.size("texts") > 0)
+    # outer, as Spark would compute the list again to leave out empty ones
+    found = entries.select(F.col(key), F.inline_outer(placeholders_of(F.try_parse_json(column))))
+    return found.filter(F.col("texts").isNotNull())
 
 
 def value_sets_of(found: DataFrame) -> DataFrame:
     """(category, name, values) of placeholders(): distinct texts, sorted. Numbered forms of MERGED among the category val_placeholder count for
     the plain name too."""
-    rows = found.select("category", "name", F.explode("texts").alias("value"))
     plain = F.regexp_replace("name", r"\d+$", "")
-    merged = rows.filter((F.col("category") == "val_placeholder") & plain.isin(*MERGED)).withColumn("name", plain)
-    return rows.unionByName(merged).groupBy("category", "name").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    merged = (F.col("category") == "val_placeholder") & plain.isin(*MERGED)
+    names = F.when(merged, F.array_distinct(F.array("name", plain))).otherwise(F.array("name"))
+    rows = found.select("category", names.alias("names"), F.explode_outer("texts").alias("value")).filter(F.col("value").isNotNull())
+    rows = rows.groupBy("category", "names", "value").agg(F.lit(1)).select("category", F.explode("names").alias("name"), "value")
+    return rows.groupBy("category", "name").agg(F.array_sort(F.collect_set("value")).alias("values"))
 
 
 def value_maps(found: DataFrame, key: str) -> DataFrame:
-    """(kind, name, values): the values that entries give under each name, for the pairs of PAIRS with one number, or none, in one entry."""
-    own = found.filter(F.col("category") == "val_placeholder")
-    out = None
-    for kind, (name, value) in PAIRS.items():
-        part = lambda prefix, to: own.filter(F.col("name").startswith(prefix)).select(F.col(key).alias(f"{to}_key"), F.substr("name", F.lit(len(prefix) + 1)).alias(f"{to}_number"), F.explode("texts").alias(to))
-        n, v = part(name, "n"), part(value, "v")
-        rows = n.join(v, (F.col("n_key") == F.col("v_key")) & (F.col("n_number") == F.col("v_number"))).select(F.lit(kind).alias("kind"), F.col("n").alias("name"), F.col("v").alias("value"))
-        out = rows if out is None else out.unionByName(rows)
-    return out.groupBy("kind", "name").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    """(kind, name, values): the values that entries give under each name, for the pairs of PAIRS with one number, or none, in one entry. found
+    is of placeholders(); rows of one key are one entry."""
+    own = found.filter((F.col("category") == "val_placeholder") & F.col(key).isNotNull()).groupBy(key).agg(F.collect_list(F.struct("category", "name", "texts")).alias("_all"))
+    return _maps(own.select(_paired(F.col("_all")).alias("_p")))
+
+
+def value_maps_of(entries: DataFrame, column: str) -> DataFrame:
+    """The same of a column of JSON text, each row of which is an entry: nothing but the pairs is shuffled after that."""
+    return _maps(entries.select(_paired(placeholders_of(F.try_parse_json(column))).alias("_p")))
+
+
+def _paired(found: Column) -> Column:
+    """The (kind, names, values) of one entry's placeholders."""
+
+    def of(kind: str) -> Column:
+        name, value = PAIRS[kind]
+        part = lambda prefix: F.filter(found, lambda r: (r["category"] == "val_placeholder") & r["name"].startswith(prefix))
+        number = lambda r, prefix: F.substr(r["name"], F.lit(len(prefix) + 1))
+        values = lambda n: F.flatten(F.transform(F.filter(part(value), lambda v: number(v, value) == number(n, name)), lambda v: v["texts"]))
+        return F.transform(part(name), lambda n: F.struct(F.lit(kind).alias("kind"), n["texts"].alias("names"), values(n).alias("vals")))
+
+    return F.filter(F.concat(*map(of, PAIRS)), lambda p: F.size(p["vals"]) > 0)
+
+
+def _maps(entries: DataFrame) -> DataFrame:
+    rows = entries.select(F.inline_outer("_p")).select("kind", F.explode_outer("names").alias("name"), "vals")
+    rows = rows.select("kind", "name", F.explode_outer("vals").alias("value")).filter(F.col("value").isNotNull())
+    return rows.groupBy("kind", "name", "value").agg(F.lit(1)).groupBy("kind", "name").agg(F.array_sort(F.collect_set("value")).alias("values"))

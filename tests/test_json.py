@@ -70,6 +70,18 @@ def test_annotations(spark):
     assert {(r["kind"], r["name"]): r["values"] for r in A.value_maps(found, "id").collect()} == {("lab", "L"): ["1", "2", "5.5"], ("lab", "N"): ["5.5"]}
 
 
+def test_annotations_are_parsed_once(spark):
+    from pathspark.queries import QUERIES
+
+    rows = [(json.dumps({"val_placeholder": {"lab_name": n, "lab_value": [v, v + 1]}}),) for n, v in [("L", 1), ("L", 1), ("M", 3), ("L", 5)]]
+    texts = A.texts_of(spark.createDataFrame(rows, "j string"), "j")
+    assert texts.count() == 3
+    assert {(r["kind"], r["name"]): r["values"] for r in A.value_maps_of(texts, "j").collect()} == {("lab", "L"): ["1", "2", "5", "6"], ("lab", "M"): ["3", "4"]}
+    for name in ("annotated_value_sets", "annotated_value_maps"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [l_orderkey") == 1
+
+
 def test_punctuation(spark):
     pairs = [("a , b", "a, b"), ("  a  b ", "a b"), ("x .5 y .", "x .5 y."), ("the patient 's note", "the patient's note"), ("it 'sup", "it 'sup"), ("( a )", "( a)"), ("a\n\nb", "a\n\nb"), ("what ? !", "what?!"), ("", ""), (None, None), (" . ", "."), ("a ] } )b", "a]})b"), ("v :-)", "v:-)"), ("a :b", "a :b")]
     df = spark.createDataFrame([(a, b) for a, b in pairs], "a string, b string")
