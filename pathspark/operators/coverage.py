@@ -4,8 +4,9 @@ Texts and patients are numbered in the order of a hash. Text number i of m begin
 evenly, and tries patients in their order from there, round the circle. It goes to the first that has an answer: the assignment depends on
 the texts, the patients and the seed alone, not on how many attempts a round makes, nor on where an earlier run was cut off.
 
-A round tries several patients for each text that is left, as many as the limit of attempts per patient has room for: few texts that are hard
-to place try many patients at once, so that the number of rounds grows with the logarithm of the work rather than with it. There is one
+A round tries several patients for each text that is left: FIRST in the first round, FANOUT times as many in each round after it, and never
+more than the limit of attempts per patient has room for. Most texts are placed by few attempts, and few that are hard to place try many patients
+at once: the attempts follow the texts rather than the patients, and the number of rounds grows with the logarithm of the work. There is one
 equi-join of attempts and patients by number, and no product of the two sides.
 """
 
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 from ..sources import store
 from .curation import numbered
 
-#: The most patients that one text tries in one round.
+#: The most patients that one text tries in one round; how many it tries in the first, and how many times as many in each later one.
 WIDEST = 1 << 16
+FIRST, FANOUT = 4, 4
 
 
 def _hashed(df: DataFrame, seed: int, *keys: str) -> DataFrame:
@@ -41,11 +43,11 @@ def begin(texts: DataFrame, patients: DataFrame, path: str, seed: int = 42) -> N
         rows.withColumn("home", F.floor(F.col("number") * p / m).cast("long")).write.mode("overwrite").parquet(f"{path}/texts")
 
 
-def attempts_of(left: DataFrame, patients: DataFrame, p: int, attempts: int) -> DataFrame:
-    """The attempts of a round: left's columns, patient_id and j, the how-many-eth patient of its text. A patient has `attempts` of them at
+def attempts_of(left: DataFrame, patients: DataFrame, p: int, attempts: int, n: int) -> DataFrame:
+    """The attempts of round n: left's columns, patient_id and j, the how-many-eth patient of its text. A patient has `attempts` of them at
     most, those that are nearest to their text's next one first; a text has none beyond one that found no room, so that none is skipped."""
     m = left.count()
-    fan = max(1, min(attempts * p // max(m, 1), p, WIDEST))
+    fan = max(1, min(attempts * p // max(m, 1), p, WIDEST, FIRST * FANOUT ** min(n, 20)))
     upto = F.least(F.col("next") + fan, F.lit(p)) - 1
     block = F.sequence(F.col("next"), upto, F.lit(1024))
     rows = left.withColumn("_b", F.explode(block)).withColumn("_to", upto).repartition("number", "_b")
@@ -71,7 +73,7 @@ def sweep(path: str, spark: SparkSession, answer: Callable[[DataFrame, int], Dat
     n = done[-1] + 1 if done else 0
     left = spark.read.parquet(f"{path}/left/cycle={done[-1]}") if done else texts.withColumn("next", F.lit(0).cast("long")).withColumn("pass", F.lit(0))
     while left.count() and p and (rounds is None or n < rounds):
-        rows = attempts_of(left, patients, p, attempts)
+        rows = attempts_of(left, patients, p, attempts, n)
         rows.write.mode("overwrite").partitionBy(*(c for c in ("template_id",) if c in left.columns)).parquet(f"{path}/asked/round={n}")
         asked = spark.read.schema(rows.schema).parquet(f"{path}/asked/round={n}")
         got = answer(asked, n)

@@ -90,6 +90,16 @@ def test_a_run_that_was_cut_off_goes_on_with_the_same_assignment(spark, tmp_path
     assert before <= {(r["text"], r["patient_id"]) for r in got.collect()}
 
 
+def test_attempts_follow_the_texts_and_not_the_patients(spark, tmp_path):
+    asked = []
+    for p in (100, 2000):
+        rows, people, seen = [("a", "clinical", f"t{i}") for i in (1, 2, 3, 4, 6)], [f"p{i}" for i in range(p)], []
+        assert run(spark, str(tmp_path / str(p)), rows, people, seen=seen) == 0
+        assert {tuple(r) for r in coverage.records(str(tmp_path / str(p)), spark).select("template_id", "perspective", "text", "patient_id", "pass", "cycle").collect()} == expected(rows, people, can, 1, 42, 10)
+        asked.append(sum(n for _, n in seen))
+    assert max(asked) <= 5 * (4 + 16 + 64)
+
+
 def test_nothing_to_draw(spark, tmp_path):
     assert run(spark, str(tmp_path / "a"), [], ["p1"]) == 0 and coverage.unused(str(tmp_path / "a"), spark).count() == 0
     assert run(spark, str(tmp_path / "b"), texts(random.Random(1), 3), []) == 3
