@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -160,26 +160,41 @@ INCLUDED = ("Location", "Organization", "Practitioner", "Specimen", "Medication"
 REFERRING = ("Provenance",)
 
 
-def everything(entries: DataFrame, include: tuple[str, ...] = INCLUDED, referring: tuple[str, ...] = REFERRING) -> DataFrame:
-    """(patient_id, ord, resource): all resources of each patient, as bundles have them, from entries of read_ndjson, in which shared
+def everything(entries: DataFrame, include: tuple[str, ...] = INCLUDED, referring: tuple[str, ...] = REFERRING, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(patient_id, ord, resource, ref): all resources of each patient, as bundles have them, from entries of read_ndjson, in which shared
     ones have no patient. A shared one comes with each patient whose resources refer to it, or to one that does; the types in
-    `referring` come with those that they refer to. Of resources with one id the last counts."""
+    `referring` come with those that they refer to. Of resources with one id the last counts.
+
+    Entries are read once. What is stored in between, by `keep` (a Scratch, whose block the result's use has to be in; else until the process
+    ends), are the last version of each resource, and which patient has which shared ones: their text is joined in the result alone."""
     from ..operators.curation import last_wins
-    from .store import cut
+    from .store import release, stored
 
+    keep = keep or stored
+    kind = lambda ref: F.split_part(ref, F.lit("/"), F.lit(1))
+    targets = lambda df, name: df.withColumn(name, F.explode(F.array_distinct(F.regexp_extract_all("resource", F.lit(r'"reference"\s*:\s*"([^"]+)"'), F.lit(1))))).drop("resource", "ord")
     named = F.concat_ws("/", F.get_json_object("resource", "$.resourceType"), F.get_json_object("resource", "$.id"))
-    keyed = last_wins(entries.select("patient_id", "ord", "resource", named.alias("ref")), ["patient_id", "ref"], "ord")
-    kind = F.split_part("ref", F.lit("/"), F.lit(1))
-    targets = lambda df: df.select("patient_id", F.explode(F.array_distinct(F.regexp_extract_all("resource", F.lit(r'"reference"\s*:\s*"([^"]+)"'), F.lit(1)))).alias("ref")).distinct()
-    shared = keyed.filter(F.col("patient_id").isNull()).drop("patient_id")
-    out = fresh = keyed.filter(F.col("patient_id").isNotNull())
-    while True:
-        asked = targets(fresh).filter(kind.isin(*include)).join(out.select("patient_id", "ref"), ["patient_id", "ref"], "left_anti")
-        fresh = cut(shared.join(asked, "ref").select(*out.columns))
-        if fresh.isEmpty():
-            break
-        out = out.unionByName(fresh)
-    about = targets(shared.filter(kind.isin(*referring)).withColumn("patient_id", F.col("ref"))).withColumnRenamed("patient_id", "by")
-    of = about.join(out.select("patient_id", "ref"), "ref").select("patient_id", F.col("by").alias("ref")).distinct()
-    more = shared.join(of.join(out.select("patient_id", "ref"), ["patient_id", "ref"], "left_anti"), "ref")
-    return out.unionByName(more.select(*out.columns)).select("patient_id", "ord", "resource")
+    # dealt by key before they are grouped: versions of one resource are seldom in one task, and sorting them there first gains nothing
+    keyed = keep(last_wins(entries.select("patient_id", "ord", "resource", named.alias("ref")).repartition("patient_id", "ref"), ["patient_id", "ref"], "ord"))
+    release(entries.sparkSession)
+    own, shared = keyed.filter(F.col("patient_id").isNotNull()), keep(keyed.filter(F.col("patient_id").isNull()).drop("patient_id"))
+    links = keep(targets(shared.filter(kind("ref").isin(*include, *referring)), "to"))
+    steps = links.filter(kind("ref").isin(*include) & kind("to").isin(*include))
+    leads = [tuple(r) for r in steps.select(kind("ref"), kind("to")).distinct().collect()]  # names of types, no more pairs than include has
+    pairs = lambda df: df.select("patient_id", "ref")
+    of_kinds = lambda df, kinds: pairs(df).filter(kind("ref").isin(*kinds))
+    fresh = of_kinds(targets(own.drop("ref"), "ref"), include).distinct().join(of_kinds(own, include), ["patient_id", "ref"], "left_anti")
+    found, kinds = (fresh := keep(fresh)), set(include)
+    while (kinds := {b for a, b in leads if a in kinds}) and not fresh.isEmpty():
+        asked = fresh.join(steps, "ref").select("patient_id", F.col("to").alias("ref")).distinct()
+        fresh = keep(asked.join(of_kinds(own, kinds).unionByName(of_kinds(found, kinds)), ["patient_id", "ref"], "left_anti"))
+        found = found.unionByName(fresh)
+    release(entries.sparkSession)
+    columns = ["patient_id", "ord", "resource", "ref"]
+    out = own.select(*columns).unionByName(found.join(shared, "ref").select(*columns))
+    about = links.filter(kind("ref").isin(*referring)).select(F.col("ref").alias("by"), F.col("to").alias("ref"))
+    if about.isEmpty():
+        return out
+    of = about.join(pairs(out), "ref").select("patient_id", F.col("by").alias("ref")).distinct()
+    more = shared.join(of.join(of_kinds(out, referring), ["patient_id", "ref"], "left_anti"), "ref")
+    return out.unionByName(more.select(*columns))

@@ -3,6 +3,7 @@ they are whole."""
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -56,13 +57,28 @@ class Scratch:
     def __call__(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.path}/{self.n}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __exit__(self, *_) -> None:
         remove(self.spark, self.path)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder and read from there from now on, until the session's process ends."""
+    scratch = Scratch(df.sparkSession)
+    at, system = _file_system(scratch.spark, scratch.path)
+    system.mkdirs(at)
+    system.deleteOnExit(at)
+    return scratch(df)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are done: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and read from the shared folder from now on. Spark removes such a checkpoint when nothing refers to it, if
     spark.cleaner.referenceTracking.cleanCheckpoints is on."""

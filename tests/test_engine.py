@@ -203,3 +203,36 @@ def test_everything_of_a_patient(spark):
     # the last e1 counts, which doesn't refer to l1; l2 brings its organization
     assert got == [("a", "e1"), ("a", "g"), ("a", "l2"), ("b", "g"), ("b", "l2"), ("b", "o1"), ("b", "s1"), ("b", "v"), ("c", "c")]
     assert everything(entries.limit(0)).count() == 0
+
+
+def test_everything_reads_entries_once_and_stores_no_text_by_patient(spark):
+    """Before, each round read all entries again, and stored a shared resource's text once for each patient."""
+    import os
+    import random
+
+    from pathspark.sources import store
+    from pathspark.sources.bundles import everything
+
+    def resource(kind, i, *refs, **more):
+        return json.dumps({"resourceType": kind, "id": i, "x": [{"reference": r} for r in refs], **more})
+
+    read, long = spark.sparkContext.accumulator(0), random.Random(5).randbytes(10000).hex()
+    rows = [(f"p{i}", i, resource("Encounter", f"e{i}", "Location/l")) for i in range(300)]
+    rows += [(None, 300, resource("Location", "l", "Location/m", y=long)), (None, 301, resource("Location", "m", "Organization/g")), (None, 302, resource("Organization", "g", "Location/l"))]
+    rows += [(None, 303, resource("Provenance", "v", "Location/gone")), ("q", 304, resource("Encounter", "e", "Location/gone", "Medication/own")), ("q", 305, resource("Medication", "own")), (None, 306, resource("Medication", "own", "Location/l"))]
+
+    @F.udf("string")
+    def counted(x):
+        read.add(1)
+        return x
+
+    entries = spark.createDataFrame(rows, "patient_id string, ord long, resource string").withColumn("resource", counted("resource"))
+    with store.Scratch(spark) as keep:
+        got = everything(entries, keep=keep)
+        size = sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(keep.path.removeprefix("file:")) for f in files)
+        assert 10000 < size < 300 * 1000  # of 6 MB if it were stored by patient
+        n = got.groupBy("patient_id").agg(F.count("*").alias("n"), F.sum(F.length("resource")).alias("size"), F.sort_array(F.collect_list("ref")).alias("refs")).collect()
+    assert read.value == len(rows)
+    by = {r["patient_id"]: r for r in n}
+    assert len(by) == 301 and by["q"]["refs"] == ["Encounter/e", "Medication/own"]
+    assert all(by[f"p{i}"]["refs"] == [f"Encounter/e{i}", "Location/l", "Location/m", "Organization/g"] and by[f"p{i}"]["size"] > 20000 for i in range(300))
